@@ -224,3 +224,89 @@ def exact_quantile(
     share = F.first(place - F.floor(place))
     return ranked.groupBy(*keys).agg((lower + (upper - lower) * share).alias(out))
 
+
+
+def previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column | None,
+    value: Column,
+    out: str,
+) -> DataFrame:
+    """Value on the row before, across chunk borders too."""
+    named = df.withColumn("__v", value)
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return named.withColumn(out, F.lag("__v").over(w)).drop("__v")
+    marked = named.withColumn(CHUNK, chunk)
+    at = [*keys, CHUNK]
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    ends = (
+        marked.groupBy(*at)
+        .agg(F.max_by(F.struct("__v"), place).alias("__end"))
+        .select(
+            *at, F.lag("__end").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__end")
+        )
+    )
+    w = Window.partitionBy(*at).orderBy(*order)
+    return (
+        marked.withColumns({"__n": F.row_number().over(w), "__lag": F.lag("__v").over(w)})
+        .join(ends, at)
+        .select(
+            *df.columns,
+            F.when(F.col("__n") == 1, F.col("__end.__v")).otherwise(F.col("__lag")).alias(out),
+        )
+    )
+
+
+def streak(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column | None,
+    breaks: Column,
+    counts: Column,
+    out: str,
+) -> DataFrame:
+    """Number of counted rows since the last row on which ``breaks`` holds.
+
+    Chunks are summed up by their number of rows and the place of their last
+    break, from which the part of a streak that began earlier follows.
+    """
+    whole = chunk is None
+    marked = df.withColumn(CHUNK, F.lit(0) if whole else chunk).withColumn("__b", breaks)
+    at = list(keys) if whole else [*keys, CHUNK]
+    upto = (
+        Window.partitionBy(*at)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = marked.withColumn(
+        "__n", F.sum(F.when(counts, 1).otherwise(0)).over(upto)
+    ).withColumn("__last", F.max(F.when(F.col("__b"), F.col("__n"))).over(upto))
+    if whole:
+        run = F.col("__n") - F.coalesce("__last", F.lit(0))
+        return placed.select(*df.columns, run.alias(out))
+    before = (
+        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ends = placed.groupBy(*at).agg(
+        F.max("__n").alias("__rows"), F.max("__last").alias("__stop")
+    )
+    ends = (
+        ends.withColumn("__past", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .withColumn(
+            "__open",
+            F.col("__past")
+            - F.coalesce(
+                F.last(F.col("__past") + F.col("__stop"), ignorenulls=True).over(before),
+                F.lit(0),
+            ),
+        )
+        .select(*at, "__open")
+    )
+    run = F.when(F.col("__last").isNotNull(), F.col("__n") - F.col("__last")).otherwise(
+        F.col("__open") + F.col("__n")
+    )
+    return placed.join(ends, at).select(*df.columns, run.alias(out))
