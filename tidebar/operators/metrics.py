@@ -125,7 +125,8 @@ def return_drawdown(
                 "__peak": F.greatest(F.col("__past_peak"), F.col("__past") * best),
             }
         )
-    loss = F.try_divide(F.col("growth"), F.col("__peak")) - 1
+    # Bars without a return are no bars of the series and have no drawdown.
+    loss = F.when(F.col("r").isNotNull(), F.try_divide(F.col("growth"), F.col("__peak")) - 1)
     return out.select(*returns.columns, "growth", loss.alias("drawdown"))
 
 

@@ -1,0 +1,4 @@
+from tidebar.plans import bar_queries, metric_queries  # noqa: F401
+from tidebar.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cores: str = "8", app: str = "tidebar", partitions: int = 8) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -33,3 +35,10 @@ def durable(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidebar-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path next to the checkpoints, reachable by all executors."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or tempfile.mkdtemp(prefix="tidebar-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

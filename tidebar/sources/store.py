@@ -1,26 +1,32 @@
-"""The bar table: one partitioned parquet table with its coverage."""
+"""The bar table: partitioned parquet with its coverage."""
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.functions.markettime import market_date
+from tidebar.functions.markettime import market_date, utc_clock
 from tidebar.functions.timeframe import TimeFrame
 from tidebar.operators import coverage as cov
 from tidebar.schemas import BAR_FIELDS, BARS, COVERAGE
+from tidebar.session import durable
 
 
 class BarStore:
-    """Bars by asset class, timeframe, variant (feed and adjustment) and symbol.
+    """Bars by asset class, timeframe, variant (feed and adjustment), period and symbol.
 
-    The table keeps all hours; sessions are filtered on reading. ``/`` in a symbol is
-    escaped by Spark's partition paths. A load is written beside the old state and
-    becomes visible with one new line in the ``versions`` table, so readers never see
-    half a load and a failed one leaves nothing behind but unused files.
+    Periods are months of intraday bars and years of longer ones. Symbols of a period
+    share ``buckets`` files, sorted by symbol, so a universe of thousands of symbols
+    does not end in millions of tiny files: a symbol selects its bucket by partition
+    and its rows by the statistics of the file. The table keeps all hours; sessions
+    are filtered on reading.
+
+    A load rewrites only the partitions it has bars for and then adds a new version of
+    the small coverage table. If it fails in between, the coverage still asks for the
+    window, and loading it again gives the same table.
     """
 
     def __init__(
@@ -30,47 +36,69 @@ class BarStore:
         asset_class: str = "stocks",
         feed: str = "sip",
         adjustment: str = "all",
+        buckets: int = 16,
     ) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.asset_class = asset_class
         self.variant = "crypto" if asset_class == "crypto" else f"{feed}_{adjustment}"
+        self.buckets = buckets
 
-    def _place(self, timeframe: str | TimeFrame) -> str:
+    def _place(self, name: str, timeframe: str | TimeFrame) -> str:
         tf = TimeFrame.of(timeframe)
         return (
-            f"{self.root}/asset_class={self.asset_class}/timeframe={tf.label}"
+            f"{self.root}/{name}/asset_class={self.asset_class}/timeframe={tf.label}"
             f"/variant={self.variant}"
         )
 
-    def _current(self, timeframe: str | TimeFrame) -> str | None:
-        versions = f"{self._place(timeframe)}/versions"
-        if not self._exists(versions):
-            return None
-        rows = self.spark.read.schema("version long, folder string").json(versions)
-        newest = rows.orderBy(F.desc("version")).limit(1).collect()
-        return newest[0].folder if newest else None
-
     def _exists(self, path: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(jvm_path)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def _period(self, timeframe: str | TimeFrame) -> Column:
+        pattern = "yyyy-MM" if TimeFrame.of(timeframe).is_intraday else "yyyy"
+        return F.date_format(utc_clock(F.col("ts")), pattern)
+
+    def _bucket(self, symbol: str) -> int:
+        return zlib.crc32(symbol.encode()) % self.buckets
+
+    def _stored(self, timeframe: str | TimeFrame) -> DataFrame:
+        place = self._place("bars", timeframe)
+        if not self._exists(place):
+            return self.spark.createDataFrame([], BARS).selectExpr(
+                "*", "'' AS period", "0 AS bucket"
+            )
+        schema = "symbol string, ts timestamp, " + ", ".join(f"{f} double" for f in BAR_FIELDS)
+        return self.spark.read.schema(f"{schema}, period string, bucket int").parquet(place)
 
     def read(self, timeframe: str | TimeFrame, symbols: Sequence[str] | None = None) -> DataFrame:
-        """Stored bars; the symbol filter prunes partitions."""
-        folder = self._current(timeframe)
-        if folder is None:
-            return self.spark.createDataFrame([], BARS)
-        stored = self.spark.read.schema(BARS).parquet(f"{folder}/bars")
+        """Covered bars; symbols prune partitions and row groups."""
+        stored = self._stored(timeframe)
         if symbols is not None:
-            stored = stored.filter(F.col("symbol").isin(list(symbols)))
-        return stored.select("symbol", "ts", *BAR_FIELDS)
+            stored = stored.filter(
+                F.col("bucket").isin(sorted({self._bucket(s) for s in symbols}))
+                & F.col("symbol").isin(list(symbols))
+            )
+        ends = self.read_coverage(timeframe).select("symbol", "cov_end")
+        return (
+            stored.join(ends, "symbol")
+            .filter(market_date(F.col("ts")) <= F.col("cov_end"))
+            .select("symbol", "ts", *BAR_FIELDS)
+        )
+
+    def _coverage_version(self, timeframe: str | TimeFrame) -> int:
+        place = self._place("coverage", timeframe)
+        if not self._exists(place):
+            return 0
+        versions = self.spark.read.schema(_VERSIONED).parquet(place).agg(F.max("version"))
+        return versions.first()[0] or 0
 
     def read_coverage(self, timeframe: str | TimeFrame) -> DataFrame:
-        folder = self._current(timeframe)
-        if folder is None:
+        version = self._coverage_version(timeframe)
+        if version == 0:
             return self.spark.createDataFrame([], COVERAGE)
-        return self.spark.read.schema(COVERAGE).parquet(f"{folder}/coverage")
+        table = self.spark.read.schema(_VERSIONED).parquet(self._place("coverage", timeframe))
+        return table.filter(F.col("version") == version).drop("version")
 
     def missing(self, timeframe: str | TimeFrame, requests: DataFrame) -> DataFrame:
         """Requests to send to the vendor, batched by window."""
@@ -85,43 +113,67 @@ class BarStore:
     ) -> None:
         """Merge newly loaded bars and the windows ``symbol, start, end`` they cover.
 
-        Only settled bars inside the new coverage are kept.
+        Bars after the new coverage, that is unsettled ones, are not kept.
         """
-        tf = TimeFrame.of(timeframe)
-        covered = cov.merge_coverage(self.read_coverage(tf), windows, last_settled)
-        merged = (
-            cov.upsert_bars(self.read(tf), new_bars.select("symbol", "ts", *BAR_FIELDS))
+        before = self.read_coverage(timeframe)
+        covered = durable(cov.merge_coverage(before, windows, last_settled))
+        new = durable(
+            new_bars.select("symbol", "ts", *BAR_FIELDS)
             .join(covered.select("symbol", "cov_end"), "symbol")
             .filter(market_date(F.col("ts")) <= F.col("cov_end"))
             .drop("cov_end")
+            .withColumn("period", self._period(timeframe))
+            .withColumn("bucket", F.pmod(F.crc32("symbol"), F.lit(self.buckets)).cast("int"))
+        )
+        touched = new.select("period", "bucket").distinct()
+        periods = [r.period for r in touched.select("period").distinct().collect()]
+        old = (
+            self._stored(timeframe)
+            .filter(F.col("period").isin(periods))
+            .join(touched, ["period", "bucket"], "left_semi")
         )
-        place = self._place(tf)
-        folder = f"{place}/data/{uuid.uuid4().hex}"
-        # A busy symbol is spread over several files by month.
+        merged = durable(cov.upsert_bars(old.select(*new.columns), new))
         (
-            merged.repartition(F.col("symbol"), F.date_trunc("month", "ts"))
-            .sortWithinPartitions("symbol", "ts")
-            .write.option("compression", "snappy")
-            .partitionBy("symbol")
-            .parquet(f"{folder}/bars")
+            merged.repartition("period", "bucket")
+            .sortWithinPartitions("period", "bucket", "symbol", "ts")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "snappy")
+            .partitionBy("period", "bucket")
+            .parquet(self._place("bars", timeframe))
         )
-        counted = self.spark.read.schema(BARS).parquet(f"{folder}/bars")
-        rows = counted.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
-        covered.join(rows, "symbol", "left").select(
-            "symbol",
-            "cov_start",
-            "cov_end",
-            F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
-            F.current_timestamp().alias("written_at"),
-        ).write.parquet(f"{folder}/coverage")
-        number = self._version(tf) + 1
-        self.spark.createDataFrame([(number, folder)], "version long, folder string").coalesce(
-            1
-        ).write.mode("append").json(f"{place}/versions")
-
-    def _version(self, timeframe: TimeFrame) -> int:
-        versions = f"{self._place(timeframe)}/versions"
-        if not self._exists(versions):
-            return 0
-        rows = self.spark.read.schema("version long, folder string").json(versions)
-        return rows.agg(F.max("version").alias("v")).first().v or 0
+        loaded = windows.select("symbol").distinct()
+        counts = (
+            self._stored(timeframe)
+            .join(loaded, "symbol", "left_semi")
+            .join(covered.select("symbol", "cov_end"), "symbol")
+            .filter(market_date(F.col("ts")) <= F.col("cov_end"))
+            .groupBy("symbol")
+            .agg(F.count(F.lit(1)).alias("now"))
+        )
+        (
+            covered.join(before.select("symbol", "rows", "written_at"), "symbol", "left")
+            .join(loaded.withColumn("is_new", F.lit(True)), "symbol", "left")
+            .join(counts, "symbol", "left")
+            .select(
+                "symbol",
+                "cov_start",
+                "cov_end",
+                F.when(F.col("is_new"), F.coalesce("now", F.lit(0)))
+                .otherwise(F.col("rows"))
+                .cast("long")
+                .alias("rows"),
+                F.when(F.col("is_new"), F.current_timestamp())
+                .otherwise(F.col("written_at"))
+                .alias("written_at"),
+                F.lit(self._coverage_version(timeframe) + 1).alias("version"),
+            )
+            .write.mode("append")
+            .partitionBy("version")
+            .parquet(self._place("coverage", timeframe))
+        )
+
+
+_VERSIONED = (
+    "symbol string, cov_start date, cov_end date, rows long, written_at timestamp, version int"
+)
