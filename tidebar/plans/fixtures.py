@@ -75,6 +75,15 @@ def brand_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_ops.ticks_to_bars(trades(spark, sf_dir), "1Month", TRADE_ORDER, tz="UTC")
 
 
+def calm(bars: DataFrame) -> DataFrame:
+    """Prices drawn together, so that an account that holds them stays solvent."""
+    return bars.select(
+        "symbol",
+        "ts",
+        *[(100 * F.pow(f, F.lit(0.02))).alias(f) for f in ("open", "high", "low", "close")],
+    )
+
+
 def benchmark_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(from_utc(F.col("o_orderdate")).alias("ts")).agg(

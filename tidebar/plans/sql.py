@@ -48,6 +48,11 @@ def _cells(bars: str, line: str) -> str:
       LEFT JOIN {bars} b ON b.symbol = g.symbol AND b.ts = g.ts)"""
 
 
+_CALM = (
+    "SELECT symbol, ts, 100 * pow(open, 0.02e0) AS open, 100 * pow(high, 0.02e0) AS high, "
+    "100 * pow(low, 0.02e0) AS low, 100 * pow(close, 0.02e0) AS close FROM {}"
+)
+
 TABLES = {
     "ticks": (
         "SELECT event_type AS symbol, ts, value AS price, 1 + user_id % 10 AS size, event_id "
@@ -62,6 +67,14 @@ TABLES = {
     ),
     "days": _bars("trades", "date_trunc('day', ts)", _TRADE_ORDER),
     "months": _bars("trades", "date_trunc('month', ts)", _TRADE_ORDER),
+    "calm_days": _CALM.format("days"),
+    "calm_months": _CALM.format("months"),
+    "calm_day_line": _line("calm_days"),
+    "calm_day_panel": _panel("calm_days", "calm_day_line"),
+    "calm_day_cells": _cells("calm_days", "calm_day_line"),
+    "calm_month_line": _line("calm_months"),
+    "calm_panel": _panel("calm_months", "calm_month_line"),
+    "calm_cells": _cells("calm_months", "calm_month_line"),
     "hour_line": _line("hourly"),
     "day_line": _line("days"),
     "month_line": _line("months"),
@@ -144,6 +157,5 @@ def with_tables(body: str, recursive: bool = False, **extra: str) -> str:
     visit(body)
     if not needed:
         return body
-    columns = lambda n: "" if "/*cols:" not in known[n] else known[n].split("/*cols:")[1].split("*/")[0]
-    parts = ", ".join(f"{n}{columns(n)} AS ({known[n]})" for n in needed)
+    parts = ", ".join(f"{n} AS ({known[n]})" for n in needed)
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts} {body}"
