@@ -213,8 +213,7 @@ def dense_grid(
         Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     heads = (
-        rows.select("symbol")
-        .distinct()
+        symbols_of(bars)
         .select(
             "symbol",
             F.explode(F.sequence(F.lit(0), F.floor((length - 1) / chunk_rows))).alias("chunk"),

@@ -49,24 +49,22 @@ def coverage_gaps(requests: DataFrame, coverage: DataFrame) -> DataFrame:
     )
 
 
-def batch_by_window(gaps: DataFrame, batch_size: int | None = None) -> DataFrame:
+def batch_by_window(gaps: DataFrame, batch_size: int = 10_000) -> DataFrame:
     """Symbols that miss the same window, as one request.
 
-    A window may be missing for a whole universe, so ``batch_size`` can split it
-    into requests of about that many symbols.
+    A window that is missing for more than ``batch_size`` symbols becomes several
+    requests of about that size, so no request grows with the universe.
     """
     keys = ["gap_start", "gap_end"]
-    if batch_size is None:
-        symbols = F.array_sort(F.collect_set("symbol"))
-        return gaps.groupBy(*keys).agg(symbols.alias("symbols"))
-    n = gaps.groupBy(*keys).agg(
-        F.ceil(F.count_distinct("symbol") / batch_size).cast("int").alias("parts")
+    sizes = gaps.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / batch_size).cast("int").alias("parts")
     )
-    part = F.pmod(F.xxhash64("symbol"), F.col("parts")).alias("part")
+    part = F.pmod(F.xxhash64("symbol"), F.col("parts"))
     return (
-        gaps.join(n, keys)
-        .groupBy(*keys, part)
+        gaps.join(sizes, keys)
+        .groupBy(*keys, part.alias("part"))
         .agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+        .drop("part")
     )
 
 

@@ -92,8 +92,11 @@ def orders_with_daily_count(orders: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
-def violations(limits: Limits, placed_today: Column) -> Column:
-    """Reasons to reject an order, all that apply; empty if it passes."""
+def violations(limits: Limits, placed_today: Column | None) -> Column:
+    """Reasons to reject an order, all that apply; empty if it passes.
+
+    Without ``placed_today`` the daily cap is left to the caller.
+    """
     notional = order_notional(F.col("qty"), F.col("price"), F.col("multiplier"))
     cap = F.lit(float(limits.max_notional))
     most = F.lit(limits.max_daily_orders)
@@ -112,7 +115,9 @@ def violations(limits: Limits, placed_today: Column) -> Column:
                     dollars(notional - cap),
                 ),
             ),
-            F.when(
+            F.lit(None)
+            if placed_today is None
+            else F.when(
                 placed_today >= most,
                 F.format_string("already placed %d order(s) today; limit %d", placed_today, most),
             ),

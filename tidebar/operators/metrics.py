@@ -84,7 +84,7 @@ def return_drawdown(
     """
     chunk = scans.time_chunk(F.col("ts"), chunk_seconds)
     whole = chunk is None
-    marked = returns.withColumn(scans.CHUNK, F.lit(0) if whole else chunk)
+    marked = returns.withColumn(scans.CHUNK, F.lit(0) if whole else scans.never_null(chunk))
     at = list(keys) if whole else [*keys, scans.CHUNK]
     upto = (
         Window.partitionBy(*at)

@@ -33,6 +33,7 @@ from tidebar.operators.signals import Run, Signal
 from tidebar.session import durable
 
 PASSES = 5
+_ORDER_CHUNK = 4096
 _DUST = 1e-12  # share of equity below which a difference is rounding noise
 
 
@@ -449,11 +450,9 @@ def lump_sum_buy(
     Whole shares are rounded toward zero, the minimum commission applies, and orders
     below ``min_trade_notional`` are left out.
     """
-    first = Window.partitionBy("run_id")
+    first = weights.groupBy("run_id").agg(F.min("seq").alias("seq"))
     orders = (
-        normalise_weights(weights, accounts)
-        .withColumn("first_seq", F.min("seq").over(first))
-        .filter(F.col("seq") == F.col("first_seq"))
+        normalise_weights(weights.join(first, ["run_id", "seq"], "left_semi"), accounts)
         .select("run_id", "symbol", (F.col("seq") + 1).alias("seq"), "weight")
         .join(grid.filter("tradable").select("symbol", "seq", "trade_price"), ["symbol", "seq"])
         .join(accounts.drop("max_leverage"), "run_id")
@@ -621,7 +620,7 @@ def ledger_from_fills(
 # -- whole sweeps ----------------------------------------------------------------
 
 
-def run_signals(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
+def run_signals(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Signal:
     """Weights and decisions of all runs, one pass per kind of signal."""
     groups: dict[str, list[Run]] = {}
     for run in runs:
@@ -635,7 +634,11 @@ def run_signals(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal
 
 
 class Sweep:
-    """Results of a sweep; the frames are lazy except for two written tables."""
+    """Results of a sweep.
+
+    What several steps read (timeline, price grid, panel, weights, rebalances and
+    their growth) is written once; equity, holdings and fills are lazy.
+    """
 
     def __init__(
         self,
@@ -647,23 +650,28 @@ class Sweep:
         if len({r.run_id for r in runs}) != len(runs):
             raise ValueError("run_id must be unique")
         self.timeframe = TimeFrame.of(timeframe) if isinstance(timeframe, str) else timeframe
-        self.line = durable(scans.timeline(bars))
+        self.line = scans.timeline(bars)
         count = self.line.count()
         if count < 2:
             raise ValueError(f"need at least 2 bars, got {count}")
+        # Series of bars stay whole below one limit; rebalances carry their orders
+        # along and are cut earlier.
+        bar_rows = chunk_rows or signals.chunk_for(count)
+        order_rows = chunk_rows or (_ORDER_CHUNK if count > _ORDER_CHUNK else None)
         self.length = F.lit(count).cast("long")
         self.accounts = signals.account_frame(bars.sparkSession, runs)
         self.grid = durable(
             bar_ops.effective_open(bar_ops.dense_grid(bars, fields=("open",), line=self.line))
         )
-        signal = run_signals(bar_ops.with_seq(bars, self.line), runs, self.length)
+        panel = durable(bar_ops.with_seq(bars, self.line).select("symbol", "ts", "seq", "close"))
+        signal = run_signals(panel, runs, count)
         self.decisions = signal.decisions
-        self.weights = normalise_weights(signal.weights, self.accounts)
-        rebalances = schedule_rebalances(signal.decisions, self.length, chunk_rows)
+        self.weights = durable(normalise_weights(signal.weights, self.accounts))
+        rebalances = durable(schedule_rebalances(signal.decisions, self.length, bar_rows))
         self.legs = durable(legs_of(self.weights, rebalances, self.grid))
         self.growth = durable(
             rebalance_growth(
-                self.legs, rebalances, self.grid, self.accounts, self.timeframe, chunk_rows
+                self.legs, rebalances, self.grid, self.accounts, self.timeframe, order_rows
             )
         )
         self.fills = fills_from_weights(self.growth, self.accounts, self.line)
@@ -675,7 +683,7 @@ class Sweep:
             self.line,
             self.length,
             self.timeframe,
-            chunk_rows,
+            bar_rows,
         )
 
     def equity_table(self) -> DataFrame:

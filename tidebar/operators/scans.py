@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidebar.session import durable
+
 CHUNK = "__chunk"
 
 
@@ -98,6 +100,11 @@ def time_chunk(ts: Column, seconds: int | None) -> Column | None:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("long")
 
 
+def never_null(chunk: Column) -> Column:
+    """Spares the joins on chunks a test for NULL, so both sides can share a shuffle."""
+    return F.coalesce(chunk.cast("long"), F.lit(0).cast("long"))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -117,7 +124,7 @@ def running(
         )
         return df.select("*", *[v.local(w).alias(n) for n, v in values.items()])
 
-    marked = df.withColumn(CHUNK, chunk)
+    marked = df.withColumn(CHUNK, never_null(chunk))
     at = [*keys, CHUNK]
     inside = (
         Window.partitionBy(*at)
@@ -171,12 +178,16 @@ def rolling(
 
 
 def timeline(bars: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
-    """Distinct timestamps with their 0-based position: ``ts, seq``."""
+    """Distinct timestamps with their 0-based position: ``ts, seq``.
+
+    The table is small and read many times by what is built on it, so it is written
+    once instead of being worked out again in every branch of a plan.
+    """
     stamps = bars.select("ts").distinct()
     counted = running(
         stamps, [], ["ts"], time_chunk(F.col("ts"), chunk_seconds), seq=row_count()
     )
-    return counted.select("ts", (F.col("seq") - 1).alias("seq"))
+    return durable(counted.select("ts", (F.col("seq") - 1).alias("seq")))
 
 
 def exact_quantile(
@@ -239,7 +250,7 @@ def previous(
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return named.withColumn(out, F.lag("__v").over(w)).drop("__v")
-    marked = named.withColumn(CHUNK, chunk)
+    marked = named.withColumn(CHUNK, never_null(chunk))
     at = [*keys, CHUNK]
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ends = (
@@ -275,7 +286,9 @@ def streak(
     break, from which the part of a streak that began earlier follows.
     """
     whole = chunk is None
-    marked = df.withColumn(CHUNK, F.lit(0) if whole else chunk).withColumn("__b", breaks)
+    marked = df.withColumn(CHUNK, F.lit(0) if whole else never_null(chunk)).withColumn(
+        "__b", breaks
+    )
     at = list(keys) if whole else [*keys, CHUNK]
     upto = (
         Window.partitionBy(*at)

@@ -55,7 +55,7 @@ class Signal(NamedTuple):
     decisions: DataFrame
 
 
-SignalFunction = Callable[[DataFrame, Sequence[Run], Column], Signal]
+SignalFunction = Callable[[DataFrame, Sequence[Run], "Column | int"], Signal]
 _signals: dict[str, SignalFunction] = {}
 
 
@@ -118,8 +118,19 @@ def _params_frame(spark: SparkSession, runs: Sequence[Run], **kinds: tuple[str,
     return spark.createDataFrame(rows, schema)
 
 
-def _every_bar(params: DataFrame, warmup: Column | str, length: Column) -> DataFrame:
+def _count(length: Column | int) -> Column:
+    return F.lit(length).cast("long")
+
+
+def chunk_for(length: Column | int) -> int | None:
+    """Chunk size for series of this length; short ones stay whole."""
+    limit = indicators.DEFAULT_CHUNK
+    return None if isinstance(length, int) and length <= limit else limit
+
+
+def _every_bar(params: DataFrame, warmup: Column | str, length: Column | int) -> DataFrame:
     """A decision on every bar from ``warmup`` to the last but one."""
+    length = _count(length)
     first = F.col(warmup).cast("long") if isinstance(warmup, str) else warmup
     return (
         params.select("run_id", first.alias("__first"), (length - 2).alias("__last"))
@@ -151,7 +162,7 @@ def equal_weight(rows: DataFrame, keys: Sequence[str], gross: Column) -> DataFra
 
 
 @register("buy_and_hold")
-def buy_and_hold(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
+def buy_and_hold(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Signal:
     """Equal weights over the symbols with a close; once, or on every bar."""
     spark = panel.sparkSession
     priced = panel.filter(F.col("close").isNotNull() & (F.col("seq") < length - 1)).select(
@@ -190,7 +201,7 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 @register("sma_cross")
-def sma_cross(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
+def sma_cross(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Signal:
     """Long while the fast mean is above the slow one, optionally short below."""
     params = _params_frame(
         panel.sparkSession,
@@ -205,7 +216,9 @@ def sma_cross(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
         if fast >= slow:
             raise ValueError(f"fast ({fast}) must be shorter than slow ({slow})")
     windows = sorted({n for pair in pairs for n in pair})
-    means = indicators.sma(panel.select("symbol", "seq", "close"), windows)
+    means = indicators.sma(
+        panel.select("symbol", "seq", "close"), windows, chunk_rows=chunk_for(length)
+    )
 
     def trend(fast: int, slow: int) -> Column:
         f, s = F.col(f"sma_{fast}"), F.col(f"sma_{slow}")
@@ -243,10 +256,14 @@ def _levels(run: Run) -> tuple[int, float, float]:
     )
 
 
-def scored(panel: DataFrame, levels: Sequence[tuple[int, float, float]], length: Column):
+def scored(
+    panel: DataFrame, levels: Sequence[tuple[int, float, float]], length: Column | int
+) -> DataFrame:
     """z-scores on decision bars for each (lookback, entry_z, exit_z)."""
     lookbacks = sorted({lv[0] for lv in levels})
-    z = indicators.zscore(panel.select("symbol", "seq", "close"), lookbacks)
+    z = indicators.zscore(
+        panel.select("symbol", "seq", "close"), lookbacks, chunk_rows=chunk_for(length)
+    )
     item = lambda lv: F.struct(
         F.lit(lv[0]).alias("lookback"),
         F.lit(lv[1]).alias("entry_z"),
@@ -326,13 +343,13 @@ def capped_names(
         )
     )
     lone_step = F.struct("seq", F.col("max_positions").alias("room"), "keep", "enter")
-    chunks = durable(
-        per_bar.groupBy(*keys, F.floor(F.col("seq") / chunk_rows).alias("chunk")).agg(
-            F.array_sort(F.collect_list(lone_step)).alias("bars")
-        )
+    chunks = per_bar.groupBy(*keys, F.floor(F.col("seq") / chunk_rows).alias("chunk")).agg(
+        F.array_sort(F.collect_list(lone_step)).alias("bars")
     )
     none = F.array().cast("array<string>")
-    walked = durable(chunks.withColumn("start", none).withColumn("walk", _fold_bars(F.col("bars"), none)))
+    walked = durable(
+        chunks.withColumns({"start": none, "walk": _fold_bars(F.col("bars"), none)})
+    )
     in_order = Window.partitionBy(*keys).orderBy("chunk")
     while True:
         starts = walked.select(
@@ -364,7 +381,7 @@ def capped_names(
 
 
 @register("mean_reversion")
-def mean_reversion(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
+def mean_reversion(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Signal:
     """Buy the most oversold symbols and keep each until it has recovered.
 
     Where the cap on positions never binds, holdings follow from window functions
@@ -381,16 +398,18 @@ def mean_reversion(panel: DataFrame, runs: Sequence[Run], length: Column) -> Sig
         gross=("double", 1.0),
     )
     keys = [*_LEVELS, "max_positions"]
-    scores = scored(panel, sorted({_levels(r) for r in runs}), length)
-    free = durable(held_names(scores))
+    scores = durable(scored(panel, sorted({_levels(r) for r in runs}), length))
+    free = durable(held_names(scores, chunk_for(length)))
     most = (
         free.groupBy(*_LEVELS, "seq")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*_LEVELS)
         .agg(F.max("n").alias("most"))
     )
-    caps = params.select(*keys).distinct().join(most, _LEVELS, "left")
-    caps = durable(caps.withColumn("binds", F.coalesce(F.col("most") > F.col("max_positions"), F.lit(False))))
+    binds = F.coalesce(F.col("most") > F.col("max_positions"), F.lit(False))
+    caps = durable(
+        params.select(*keys).distinct().join(most, _LEVELS, "left").withColumn("binds", binds)
+    )
     names = free.join(caps.filter(~F.col("binds")).select(*keys), _LEVELS).select(
         *keys, "seq", "symbol"
     )
@@ -405,7 +424,7 @@ def mean_reversion(panel: DataFrame, runs: Sequence[Run], length: Column) -> Sig
 
 
 @register("momentum")
-def momentum(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
+def momentum(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Signal:
     """Everything into the best trailing performer, reviewed every 21st bar."""
     params = _params_frame(panel.sparkSession, runs, lookback=("int", 60))
     review = 21  # fixed value: bars between reviews
@@ -426,7 +445,7 @@ def momentum(panel: DataFrame, runs: Sequence[Run], length: Column) -> Signal:
         "seq",
         max(lookbacks),
         gains,
-        indicators.DEFAULT_CHUNK,
+        chunk_for(length),
     ).filter((F.col("seq") % review == 0) & (F.col("seq") < length - 1))
     item = lambda n: F.struct(F.lit(n).alias("lookback"), F.col(f"gain_{n}").alias("gain"))
     best = (

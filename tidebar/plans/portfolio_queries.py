@@ -10,8 +10,8 @@ from tidebar.plans import fixtures as fx
 from tidebar.plans.metric_queries import stats_tables
 from tidebar.plans.registry import query, shown
 from tidebar.plans.sql import rnd, with_tables
+from tidebar.session import durable, scratch_folder
 from tidebar.sources import tables
-from tidebar.session import scratch_folder
 
 # -- settings of the registered runs ---------------------------------------------
 
@@ -228,7 +228,7 @@ def _ledger_sql(body: str, **extra: str) -> str:
 
 
 def _panel(spark, sf):
-    months = fx.calm(fx.brand_months(spark, sf))
+    months = durable(fx.calm(fx.brand_months(spark, sf)))
     line = scans.timeline(months)
     return bars.with_seq(months, line), line.agg(F.max("seq") + 1).scalar()
 
@@ -334,7 +334,8 @@ def run_labels(spark, sf):
 
 
 def _sweep(spark, sf) -> portfolio.Sweep:
-    return portfolio.run_sweep(fx.calm(fx.brand_months(spark, sf)), RUNS, "1Month")
+    months = durable(fx.calm(fx.brand_months(spark, sf)))
+    return portfolio.run_sweep(months, RUNS, "1Month")
 
 
 @query(_ledger_sql(f"SELECT run_id, seq, symbol, {rnd('weight')} FROM scaled"))

@@ -157,5 +157,9 @@ def with_tables(body: str, recursive: bool = False, **extra: str) -> str:
     visit(body)
     if not needed:
         return body
-    parts = ", ".join(f"{n} AS ({known[n]})" for n in needed)
+    # Recursion reads the other tables once per step, so they are worked out first.
+    fixed = lambda n: recursive and not re.search(rf"\\bFROM {n}\\b", known[n])
+    parts = ", ".join(
+        f"{n} AS {'MATERIALIZED ' if fixed(n) else ''}({known[n]})" for n in needed
+    )
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts} {body}"

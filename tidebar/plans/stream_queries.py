@@ -126,6 +126,6 @@ def streamed_order_checks(spark, sf):
     """Orders let through up to four a day, as they arrive in one batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     limits = Limits(max_notional=250_000.0, max_daily_orders=4, allow_live=True)
-    checked = stream_journal.check_order_stream(_journal_stream(spark, sf), limits)
+    checked = stream_journal.check_order_stream(_journal_stream(spark, sf), limits, shards=2)
     out = _drain(checked, spark, "checks")
     return out.select("order_id", "symbol", "day", "passed")

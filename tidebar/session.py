@@ -24,21 +24,23 @@ def local_session(cores: str = "8", app: str = "tidebar", partitions: int = 8) -
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there.
+    """Write ``df`` as a table next to the checkpoints and continue from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the
-    result survives the loss of executors. A folder of our own is used only where
-    none is set.
+    It survives the loss of executors, readers load only the columns they need, and
+    its size is known, so that a small one can be broadcast.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidebar-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path next to the checkpoints, reachable by all executors."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder path where the cluster keeps checkpoints, shared by all executors.
+
+    A folder of our own is used only where ``spark.checkpoint.dir`` is not set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or spark.sparkContext.getCheckpointDir()
     base = base or tempfile.mkdtemp(prefix="tidebar-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -36,66 +36,112 @@ VERDICTS = T.StructType(
         T.StructField("day", T.DateType()),
         T.StructField("order_id", T.StringType()),
         T.StructField("symbol", T.StringType()),
-        T.StructField("placed_today", T.LongType()),
         T.StructField("reasons", T.ArrayType(T.StringType())),
         T.StructField("passed", T.BooleanType()),
     ]
 )
+_CANDIDATES = T.StructType(
+    [
+        T.StructField("day", T.DateType()),
+        T.StructField("lane", T.IntegerType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("order_id", T.StringType()),
+        T.StructField("symbol", T.StringType()),
+        T.StructField("reasons", T.ArrayType(T.StringType())),
+    ]
+)
 
 
-class _DailyCap(StatefulProcessor):
-    """Numbers the orders of a day that pass; the count is all it remembers.
+class _FirstClear(StatefulProcessor):
+    """Marks the first ``limit`` orders of a day and shard that break no rule.
 
-    The rules that need no memory are already in ``reasons``.
+    The state is how many there were. Rows come in order of time within a batch.
     """
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.placed = handle.getValueState("placed", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        placed = self.placed.get()[0] if self.placed.exists() else 0
-        for frame in rows:
-            frame = frame.sort_values(["at", "order_id"], kind="stable")
-            clear = frame["reasons"].map(len).to_numpy() == 0
-            before = placed + clear.cumsum() - clear
-            before = before.clip(max=max(self.limit, placed))
-            full = before >= self.limit
-            note = f"day is full; limit {self.limit}"
-            reasons = [list(r) + ([note] if f else []) for r, f in zip(frame["reasons"], full)]
-            passed = clear & ~full
-            placed += int(passed.sum())
+        self.seen = handle.getValueState("seen", "n long")
+
+    def mark(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.Series]]:
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        frame = pd.concat(frames).sort_values(["at", "order_id"], kind="stable")
+        frame = frame.reset_index(drop=True)
+        clear = frame["reasons"].map(len) == 0
+        yield frame, clear & (seen + clear.cumsum() <= self.limit)
+        self.seen.update((min(seen + int(clear.sum()), self.limit),))
+
+    def close(self) -> None:
+        pass
+
+
+class _Shortlist(_FirstClear):
+    """Lane 0 for orders that may still pass, other lanes for the rest."""
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        day, shard = key
+        for frame, first in self.mark(rows):
+            out = frame[["at", "order_id", "symbol", "reasons"]].copy()
+            out.insert(0, "day", day)
+            out.insert(1, "lane", (~first).astype("int32") * (shard + 1))
+            clear_late = (out["reasons"].map(len) == 0) & ~first
+            out["reasons"] = [
+                [_full(self.limit)] if late else list(r)
+                for r, late in zip(out["reasons"], clear_late)
+            ]
+            yield out
+
+
+class _DailyCap(_FirstClear):
+    """Verdicts; what comes in with a reason leaves with it."""
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        day, _ = key
+        for frame, first in self.mark(rows):
+            reasons = [
+                list(r) if ok or len(r) else [_full(self.limit)]
+                for r, ok in zip(frame["reasons"], first)
+            ]
             yield pd.DataFrame(
                 {
-                    "day": key[0],
-                    "order_id": frame["order_id"].to_numpy(),
-                    "symbol": frame["symbol"].to_numpy(),
-                    "placed_today": before,
+                    "day": day,
+                    "order_id": frame["order_id"],
+                    "symbol": frame["symbol"],
                     "reasons": reasons,
-                    "passed": passed,
+                    "passed": first,
                 }
             )
-        self.placed.update((placed,))
 
-    def close(self) -> None:
-        pass
 
+def _full(limit: int) -> str:
+    return f"already placed {limit} order(s) today; limit {limit}"
 
-def check_order_stream(orders: DataFrame, limits: Limits = Limits()) -> DataFrame:
+
+def check_order_stream(
+    orders: DataFrame, limits: Limits = Limits(), shards: int = 16
+) -> DataFrame:
     """Verdicts for orders as they arrive; those that pass count against the day.
 
     ``orders`` has ``ts, order_id, symbol, qty, price, multiplier``. Needs the RocksDB
-    state store. One day is one state, as the daily cap is one count for everybody.
+    state store. The cap is one count for everybody, yet a day is not one task: of the
+    orders of a shard only the first ``max_daily_orders`` can be among the first ones
+    of the day, so each shard sends on these few and turns away the rest itself.
     """
     judged = orders.select(
         journal_ops.order_day(F.col("ts")).alias("day"),
+        F.pmod(F.xxhash64("order_id"), F.lit(shards)).cast("int").alias("shard"),
         journal_ops.entry_time(F.col("ts")).alias("at"),
         "order_id",
         "symbol",
-        journal_ops.violations(limits, F.lit(0)).alias("reasons"),
+        journal_ops.violations(limits, None).alias("reasons"),
+    )
+    shortlist = judged.groupBy("day", "shard").transformWithStateInPandas(
+        _Shortlist(limits.max_daily_orders), _CANDIDATES, "append", "none"
     )
-    return judged.groupBy("day").transformWithStateInPandas(
+    return shortlist.groupBy("day", "lane").transformWithStateInPandas(
         _DailyCap(limits.max_daily_orders), VERDICTS, "append", "none"
     )
