@@ -49,12 +49,12 @@ def market_day_bars(spark, sf):
 
 @query(with_tables(f"SELECT {_BARS} FROM days"))
 def brand_day_bars(spark, sf):
-    return shown(fx.brand_days(spark, sf), plain=_PLAIN)
+    return shown(fx.made_brand_bars(spark, sf, "1Day"), plain=_PLAIN)
 
 
 @query(with_tables(f"SELECT {_BARS} FROM months"))
 def brand_month_bars(spark, sf):
-    return shown(fx.brand_months(spark, sf), plain=_PLAIN)
+    return shown(fx.made_brand_bars(spark, sf, "1Month"), plain=_PLAIN)
 
 
 _PAYLOAD_SQL = with_tables(

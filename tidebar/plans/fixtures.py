@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.markettime import from_utc, market_date, utc_clock
 from tidebar.operators import bars as bar_ops
 from tidebar.operators.coverage import coverage_of
+from tidebar.session import durable
 
 # Order of trades within a day; unique together with the ship date.
 TRADE_ORDER = [
@@ -67,12 +68,17 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def made_brand_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
+    return bar_ops.ticks_to_bars(trades(spark, sf_dir), timeframe, TRADE_ORDER, tz="UTC")
+
+
 def brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_ops.ticks_to_bars(trades(spark, sf_dir), "1Day", TRADE_ORDER, tz="UTC")
+    """Daily bars as a stored table, which is what operators on bars start from."""
+    return durable(made_brand_bars(spark, sf_dir, "1Day"))
 
 
 def brand_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_ops.ticks_to_bars(trades(spark, sf_dir), "1Month", TRADE_ORDER, tz="UTC")
+    return durable(made_brand_bars(spark, sf_dir, "1Month"))
 
 
 def calm(bars: DataFrame) -> DataFrame:
