@@ -77,7 +77,7 @@ def test_benchmark_is_taken_at_shared_timestamps_only(spark):
 
 def test_chunks_give_the_same_statistics(spark):
     values = [math.sin(i * 1.3) / 20 if i % 9 else None for i in range(150)]
-    returns = series(spark, a=values, b=[-(v or 0) for v in values])
+    returns = series(spark, a=values, b=[-(v or 0.0) for v in values])
     whole = metrics.performance_stats(returns, chunk_seconds=None).orderBy("run_id").collect()
     cut = metrics.performance_stats(returns, chunk_seconds=11 * 86400).orderBy("run_id").collect()
     for a, b in zip(whole, cut):
