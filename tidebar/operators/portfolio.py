@@ -163,12 +163,31 @@ def rebalance_growth(
         F.col("o_next").alias("o"),
     )
     new = legs.select("run_id", "e", "symbol", "w", F.lit(0.0).alias("wr"), "o")
+    slip = F.col("slippage_bps") / 10_000.0
+    fee = F.col("commission_bps") / 10_000.0
+    fixed = slip + F.col("commission_per_share") / F.col("o")
+    buying, selling = fixed + (1 + slip) * fee, fixed + (1 - slip) * fee
+    priced = {
+        "buy_w": F.col("w") * buying,
+        "buy_wr": F.col("wr") * buying,
+        "sell_w": F.col("w") * selling,
+        "sell_wr": F.col("wr") * selling,
+    }
+    costs = rates.select("run_id", "slippage_bps", "commission_per_share", "commission_bps")
+    # Both groupings are served by one shuffle on run and rebalance.
     moves = (
         new.unionByName(old)
+        .repartition("run_id", "e")
         .groupBy("run_id", "e", "symbol")
         .agg(F.sum("w").alias("w"), F.sum("wr").alias("wr"), F.max("o").alias("o"))
+        .join(costs, "run_id")
+        .withColumns(priced)
         .groupBy("run_id", "e")
-        .agg(F.array_sort(F.collect_list(F.struct("symbol", "w", "wr", "o"))).alias("moves"))
+        .agg(
+            F.collect_list(F.struct("symbol", "w", "wr", "o", *priced)).alias("moves"),
+            F.sum("w").alias("net"),
+            F.sum("wr").alias("grown"),
+        )
     )
     charges = _short_charges(legs, grid, rates).join(
         rates.select("run_id", "grow_cash", "grow_debt"), "run_id"
@@ -179,42 +198,28 @@ def rebalance_growth(
         F.sum(F.col("h") * F.pow("grow_debt", left)).alias("charge_debt"),
     )
     zero = F.lit(0.0)
-    add = lambda part: F.aggregate("moves", zero, lambda t, m: t + part(m))
     rows = (
         rebalances.join(moves, ["run_id", "e"], "left")
         .join(charged, ["run_id", "e"], "left")
-        .join(rates.drop("max_leverage"), "run_id")
-        .withColumn(
-            "moves",
-            F.coalesce(
-                "moves",
-                F.array().cast(
-                    "array<struct<symbol:string,w:double,wr:double,o:double>>"
-                ),
-            ),
-        )
+        .join(rates.select("run_id", "initial_cash", "grow_cash", "grow_debt"), "run_id")
         .withColumns(
-            {
-                "charge_cash": F.coalesce("charge_cash", zero),
-                "charge_debt": F.coalesce("charge_debt", zero),
-                "net": add(lambda m: m["w"]),
-                "grown": add(lambda m: m["wr"]),
-            }
+            {c: F.coalesce(c, zero) for c in ("charge_cash", "charge_debt", "net", "grown")}
         )
     )
 
-    slip = F.col("slippage_bps") / 10_000.0
-    fee = F.col("commission_bps") / 10_000.0
+    def cost(inverse: Column) -> Column:
+        """Cost of moving from the old weights, divided by G, to the new ones.
+
+        A purchase is dearer than a negative sale and the other way round, so the
+        greater of both is the cost of a trade in either direction.
+        """
 
-    def cost(g: Column) -> Column:
         def one(m: Column) -> Column:
-            x = m["w"] - m["wr"] / g
-            size = F.abs(x)
-            per_share = F.col("commission_per_share") / m["o"]
-            paid = F.when(x > 0, 1 + slip).otherwise(1 - slip) * fee
-            return F.when(size > _DUST, size * (slip + per_share + paid)).otherwise(zero)
+            return F.greatest(
+                m["buy_w"] - m["buy_wr"] * inverse, m["sell_wr"] * inverse - m["sell_w"]
+            )
 
-        return add(one)
+        return F.coalesce(F.aggregate("moves", zero, lambda t, m: t + one(m)), zero)
 
     def cash_at_end(k: Column) -> Column:
         cash, m = 1 - k - F.col("net"), F.col("s_next") - F.col("s")
@@ -239,20 +244,18 @@ def rebalance_growth(
         solved = (
             solved.withColumn("end", cash_at_end(F.col("k")))
             .withColumn("g", factor)
-            .withColumn("k", cost(F.col("g")))
+            .withColumn("inverse", F.try_divide(F.lit(1.0), F.col("g")))
+            .withColumn("k", cost(F.col("inverse")))
         )
     if chunk_rows is not None:
         solved = solved.filter(F.col(scans.CHUNK) == F.floor(F.col("e") / chunk_rows))
-    trades = F.filter(
-        F.transform(
-            "moves",
-            lambda m: F.struct(
-                m["symbol"].alias("symbol"),
-                (m["w"] - m["wr"] / F.col("g")).alias("x"),
-                m["o"].alias("o"),
-            ),
+    trades = F.transform(
+        F.filter("moves", lambda m: F.abs(m["w"] - m["wr"] * F.col("inverse")) > _DUST),
+        lambda m: F.struct(
+            m["symbol"].alias("symbol"),
+            (m["w"] - m["wr"] * F.col("inverse")).alias("x"),
+            m["o"].alias("o"),
         ),
-        lambda m: F.abs(m["x"]) > _DUST,
     )
     grown = scans.running(
         solved.select(
