@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     none = 1 << 62
     size = 1 << (n - 1).bit_length()
-    tree = [none] * (2 * size)
+    look = ranks.get
+    leaves = [none] * size
     for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
+        rank = look(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank * n + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+            leaves[i] = rank * n + i
+    tree = level = leaves
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        tree = level + tree
+    tree.insert(0, none)
 
     def put(i: int, value: int) -> None:
         i += size
@@ -64,13 +68,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         j = end[i]
         stop = end[i] = end[j]
         before[stop] = i
-        put(j, none)
-        rank = ranks.get(piece[i : end[stop]]) if stop < n else None
+        if tree[size + j] != none:
+            put(j, none)
+        rank = look(piece[i : end[stop]]) if stop < n else None
         put(i, none if rank is None else rank * n + i)
         if i:
             k = before[i]
-            rank = ranks.get(piece[k:stop])
-            put(k, none if rank is None else rank * n + k)
+            rank = look(piece[k:stop])
+            rank = none if rank is None else rank * n + k
+            if tree[size + k] != rank:
+                put(k, rank)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -97,12 +104,19 @@ def encoder(path: str):
     stretches = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]").findall
 
     def ids(stretch: str) -> bytes:
+        if stretch[-1] in marks and plain(stretch[-2:-1]):
+            return cache[stretch[:-1]] + marks[stretch[-1]]
+        if stretch.isalpha() or stretch[0] == " " and stretch[1:].isalpha():
+            return array("I", merge(stretch.encode(), ranks)).tobytes()
         found: list[int] = []
         for match in matches(stretch):
             found += merge(match.encode("utf-8", "replace"), ranks)
-        return np.array(found, "<u4").tobytes()
+        return array("I", found).tobytes()
 
-    cache = Cache(ids)
+    # A full stop or comma after a plain letter is a match of its own.
+    marks = {m: array("I", merge(m.encode(), ranks)).tobytes() for m in ".,"}
+    plain = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]").match
+    cache = Cache(ids, most=300_000)
     look = cache.__getitem__
     return lambda text: b"".join(map(look, stretches(text)))
 
@@ -122,7 +136,7 @@ def encode(text: Column | str, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         encoded = encoder(path)
-        found = [encoded(t) if t else b"" for t in texts.to_pylist()]
+        found = [encoded(t.as_py() or "") for t in texts]
         flat = np.frombuffer(b"".join(found), "<i4")
         return lists(flat, [len(x) // 4 for x in found], pa.int32())
 
@@ -135,11 +149,12 @@ def decode(ids: Column | str, path: str) -> Column:
     @F.arrow_udf("binary")
     def run(arrays: pa.Array) -> pa.Array:
         token = tokens(path).__getitem__
-        flat = arrays.flatten().to_numpy(zero_copy_only=False).tolist()
-        out, at = [], 0
-        for n in pa.compute.list_value_length(arrays).to_pylist():
-            out.append(None if n is None else b"".join(map(token, flat[at : at + n])))
-            at += n or 0
+        out = []
+        for ids in arrays:
+            found = None
+            if ids.is_valid:
+                found = b"".join(map(token, ids.values.to_numpy(zero_copy_only=False).tolist()))
+            out.append(found)
         return pa.array(out, pa.binary())
 
     return run(ids)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, langid, packing
+from tidebar.llm import bpe, html_extract, itq, jaccard, langid, ordinal, packing, rules
 from tidebar.llm.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,3 +47,59 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", held_out.alias("held_out"),
                         langid.predict(docs, model).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """Graded ratings: 2 is good, 1 good but toxic, 0 poor; null where a label is missing."""
+    grade = F.when(F.col("quality") < 1, 0).when(F.col("toxic") >= 1, 1).when(
+        F.col("toxic") < 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rules.judged(docs)
+    return found.select(
+        "doc_id",
+        *[F.col(f"{rules.M}.{name}").alias(name) for name in rules.MEASURES],
+        F.col(f"{rules.M}_verdict.base_failed").alias("base_failed"),
+        F.col(f"{rules.M}_verdict.kept").alias("kept"),
+    )
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.select("page_id", "url", html_extract.extract("html").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on labels outside the fold that is held out for measuring (crc32 mod 4 = 2)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    known = grades(table(spark, sf_dir, "labels")).filter(fold != 2)
+    model = ordinal.fit(docs, known, levels=3)
+    found = docs.withColumn("score", ordinal.score(docs, model, levels=3))
+    return found.select(
+        "doc_id",
+        F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
+        F.round("score.expected", 9).alias("expected_grade"),
+        F.round("score.top", 9).alias("top_probability"),
+        F.coalesce(F.col("score.top") >= 0.5, F.lit(True)).alias("selected"),
+    )
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+@query()
+def op2_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+    same = F.col("vec_id") == F.col("component_id")
+    return found.withColumn("kept", F.coalesce(same, F.lit(True)))
