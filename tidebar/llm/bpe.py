@@ -104,8 +104,6 @@ def encoder(path: str):
     stretches = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]").findall
 
     def ids(stretch: str) -> bytes:
-        if stretch[-1] in marks and plain(stretch[-2:-1]):
-            return cache[stretch[:-1]] + marks[stretch[-1]]
         if stretch.isalpha() or stretch[0] == " " and stretch[1:].isalpha():
             return array("I", merge(stretch.encode(), ranks)).tobytes()
         found: list[int] = []
@@ -116,8 +114,14 @@ def encoder(path: str):
     # A full stop or comma after a plain letter is a match of its own.
     marks = {m: array("I", merge(m.encode(), ranks)).tobytes() for m in ".,"}
     plain = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]").match
-    cache = Cache(ids, most=300_000)
-    look = cache.__getitem__
+
+    class Stretches(Cache):
+        def __missing__(self, stretch):
+            if stretch[-1] in marks and plain(stretch[-2:-1]):
+                return self[stretch[:-1]] + marks[stretch[-1]]
+            return super().__missing__(stretch)
+
+    look = Stretches(ids).__getitem__
     return lambda text: b"".join(map(look, stretches(text)))
 
 

@@ -17,20 +17,26 @@ words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 class Cache(dict):
-    """Results of a function by key, for short keys; it empties when full.
+    """Results of a function by key, for short keys and at most ``most`` of them.
 
-    It lives as long as the Python worker, so tasks that follow each other share it.
+    When half of that is reached, what is held becomes the older half; what is used again
+    moves to the new one. It lives as long as the Python worker, so tasks that follow each
+    other share it.
     """
 
-    def __init__(self, function: Callable, most: int = 600_000, longest: int = 48):
-        self.function, self.most, self.longest = function, most, longest
+    def __init__(self, function: Callable, most: int = 800_000, longest: int = 48):
+        self.function, self.half, self.longest, self.older = function, most // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.function(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
