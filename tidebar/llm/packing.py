@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections import deque
 
 import numpy as np
@@ -99,28 +100,46 @@ def tokenizer(path: str):
 
     model = Tokenizer.from_file(path)
     words = re.compile(f"[^{SPACE}]+").findall
+    odd = re.compile("[\x1c-\x1f]").search  # white space for Python only
+    cased = re.compile("[ΣİẞΏ]|<[|]").search  # not simply lower-cased
+
+    # One run of plain lower-case letters needs no normalising or splitting: the merges alone
+    # are asked for, on bytes written as characters (printable ones as they are, others from 256 on).
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    written = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters = re.compile("[a-zß-öø-ÿ]+").fullmatch
+    merges = model.model
 
     def encode(word: str) -> bytes:
-        found = model.encode(word, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        if letters(word):
+            if not word.isascii():
+                word = "".join(map(written.__getitem__, word.encode()))
+            return array("I", [t.id for t in merges.tokenize(word)]).tobytes()
+        return array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
 
     marks = {m: encode(m) for m in ".,"}
     plain = re.compile("[a-zA-ZÀ-ÖØ-öø-į]").match
 
-    def ids(word: str) -> bytes:
-        if word[-1] in marks and plain(word[-2:-1]):
-            return cache[word[:-1]] + marks[word[-1]]
-        lower = word.lower() if word.isascii() else word
-        return encode(word) if lower == word else cache[lower]
+    class Words(Cache):
+        def __missing__(self, word):
+            if word[-1] in marks and plain(word[-2:-1]):
+                return self[word[:-1]] + marks[word[-1]]
+            return super().__missing__(word)
+
+    look = Words(encode, most=1_000_000).__getitem__
+
+    def ids(text: str) -> bytes:
+        if not cased(text):
+            text = text.lower()
+        return b"".join(map(look, words(text) if odd(text) else text.split()))
 
-    cache = Cache(ids)
-    look = cache.__getitem__
     vocabulary = model.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 2, bool)
     for token, i in vocabulary.items():
         bare = token.removesuffix("</w>")
         ends[i] = token != bare and bool(re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*", bare))
-    return (lambda text: b"".join(map(look, words(text)))), ends
+    return ids, ends
 
 
 class _Stream:
