@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, html_extract, itq, jaccard, langid, ordinal, packing, rules
+from tidebar.llm import backoff, bpe, html_extract, itq, jaccard, langid, ordinal, packing, pii, rules
 from tidebar.llm.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -103,3 +103,45 @@ def op2_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
     same = F.col("vec_id") == F.col("component_id")
     return found.withColumn("kept", F.coalesce(same, F.lit(True)))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query(rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w3 FROM docs),
+seq AS (SELECT r, i, w3, lag(w3) OVER p AS w2, lag(w3, 2) OVER p AS w1 FROM pos
+        WINDOW p AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT w3, count(*) AS n FROM seq GROUP BY ALL),
+c2 AS (SELECT w2, w3, count(*) AS n FROM seq WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, count(*) AS n FROM seq WHERE w1 IS NOT NULL GROUP BY ALL),
+scored AS (
+  SELECT seq.r, CASE WHEN c3.n >= 2 THEN ln(c3.n / ctx2.n)
+    WHEN c2.n >= 2 THEN ln(c2.n / ctx1.n) + ln(0.4)
+    ELSE ln(c1.n / (SELECT count(*) FROM seq)) + 2 * ln(0.4) END AS s
+  FROM seq JOIN c1 USING (w3)
+  LEFT JOIN c2 ON c2.w2 = seq.w2 AND c2.w3 = seq.w3
+  LEFT JOIN c3 ON c3.w1 = seq.w1 AND c3.w2 = seq.w2 AND c3.w3 = seq.w3
+  LEFT JOIN c2 ctx2 ON ctx2.w2 = seq.w1 AND ctx2.w3 = seq.w2
+  LEFT JOIN c1 ctx1 ON ctx1.w3 = seq.w2)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  round(coalesce(sum(s), 0) + 1.234e-8, 5) AS log_score, round(sum(s) / nullif(len(w), 0) + 1.234e-8, 6) AS mean_log_score
+FROM docs LEFT JOIN scored USING (r) GROUP BY r, doc_id, w
+""")
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.score(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words",
+        F.round(F.col("log_score") + 1.234e-8, 5).alias("log_score"),
+        F.round(F.col("mean_log_score") + 1.234e-8, 6).alias("mean_log_score"))
+
+
+#: Key of the surrogates; whoever runs this in earnest passes a secret of their own.
+PII_KEY = "surrogate-key"
+
+
+@query()
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(docs, PII_KEY, count="n_replaced")
