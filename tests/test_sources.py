@@ -10,6 +10,7 @@ from tidebar.operators import bars, coverage, journal
 from tidebar.operators.journal import Limits
 from tidebar.sources import payload, records, tables
 from tidebar.sources.store import BarStore
+from tidebar.streaming import bars as stream_bars
 from tidebar.streaming import journal as stream_journal
 
 
@@ -18,7 +19,7 @@ def test_timeframes():
     assert TimeFrame.of(" 1hour ").label == "1Hour"
     assert TimeFrame.of("1Min").periods_per_year == 252 * 390
     assert TimeFrame.of("1Min", "extended").periods_per_year == 252 * 960
-    assert TimeFrame.of(TimeFrame(1, "hour"), "extended").periods_per_year == 252 * 16
+    assert TimeFrame.of(TimeFrame.of("1Hour"), "extended").periods_per_year == 252 * 16
     assert (TimeFrame.of("1Week").periods_per_year, TimeFrame.of("3Month").periods_per_year) == (52, 4)
     for bad in ("day", "1Fortnight", "-1Day", "0Day"):
         with pytest.raises(ValueError):
@@ -187,3 +188,56 @@ def test_order_stream_counts_over_batches(spark, tmp_path):
         seen[d] = seen.get(d, 0) + clear
         assert verdicts[order_id].passed == wanted, order_id
         assert bool(verdicts[order_id].reasons) != wanted
+
+
+def test_orders_that_lack_something_never_pass(spark):
+    schema = "ts string, order_id string, symbol string, qty double, price double, multiplier double"
+    given = [(None, 10.0, 1.0), (1.0, None, 1.0), (float("nan"), 10.0, 1.0), (1.0, float("nan"), 1.0),
+             (0.0, 1.0, 1.0), (1e6, 10.0, None), (2.0, 10.0, None)]
+    rows = [("2024-01-02T10:00:00+00:00", str(i), "A", *g) for i, g in enumerate(given)]
+    orders = spark.createDataFrame(rows, schema)
+    limits = Limits(allow_live=True)
+    empty = spark.createDataFrame([], "ts string")
+    passed = {r.order_id: r.passed for r in journal.check_orders(orders, empty, limits).collect()}
+    assert passed == {str(i): i == 6 for i in range(7)}
+    dry = journal.check_orders(orders, empty, Limits()).filter("passed").count()
+    assert dry == 0
+
+
+def test_journal_lines_are_one_object_each(spark):
+    entry = '{"ts": "2024-01-02", "symbol": "A", "qty": "2", "price": 3}'
+    lines = [entry, entry + " xyz", entry + entry, entry + "," + entry, "[" + entry + "]", "{}", '{"qty": "x"}', "5"]
+    good, bad = journal.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted((r.symbol or "", r.qty) for r in good.collect()) == [("", None), ("A", 2.0)]
+    assert bad.count() == 6
+
+
+def test_json_records_of_either_shape(spark, tmp_path):
+    days = [{"date": f"2024-01-0{i}", "open": "09:30", "close": "16:00"} for i in range(2, 6)]
+    shapes = {"lines": "\n".join(map(json.dumps, days)), "array": json.dumps(days), "pretty": json.dumps(days, indent=1)}
+    for name, text in shapes.items():
+        (tmp_path / name).write_text(text)
+        assert records.read_calendar(spark, str(tmp_path / name)).count() == 4
+    (tmp_path / "broken").write_text("not json")
+    with pytest.raises(ValueError):
+        records.read_calendar(spark, str(tmp_path / "broken"))
+
+
+def test_coverage_of_several_windows(spark):
+    d = lambda i: dt.date(2024, 1, i)
+    old = spark.createDataFrame([("A", d(5), d(8)), ("B", d(5), d(8))], "symbol string, cov_start date, cov_end date")
+    new = [("A", d(2), d(5)), ("A", d(9), d(11)), ("B", d(20), d(21)), ("C", d(2), d(3)), ("C", d(6), d(9))]
+    loaded = spark.createDataFrame(new, "symbol string, start date, end date")
+    got = {r.symbol: (r.cov_start, r.cov_end) for r in coverage.merge_coverage(old, loaded, d(25)).collect()}
+    assert got == {"A": (d(2), d(11)), "B": (d(20), d(21)), "C": (d(6), d(9))}
+
+
+def test_batches_of_a_stream_keep_every_bar(spark, tmp_path):
+    frame = make_bars(spark, {"A": [10.0 + i for i in range(12)]})
+    store = BarStore(spark, str(tmp_path / "store"))
+    write = stream_bars.upsert_into(store, "1Day")
+    at = lambda i: F.lit(day(i))
+    for number, part in enumerate([(0, 3), (6, 9), (1, 2), (10, 11)]):  # a gap, a late correction
+        write(frame.filter(F.col("ts").between(at(part[0]), at(part[1]))), number)
+    assert store.read("1Day").count() == 4 + 4 + 2
+    assert store.read_coverage("1Day").count() == 1

@@ -13,6 +13,9 @@ from tidebar.functions.markettime import from_utc, utc_clock
 from tidebar.functions.trading import order_notional
 from tidebar.schemas import JOURNAL
 
+# Amounts are added up as decimals of cents, so no sum depends on its order.
+MONEY = "decimal(28,2)"
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -26,23 +29,29 @@ class Limits:
 def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split JSON lines into journal rows and malformed lines; blank lines vanish.
 
-    Only whole JSON objects count as journal rows.
+    A line is one JSON object and nothing else. Numbers may be quoted; a line with a
+    number that cannot be read is malformed.
     """
     text = F.trim(F.regexp_replace(column, r"^\s+|\s+$", ""))
     filled = lines.select(text.alias("line")).filter(F.col("line") != "")
-    schema = T.StructType([*JOURNAL.fields, T.StructField("_bad", T.StringType())])
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in JOURNAL.fields])
+    # As an array of one element, whatever follows the object makes the text malformed.
     parsed = filled.withColumn(
-        "e",
-        F.from_json(
-            "line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-        ),
+        "e", F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(texts))
     )
-    good = F.col("e._bad").isNull() & F.col("line").startswith("{") & F.col("e").isNotNull()
-    names = JOURNAL.fieldNames()
-    return (
-        parsed.filter(good).select(*[F.col(f"e.{n}").alias(n) for n in names]),
-        parsed.filter(~good).select("line"),
+    numbers = [f for f in JOURNAL.fields if not isinstance(f.dataType, T.StringType)]
+    readable = F.lit(True)
+    for f in numbers:
+        given = F.get("e", F.lit(0))[f.name]
+        readable = readable & (given.isNull() | given.try_cast(f.dataType).isNotNull())
+    good = (
+        F.col("line").startswith("{")
+        & F.coalesce(F.size("e") == 1, F.lit(False))
+        & F.get("e", F.lit(0)).isNotNull()
+        & readable
     )
+    found = [F.get("e", F.lit(0))[f.name].try_cast(f.dataType).alias(f.name) for f in JOURNAL.fields]
+    return parsed.filter(good).select(*found), parsed.filter(~good).select("line")
 
 
 def entries(orders: DataFrame, now: Column | None = None) -> DataFrame:
@@ -92,12 +101,23 @@ def orders_with_daily_count(orders: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
+def sensible(value: Column) -> Column:
+    """Whether a number is there and is one."""
+    return value.isNotNull() & ~F.isnan(value)
+
+
+def positive(value: Column) -> Column:
+    return F.coalesce(sensible(value.cast("double")) & (value > 0), F.lit(False))
+
+
 def violations(limits: Limits, placed_today: Column | None) -> Column:
     """Reasons to reject an order, all that apply; empty if it passes.
 
-    Without ``placed_today`` the daily cap is left to the caller.
+    A missing multiplier counts as 1; an order without a quantity, a price or a notional
+    never passes. Without ``placed_today`` the daily cap is left to the caller.
     """
-    notional = order_notional(F.col("qty"), F.col("price"), F.col("multiplier"))
+    multiplier = F.coalesce(F.col("multiplier"), F.lit(1.0))
+    notional = order_notional(F.col("qty"), F.col("price"), multiplier)
     cap = F.lit(float(limits.max_notional))
     most = F.lit(limits.max_daily_orders)
     dollars = lambda c: F.format_number(c, 2)
@@ -107,7 +127,10 @@ def violations(limits: Limits, placed_today: Column | None) -> Column:
                 ~F.lit(limits.allow_live), F.lit("live orders are off: dry run")
             ),
             F.when(
-                notional > cap,
+                ~sensible(notional), F.lit("notional cannot be worked out")
+            ),
+            F.when(
+                sensible(notional) & (notional > cap),
                 F.format_string(
                     "notional $%s exceeds $%s (over by $%s)",
                     dollars(notional),
@@ -125,11 +148,8 @@ def violations(limits: Limits, placed_today: Column | None) -> Column:
     )
     # An order that makes no sense is turned away before the rules are looked at.
     return (
-        F.when(~(F.col("qty") > 0), F.array(F.lit("quantity must be positive")))
-        .when(
-            ~F.coalesce(F.col("price") > 0, F.lit(False)),
-            F.array(F.lit("price must be positive")),
-        )
+        F.when(~positive(F.col("qty")), F.array(F.lit("quantity must be positive")))
+        .when(~positive(F.col("price")), F.array(F.lit("price must be positive")))
         .otherwise(broken)
     )
 
@@ -151,7 +171,8 @@ def journal_today(journal: DataFrame, day: dt.date | Column | None = None) -> Da
 
 def day_total(journal: DataFrame, day: dt.date | Column | None = None) -> DataFrame:
     return journal_today(journal, day).agg(
-        F.count(F.lit(1)).alias("orders"), F.coalesce(F.sum("notional"), F.lit(0.0)).alias("notional")
+        F.count(F.lit(1)).alias("orders"),
+        F.coalesce(F.sum(F.col("notional").cast(MONEY)).cast("double"), F.lit(0.0)).alias("notional"),
     )
 
 
@@ -160,16 +181,17 @@ def journal_summary(journal: DataFrame) -> DataFrame:
 
     Whatever is not a buy counts as sold. ``first_ts`` is the earliest entry.
     """
-    amount = F.coalesce("notional", F.lit(0.0))
+    amount = F.coalesce("notional", F.lit(0.0)).cast(MONEY)
     buy = F.coalesce(F.col("side") == "buy", F.lit(False))
-    bought = F.sum(F.when(buy, amount).otherwise(0.0))
-    sold = F.sum(F.when(buy, 0.0).otherwise(amount))
+    none = F.lit(0).cast(MONEY)
+    bought = F.sum(F.when(buy, amount).otherwise(none))
+    sold = F.sum(F.when(buy, none).otherwise(amount))
     named = journal.withColumn("symbol", F.coalesce("symbol", F.lit("?")))
     return named.rollup("symbol").agg(
         F.count(F.lit(1)).alias("orders"),
-        bought.alias("bought"),
-        sold.alias("sold"),
-        (bought - sold).alias("net"),
+        bought.cast("double").alias("bought"),
+        sold.cast("double").alias("sold"),
+        (bought - sold).cast("double").alias("net"),
         F.min("ts").alias("first_ts"),
     )
 

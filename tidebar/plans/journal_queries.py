@@ -11,7 +11,7 @@ from tidebar.operators import journal
 from tidebar.operators.journal import Limits
 from tidebar.plans import fixtures as fx
 from tidebar.plans.registry import query, shown
-from tidebar.plans.sql import rnd, with_tables
+from tidebar.plans.sql import money, rnd, with_tables
 from tidebar.session import scratch_folder
 from tidebar.sources import records
 
@@ -23,8 +23,17 @@ _JOURNAL = ", ".join(
 
 
 def _lines(spark, sf):
-    """Journal lines with the documents mixed in as malformed ones, and blanks."""
-    good = fx.journal(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    """Journal lines with the documents mixed in as malformed ones, and blanks.
+
+    Every third line has quoted numbers. Objects with something after them and two objects in a line are malformed.
+    """
+    entry = F.to_json(F.struct("*"))
+    quoted = F.regexp_replace(entry, r'"qty":([0-9.eE+-]+)', r'"qty":"$1"')
+    third = F.crc32("order_id") % 3 == 0
+    good = fx.journal(spark, sf).select(F.when(third, quoted).otherwise(entry).alias("value"))
+    first = fx.proposed_orders(spark, sf).select(F.to_json(F.struct("ts", "symbol", "qty")).alias("value"))
+    good = good.unionByName(first.select(F.concat("value", F.lit(" xyz")).alias("value")))
+    good = good.unionByName(first.select(F.concat("value", "value").alias("value")))
     docs = fx.table(spark, sf, "documents")
     bad = docs.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
     blank = docs.select(F.lit("   ").alias("value"))
@@ -37,7 +46,8 @@ def journal_lines(spark, sf):
 
 
 @query(
-    "SELECT count(*) AS lines FROM documents WHERE trim(text, ' \t\r\n\v\f') <> ''"
+    "SELECT (SELECT count(*) FROM documents WHERE trim(text, ' \t\r\n\v\f') <> '') "
+    "+ 2 * (SELECT count(*) FROM orders) AS lines"
 )
 def malformed_journal_lines(spark, sf):
     rejected = journal.parse_lines(_lines(spark, sf))[1]
@@ -69,14 +79,14 @@ def daily_order_counts(spark, sf):
 @query(
     with_tables(
         "SELECT symbol, count(*) AS orders, "
-        + rnd("sum(CASE WHEN side = 'buy' THEN notional ELSE 0 END)", "bought", 1) + ", "
-        + rnd("sum(CASE WHEN side = 'buy' THEN 0 ELSE notional END)", "sold", 1) + ", "
-        + rnd("sum(CASE WHEN side = 'buy' THEN notional ELSE -notional END)", "net", 1)
+        + money("sum(CASE WHEN side = 'buy' THEN CAST(notional AS DECIMAL(28, 2)) ELSE 0 END)", "bought") + ", "
+        + money("sum(CASE WHEN side = 'buy' THEN 0 ELSE CAST(notional AS DECIMAL(28, 2)) END)", "sold") + ", "
+        + money("sum(CASE WHEN side = 'buy' THEN 1 ELSE -1 END * CAST(notional AS DECIMAL(28, 2)))", "net")
         + ", min(ts) AS first_ts FROM journal GROUP BY ROLLUP (symbol)"
     )
 )
 def journal_summary(spark, sf):
-    return shown(journal.journal_summary(fx.journal(spark, sf)), 1)
+    return journal.journal_summary(fx.journal(spark, sf))
 
 
 @query(with_tables(f"SELECT {_JOURNAL} FROM journal WHERE ts[1:10] = '1998-03-04'"))
@@ -86,12 +96,12 @@ def journal_of_a_day(spark, sf):
 
 @query(
     with_tables(
-        "SELECT count(*) AS orders, " + rnd("sum(notional)", "notional", 2)
+        "SELECT count(*) AS orders, " + money("coalesce(sum(CAST(notional AS DECIMAL(28, 2))), 0)", "notional")
         + " FROM journal WHERE ts[1:10] = '1998-03-04'"
     )
 )
 def total_of_a_day(spark, sf):
-    return shown(journal.day_total(fx.journal(spark, sf), dt.date(1998, 3, 4)), 2)
+    return journal.day_total(fx.journal(spark, sf), dt.date(1998, 3, 4))
 
 
 @query(
@@ -118,16 +128,32 @@ def orders_with_daily_count(spark, sf):
 
 @query(
     with_tables(
-        "SELECT order_id, placed_today, concat_ws('; ', "
+        "SELECT order_id, placed_today, CASE "
+        "WHEN NOT coalesce(qty > 0, false) THEN 'quantity must be positive' "
+        "WHEN NOT coalesce(price > 0, false) THEN 'price must be positive' ELSE concat_ws('; ', "
         "CASE WHEN notional > 250000 THEN 'notional $' || format('{:,.2f}', notional) || "
         "' exceeds $250,000.00 (over by $' || format('{:,.2f}', notional - 250000) || ')' END, "
         "CASE WHEN placed_today >= 8 THEN 'already placed ' || placed_today || ' order(s) today; limit 8' END"
-        ") AS reasons, NOT (notional > 250000 OR placed_today >= 8) AS passed "
-        "FROM (SELECT *, count(*) OVER (PARTITION BY day) AS placed_today FROM proposed)"
+        ") END AS reasons, coalesce(qty > 0 AND price > 0 AND NOT (notional > 250000 OR placed_today >= 8), false) "
+        "AS passed FROM (SELECT * REPLACE (qty * price * coalesce(multiplier, 1) AS notional) FROM ("
+        "SELECT * REPLACE (CASE o_key % 31 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 1 END AS qty, "
+        "CASE o_key % 37 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE price END AS price, "
+        "CASE o_key % 5 WHEN 0 THEN NULL ELSE 1 END AS multiplier), count(*) OVER (PARTITION BY day) AS placed_today "
+        "FROM (SELECT *, order_id::BIGINT AS o_key FROM proposed)))"
     )
 )
 def order_verdicts(spark, sf):
+    """Orders of which some lack a quantity, a price or a multiplier, or have none to speak of."""
     orders = fx.proposed_orders(spark, sf)
+    key = F.col("order_id").cast("long")
+    one = F.lit(1.0)
+    orders = orders.withColumns(
+        {
+            "qty": F.when(key % 31 == 1, 0.0).when(key % 31 == 2, -1.0).when(key % 31 != 0, one),
+            "price": F.when(key % 37 == 1, 0.0).when(key % 37 != 0, F.col("price")),
+            "multiplier": F.when(key % 5 != 0, one),
+        }
+    )
     out = journal.check_orders(orders, orders, _LIMITS)
     return out.select(
         "order_id", "placed_today", F.array_join("reasons", "; ").alias("reasons"), "passed"

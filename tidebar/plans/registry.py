@@ -45,3 +45,12 @@ def shown(df: DataFrame, digits: int = 6, plain: tuple[str, ...] = (), **special
             column = utc_clock(column)
         out.append(column.alias(field.name))
     return df.select(*out)
+
+
+def cents(df: DataFrame, *names: str) -> DataFrame:
+    """Exact sums of amounts, shown with two digits.
+
+    Rounded as decimals, a half goes the same way in both engines.
+    """
+    exact = {n: F.round(F.col(n).cast("decimal(38,6)"), 2).cast("double") for n in names}
+    return df.withColumns(exact)

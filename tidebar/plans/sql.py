@@ -15,6 +15,11 @@ def rnd(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round(({expr}) + {NUDGE}, {digits}) + 0e0 AS {name or expr.split('.')[-1]}"
 
 
+def money(expr: str, name: str) -> str:
+    """SQL of :func:`tidebar.plans.registry.cents`."""
+    return f"round(CAST({expr} AS DECIMAL(38, 6)), 2)::DOUBLE AS {name}"
+
+
 def _bars(source: str, bucket: str, order: str) -> str:
     return f"""
     SELECT symbol, bucket AS ts, first(price ORDER BY {order}) AS open, max(price) AS high,
@@ -109,10 +114,10 @@ TABLES = {
         f"FROM (SELECT symbol, CAST({et('ts')} AS DATE) AS d FROM days) GROUP BY symbol"
     ),
     "requests": """
-      SELECT symbol, 'all' AS kind, cov_start AS "start", cov_end AS "end" FROM day_spans WHERE days > 20
-      UNION ALL SELECT symbol, 'half', cov_start, cov_start + (days // 2)::INT FROM day_spans WHERE days > 20
-      UNION ALL SELECT symbol, 'later', cov_end + 10, cov_end + 20 FROM day_spans WHERE days > 20
-      UNION ALL SELECT symbol, 'inside', cov_start + 5, cov_start + (days // 2)::INT - 5 FROM day_spans WHERE days > 20""",
+      SELECT symbol, 'all' AS kind, cov_start AS "start", cov_end AS "end" FROM day_spans
+      UNION ALL SELECT symbol, 'half', cov_start, cov_start + (days // 2)::INT FROM day_spans
+      UNION ALL SELECT symbol, 'later', cov_end + 10, cov_end + 20 FROM day_spans
+      UNION ALL SELECT symbol, 'inside', cov_start + 5, cov_start + (days // 2)::INT - 5 FROM day_spans""",
     "covered": (
         "SELECT symbol, cov_start, cov_start + (days // 2)::INT AS cov_end, n AS rows FROM day_spans"
     ),

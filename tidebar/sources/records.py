@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidebar.operators import journal as journal_ops
 from tidebar.operators.coverage import filter_universe
 from tidebar.schemas import CALENDAR, DEFAULT_EXCHANGES, JOURNAL, UNIVERSE
 
+_BAD = "_unreadable"
+
 
 def typed_calendar(rows: DataFrame) -> DataFrame:
     return rows.withColumn("date", F.to_date("date"))
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of JSON lines or of one JSON array; what cannot be read is an error."""
+    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    reader = spark.read.schema(wide).option("columnNameOfCorruptRecord", _BAD)
+    bad = []
+    for whole in (False, True):
+        rows = reader.option("multiLine", whole).json(path)
+        bad = rows.filter(F.col(_BAD).isNotNull()).limit(1).collect()
+        if not bad:
+            return rows.drop(_BAD)
+    raise ValueError(f"not JSON records in {path}: {str(bad[0][_BAD])[:80]!r}")
+
+
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Trading sessions by date, from a JSON array or JSON lines."""
-    rows = spark.read.schema(CALENDAR).option("multiLine", True).json(path)
+    rows = read_json(spark, path, CALENDAR)
     return typed_calendar(rows).orderBy("date")
 
 
@@ -30,7 +46,11 @@ def read_universe(
     fmt: str = "json",
 ) -> DataFrame:
     """Assets of the chosen exchanges."""
-    rows = spark.read.schema(UNIVERSE).format(fmt).load(path)
+    rows = (
+        read_json(spark, path, UNIVERSE)
+        if fmt == "json"
+        else spark.read.schema(UNIVERSE).format(fmt).load(path)
+    )
     return filter_universe(rows, exchanges, tradable_only, shortable_only)
 
 
