@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.markettime import from_utc, market_date
@@ -71,28 +71,43 @@ def batch_by_window(gaps: DataFrame, batch_size: int = 10_000) -> DataFrame:
 def merge_coverage(
     old: DataFrame, loaded: DataFrame, last_settled: Column | dt.date | None = None
 ) -> DataFrame:
-    """Coverage after loading windows ``symbol, start, end``.
+    """Coverage after loading windows ``symbol, start, end``, any number per symbol.
 
-    Touching or overlapping windows merge, a separate one replaces the old. The end
-    is capped at the last settled market date; what is left empty is dropped.
+    Touching or overlapping windows merge, with each other and with the old one. One span
+    stays per symbol: the one that holds the old coverage if something new joined it, else
+    the new one that ends last. The end of what was loaded is capped at the last settled
+    market date; what is left empty is dropped.
     """
     settled = (
         F.date_sub(market_date(F.current_timestamp()), 1)
         if last_settled is None
         else (last_settled if isinstance(last_settled, Column) else F.lit(last_settled))
     )
-    start, end = F.col("start"), F.col("end")
-    first, last = F.col("cov_start"), F.col("cov_end")
-    apart = first.isNull() | (start > F.date_add(last, 1)) | (end < F.date_sub(first, 1))
-    new_first = F.when(start.isNull(), first).when(apart, start).otherwise(F.least(start, first))
-    new_last = F.when(start.isNull(), last).otherwise(
-        F.least(F.when(apart, end).otherwise(F.greatest(end, last)), settled)
+    known = old.select(
+        "symbol", F.col("cov_start").alias("start"), F.col("cov_end").alias("end"), F.lit(False).alias("new")
     )
-    return (
-        old.select("symbol", "cov_start", "cov_end")
-        .join(loaded.select("symbol", "start", "end"), "symbol", "full")
-        .select("symbol", new_first.alias("cov_start"), new_last.alias("cov_end"))
-        .filter(F.col("cov_end") >= F.col("cov_start"))
+    spans = loaded.select("symbol", "start", "end", F.lit(True).alias("new")).filter("start <= end")
+    order = Window.partitionBy("symbol").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("start") > F.date_add(reach, 1), F.lit(True)).cast("int")
+    islands = (
+        known.unionByName(spans)
+        .withColumn("apart", apart)
+        .withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("symbol", "island")
+        .agg(
+            F.max("new").alias("fresh"),
+            F.max(~F.col("new")).alias("held"),
+            F.min("start").alias("cov_start"),
+            F.max("end").alias("cov_end"),
+        )
+    )
+    kept = islands.groupBy("symbol").agg(
+        F.max(F.struct("fresh", "held", "cov_end", "cov_start")).alias("k")
+    )
+    end = F.when(F.col("k.fresh"), F.least("k.cov_end", settled)).otherwise(F.col("k.cov_end"))
+    return kept.select("symbol", F.col("k.cov_start").alias("cov_start"), end.alias("cov_end")).filter(
+        F.col("cov_end") >= F.col("cov_start")
     )
 
 

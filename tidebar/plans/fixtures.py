@@ -163,7 +163,6 @@ def calendar(bars: DataFrame) -> DataFrame:
 def requests(bars: DataFrame) -> DataFrame:
     """Three requests per symbol: all dates, the first half, and after the end."""
     spans = coverage_of(bars)
-    days = F.datediff("cov_end", "cov_start")
     middle = F.expr("date_add(cov_start, cast(floor(datediff(cov_end, cov_start) / 2) as int))")
     first, last = F.col("cov_start"), F.col("cov_end")
 
@@ -176,7 +175,7 @@ def requests(bars: DataFrame) -> DataFrame:
         kind("later", F.date_add(last, 10), F.date_add(last, 20)),
         kind("inside", F.date_add(first, 5), F.date_sub(middle, 5)),
     )
-    return spans.filter(days > 20).select("symbol", F.explode(kinds).alias("k")).select("symbol", "k.*")
+    return spans.select("symbol", F.explode(kinds).alias("k")).select("symbol", "k.*")
 
 
 def first_half(bars: DataFrame) -> DataFrame:

@@ -48,14 +48,20 @@ def normalised(stream: DataFrame) -> DataFrame:
 def upsert_into(store: BarStore, timeframe: str | TimeFrame) -> Callable[[DataFrame, int], None]:
     """Batch function that merges bars into a store, newest wins.
 
-    Writing the same batch again changes nothing, so a restarted query is safe.
+    A stream has no gaps of its own, so a batch covers what lies between the coverage so far
+    and its bars: a weekend or a late correction never moves the end back. Writing the same batch again changes nothing, so a restarted query is safe.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         date = market_date(F.col("ts"))
-        windows = batch.groupBy("symbol").agg(F.min(date).alias("start"), F.max(date).alias("end"))
+        spans = batch.groupBy("symbol").agg(F.min(date).alias("first"), F.max(date).alias("last"))
+        windows = spans.join(store.read_coverage(timeframe), "symbol", "left").select(
+            "symbol",
+            F.least("first", F.date_add("cov_end", 1)).alias("start"),
+            F.greatest("last", F.date_sub("cov_start", 1)).alias("end"),
+        )
         store.load(timeframe, batch, windows)
 
     return write
