@@ -26,8 +26,8 @@ def scripted(panel, runs, length):
     spark = panel.sparkSession
     weights, decisions = [], []
     for run in runs:
+        decisions += [(run.run_id, i, i not in run.params["script"]) for i in range(length - 1)]
         for i, w in run.params["script"].items():
-            decisions.append((run.run_id, i, False))
             weights += [(run.run_id, i, s, float(x)) for s, x in w.items()]
     return signals.Signal(
         spark.createDataFrame(weights, "run_id string, seq long, symbol string, weight double"),
@@ -94,3 +94,25 @@ def test_gaps_trade_at_the_last_close(spark):
     equity, _, _ = account(opens, closes, moves, COSTS)
     got = {r.seq: r.equity for r in sweep.equity.collect()}
     assert [got[i] for i in range(len(got))] == pytest.approx(equity, rel=1e-9)
+
+
+def test_signals_that_cannot_be_traded_are_refused(spark):
+    frame, _, _ = panel(spark)
+    with pytest.raises(KeyError, match="ZZZ"):
+        portfolio.run_sweep(frame, [Run("a", "scripted", {"script": {3: {"ZZZ": 0.5}}}, COSTS)])
+    costly = Costs(min_commission=5)
+    with pytest.raises(ValueError, match="minimum commission"):
+        portfolio.run_sweep(frame, [Run("a", "scripted", {"script": script(10)}, costly)])
+
+
+@signals.register("forgetful")
+def forgetful(given, runs, length):
+    """Decides on every other bar only."""
+    made = scripted(given, runs, length)
+    return signals.Signal(made.weights, made.decisions.filter("seq % 2 = 0"))
+
+
+def test_missing_decisions_are_refused(spark):
+    frame, _, _ = panel(spark)
+    with pytest.raises(ValueError, match="without a decision"):
+        portfolio.run_sweep(frame, [Run("a", "forgetful", {"script": script(10)}, COSTS)])

@@ -485,11 +485,19 @@ def running_position(fills: DataFrame, chunk_rows: int | None = None) -> DataFra
     )
 
 
+def _amount(value: Column, digits: int | None) -> Column:
+    """``value`` as a decimal of so many digits, whose sums do not depend on their order."""
+    return value if digits is None else F.round(value, digits).cast(f"decimal(28,{digits})")
+
+
 def running_cash(
-    fills: DataFrame, accounts: DataFrame, chunk_rows: int | None = None
+    fills: DataFrame,
+    accounts: DataFrame,
+    chunk_rows: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Cash after each bar on which a run traded, without financing."""
-    spent = F.col("shares") * F.col("price") + F.col("commission")
+    spent = _amount(F.col("shares") * F.col("price") + F.col("commission"), digits)
     per_bar = fills.groupBy("run_id", "seq").agg(F.sum(-spent).alias("flow"))
     return (
         scans.running(
@@ -500,7 +508,12 @@ def running_cash(
             paid=scans.running_sum(F.col("flow")),
         )
         .join(accounts.select("run_id", "initial_cash"), "run_id")
-        .select("run_id", "seq", "flow", (F.col("initial_cash") + F.col("paid")).alias("cash"))
+        .select(
+            "run_id",
+            "seq",
+            F.col("flow").cast("double").alias("flow"),
+            (F.col("initial_cash") + F.col("paid").cast("double")).alias("cash"),
+        )
     )
 
 
@@ -532,13 +545,14 @@ def ledger_from_fills(
     timeframe: str | TimeFrame = "1Day",
     chunk_rows: int | None = None,
     rate_passes: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Cash and equity per run and bar for any table of fills, priced at the close.
 
     With financing, cash grows at the lending or the borrowing rate depending on its
     sign. The signs are first taken from the cash without interest and then from the
     result, ``rate_passes`` times; ``unsettled`` marks bars whose sign still moved in
-    the last pass.
+    the last pass. With ``digits``, amounts are rounded to them and added up exactly.
     """
     zero = F.lit(0.0)
     rates = _rates(accounts, 1 / TimeFrame.of(timeframe).periods_per_year)
@@ -553,14 +567,14 @@ def ledger_from_fills(
         .join(marks, ["symbol", "seq"])
         .groupBy("run_id", "seq")
         .agg(
-            F.sum(F.col("position") * F.col("mark")).alias("held"),
+            F.sum(_amount(F.col("position") * F.col("mark"), digits)).cast("double").alias("held"),
             F.sum(F.when(F.col("position") < 0, -F.col("position") * F.col("before"))).alias(
                 "short"
             ),
         )
     )
     flows = fills.groupBy("run_id", "seq").agg(
-        F.sum(-(F.col("shares") * F.col("price") + F.col("commission"))).alias("flow")
+        F.sum(-_amount(F.col("shares") * F.col("price") + F.col("commission"), digits)).alias("flow")
     )
     every = rates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("seq"))
     rows = (
@@ -569,7 +583,7 @@ def ledger_from_fills(
         .withColumns(
             {
                 "held": F.coalesce("held", zero),
-                "flow": F.coalesce("flow", zero),
+                "flow": F.coalesce("flow", _amount(zero, digits)),
                 "charge": F.coalesce("short", zero) * F.col("short_rate"),
             }
         )
@@ -577,7 +591,7 @@ def ledger_from_fills(
     chunk = _chunk("seq", chunk_rows)
     plain = scans.running(
         rows, ["run_id"], ["seq"], chunk, paid=scans.running_sum(F.col("flow"))
-    ).withColumn("traded", F.col("initial_cash") + F.col("paid"))
+    ).withColumn("traded", F.col("initial_cash") + F.col("paid").cast("double"))
     out = plain.withColumns({"cash": F.col("traded"), "unsettled": F.lit(False)})
     for _ in range(rate_passes):
         rated = out.withColumn(
@@ -652,6 +666,11 @@ class Sweep:
     ) -> None:
         if len({r.run_id for r in runs}) != len(runs):
             raise ValueError("run_id must be unique")
+        if any(r.costs.min_commission for r in runs):
+            raise ValueError(
+                "a minimum commission depends on the size of each order: "
+                "use lump_sum_buy or ledger_from_fills"
+            )
         self.timeframe = TimeFrame.of(timeframe) if isinstance(timeframe, str) else timeframe
         self.line = scans.timeline(bars)
         count = self.line.count()
@@ -670,6 +689,8 @@ class Sweep:
         signal = run_signals(panel, runs, count)
         self.decisions = signal.decisions
         self.weights = durable(normalise_weights(signal.weights, self.accounts))
+        bar_ops.require_known_symbols(self.weights, panel)
+        self._check_decisions(runs, count)
         rebalances = durable(schedule_rebalances(signal.decisions, self.length, bar_rows))
         self.legs = durable(legs_of(self.weights, rebalances, self.grid))
         self.growth = durable(
@@ -689,6 +710,13 @@ class Sweep:
             bar_rows,
         )
 
+    def _check_decisions(self, runs: Sequence[Run], count: int) -> None:
+        """Every bar after the warm-up but the last one needs a decision."""
+        warmups = self.decisions.groupBy("run_id").agg(F.min("seq").alias("warmup"))
+        missing = missing_decisions(self.decisions, count, warmups).limit(20).collect()
+        if missing:
+            raise ValueError(f"runs without a decision on every bar: {sorted(r.run_id for r in missing)}")
+
     def equity_table(self) -> DataFrame:
         return equity_table(self.equity, self.holdings, self.fills, self.timeframe.chunk_seconds())
 

@@ -8,8 +8,8 @@ from tidebar.operators import bars, metrics, portfolio, report, scans, signals
 from tidebar.operators.signals import Costs, Run
 from tidebar.plans import fixtures as fx
 from tidebar.plans.metric_queries import stats_tables
-from tidebar.plans.registry import query, shown
-from tidebar.plans.sql import rnd, with_tables
+from tidebar.plans.registry import cents, query, shown
+from tidebar.plans.sql import money, rnd, with_tables
 from tidebar.session import scratch_folder
 from tidebar.sources import tables
 
@@ -531,7 +531,7 @@ _FLOW_TABLES = {
       FROM day_cells c LEFT JOIN own_booked f ON f.symbol = c.symbol AND f.seq = c.seq""",
     "own_cash": """
       SELECT l.seq, 1e9 - sum(coalesce(flow, 0)) OVER (ORDER BY l.seq) AS cash
-      FROM day_line l LEFT JOIN (SELECT seq, sum(shares * price + commission) AS flow
+      FROM day_line l LEFT JOIN (SELECT seq, sum(CAST(round(shares * price + commission, 9) AS DECIMAL(28, 9))) AS flow
         FROM own_booked GROUP BY seq) USING (seq)""",
 }
 
@@ -572,21 +572,21 @@ def running_positions(spark, sf):
 
 @query(
     with_tables(
-        "SELECT 'own' AS run_id, seq, " + rnd("-flow", "flow", 2) + ", "
-        + rnd("1e9 - sum(flow) OVER (ORDER BY seq)", "cash", 2)
-        + " FROM (SELECT seq, sum(shares * price + commission) AS flow FROM own_booked GROUP BY seq)",
+        "SELECT 'own' AS run_id, seq, " + money("-flow", "flow") + ", "
+        + money("1e9 - sum(flow) OVER (ORDER BY seq)", "cash")
+        + " FROM (SELECT seq, sum(CAST(round(shares * price + commission, 9) AS DECIMAL(28, 9))) AS flow FROM own_booked GROUP BY seq)",
         **_FLOW_TABLES,
     )
 )
 def running_cash(spark, sf):
     fills, _, _, accounts = _journal_fills(spark, sf)
-    return shown(portfolio.running_cash(fills, accounts, chunk_rows=250), 2)
+    return cents(portfolio.running_cash(fills, accounts, chunk_rows=250, digits=9), "flow", "cash")
 
 
 @query(
     with_tables(
-        "SELECT 'own' AS run_id, p.ts, " + rnd("any_value(c.cash)", "cash", 2) + ", "
-        + rnd("any_value(c.cash) + sum(p.position * p.mark)", "equity", 2)
+        "SELECT 'own' AS run_id, p.ts, " + money("any_value(c.cash)", "cash") + ", "
+        + money("any_value(c.cash) + sum(CAST(round(p.position * p.mark, 9) AS DECIMAL(28, 9)))", "equity")
         + " FROM own_positions p JOIN own_cash c USING (seq) GROUP BY p.ts",
         **_FLOW_TABLES,
     )
@@ -595,8 +595,10 @@ def ledger_of_journal_fills(spark, sf):
     fills, days, line, accounts = _journal_fills(spark, sf)
     length = line.agg(F.max("seq") + 1).scalar()
     grid = bars.dense_grid(days, fields=(), line=line)
-    out = portfolio.ledger_from_fills(fills, grid, accounts, line, length, rate_passes=0)
-    return shown(out.select("run_id", "ts", "cash", "equity"), 2)
+    out = portfolio.ledger_from_fills(
+        fills, grid, accounts, line, length, chunk_rows=1000, rate_passes=0, digits=9
+    )
+    return shown(cents(out.select("run_id", "ts", "cash", "equity"), "cash", "equity"), plain=("cash", "equity"))
 
 
 @query(
