@@ -37,10 +37,14 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder path where the cluster keeps checkpoints, shared by all executors.
 
-    A folder of our own is used only where ``spark.checkpoint.dir`` is not set.
+    Where ``spark.checkpoint.dir`` is not set, a local session uses a folder of its own; on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = base or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="tidebar-scratch-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidebar-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
