@@ -6,8 +6,8 @@ they are written); fewer words make one shingle, no word makes none. Documents w
 Each set has ``TOKENS`` minhash tokens. A run starts with all sets in one bucket and splits
 it by the tokens at one or (with probability 1 / threshold - 1) two sampled positions, so
 that two sets of that similarity are together in one part on average. Small parts are
-compared at once; large ones are split again, at positions chosen by their path, up to
-``DEPTH`` times, and then compared in blocks. ``runs`` runs find a pair at the threshold
+compared at once, as are large ones of near-equal sets, in blocks; others are split again, at
+positions chosen by their path, up to ``DEPTH`` times. ``runs`` runs find a pair at the threshold
 with probability ``RECALL``, less similar ones are rejected later: candidates by their tokens
 (with four standard deviations of slack) become groups, in which all pairs are compared by
 their whole sets.
@@ -35,6 +35,8 @@ THRESHOLD = 0.8
 TOKENS = 64
 SMALL = 128
 DEPTH = 6
+#: Part of a large bucket that is alike one member, from which on it isn't split.
+DENSE = 0.25
 RECALL = 0.9999
 
 _rng = np.random.RandomState(7)
@@ -151,24 +153,44 @@ def overlapping(threshold: float):
     return near
 
 
+def dense(rows: DataFrame, slack: float) -> DataFrame:
+    """Paths of large buckets in which a good part is alike the member of least id.
+
+    Splitting does not take such members apart, so their bucket is compared as it is.
+    """
+    pivots = rows.filter("id = low").select("path", F.col("sign").alias("pivot"))
+    token = lambda c, i: F.substring(c, i * 4 + 1, F.lit(4))
+    agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)),
+                            lambda i: token(F.col("sign"), i) == token(F.col("pivot"), i)))
+    share = F.avg((agree >= slack * TOKENS).cast("double"))
+    return rows.join(pivots, "path").groupBy("path").agg(share.alias("share")).filter(F.col("share") >= DENSE)
+
+
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, component) of sets that may be near; ``sets`` are (id, sign)."""
     slack = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    near = alike(slack)
+
+    def compared(rows: DataFrame, block: int = 8 * SMALL) -> DataFrame:
+        dealt = links.blocks(rows, block=block).select("path", "id", "sign")
+        return links.near_forests(dealt, near)
+
     runs = F.explode(F.sequence(F.lit(0), F.lit(runs_for(threshold) - 1)))
     rows = sets.select(runs.alias("path"), "id", "sign")
     edges = None
     for depth in range(DEPTH):
         buckets = links.shared(split(rows.withColumn("path", F.xxhash64("path", F.lit(depth))), threshold))
         small = buckets.filter(F.col("n") <= SMALL)
-        part = links.near_forests(small.select("path", "id").join(sets, "id").select("path", "id", "sign"),
-                                  alike(slack))
+        part = links.near_forests(small.select("path", "id").join(sets, "id").select("path", "id", "sign"), near)
         edges = part if edges is None else edges.unionByName(part)
         large = buckets.filter(F.col("n") > SMALL)
-        rows = large.join(sets, "id").select("path", "id", "n", "sign")
         if large.isEmpty():
             return links.components(edges)
-    dealt = links.blocks(rows, block=4 * SMALL).select("path", "id", "sign")
-    return links.components(edges.unionByName(links.near_forests(dealt, alike(slack))))
+        rows = large.join(sets, "id").select("path", "id", "n", "low", "sign")
+        rows = durable(rows.join(dense(rows, slack), "path", "left"))
+        edges = edges.unionByName(compared(rows.filter("share IS NOT NULL")))
+        rows = rows.filter("share IS NULL")
+    return links.components(edges.unionByName(compared(rows)))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",

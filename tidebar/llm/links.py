@@ -70,13 +70,16 @@ def column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Buckets (path, id, n) with two things at least; of equal buckets one stays."""
+    """Buckets (path, id, n, low) with two things at least; of equal buckets one stays.
+
+    ``n`` is the size of a bucket and ``low`` its least id.
+    """
     rows = durable(rows)
     things = rows.groupBy("path").agg(
         F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
         F.bit_xor(F.xxhash64("id")).alias("mix"))
     one = things.filter("n > 1").groupBy("n", "low", "high", "mix").agg(F.min("path").alias("path"))
-    return durable(rows.join(one.select("path", "n"), "path"))
+    return durable(rows.join(one.select("path", "n", "low"), "path"))
 
 
 def near_forests(rows: DataFrame, near: Near) -> DataFrame:
