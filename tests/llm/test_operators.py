@@ -389,11 +389,12 @@ def test_backoff_scores(spark, monkeypatch):
     assert backoff.score(empty(df)).count() == 0
 
 
-def test_backoff_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    relation = con.sql(ORACLES["op8_backoff_scores"])
-    df = QUERIES["op8_backoff_scores"](spark, SF)
+    relation = con.sql(ORACLES[name])
+    df = QUERIES[name](spark, SF)
     assert df.columns == relation.columns
     assert sorted(map(tuple, df.collect())) == sorted(relation.fetchall())
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import backoff, bpe, html_extract, itq, jaccard, langid, ordinal, packing, pii, rules
+from tidebar.llm import backoff, bpe, html_extract, itq, jaccard, langid, ordinal, packing, pii, rules, rules_sql
 from tidebar.llm.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,7 +56,7 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade"))
 
 
-@query()
+@query(rules_sql.oracle())
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = rules.judged(docs)

@@ -43,7 +43,6 @@ BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct of measures in the column ``M``."""
-    gap = r" \t\n\u000B\u000C\r"
     some = f"coalesce(`{text}`, '')"
     step = docs.withColumn(f"{M}_words", F.expr(
         rf"regexp_extract_all({some}, '[^\\x20\\x09-\\x0D]+', 0)"))
@@ -68,14 +67,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
               f" coalesce(get({M}_starts, k + 1) - s, {WINDOW}))), 0L, (a, x) -> a + x), 0L)")
     parts = {
         "n_words": f"CAST(size({M}_words) AS BIGINT)",
-        "word_chars": f"CAST(length(translate({some}, '{gap}', '')) AS BIGINT)",
-        "n_symbols": f"CAST(length({some}) - length(translate({some}, '#*$%&|<>', '')) AS BIGINT)",
+        "word_chars": f"CAST(length(array_join({M}_words, '')) AS BIGINT)",
+        "n_symbols": f"CAST(regexp_count({some}, '[#*$%&|<>]') AS BIGINT)",
         "n_lines": f"CAST(size({M}_lines) AS BIGINT)",
         "n_dup_lines": f"CAST(size({M}_lines) - size(array_distinct({M}_lines)) AS BIGINT)",
         "n_repeat_words": repeat,
         "n_distinct": f"CAST(size(array_distinct({M}_hashes)) AS BIGINT)",
         "n_upper": f"CAST(regexp_count({some}, '\\\\p{{Lu}}') AS BIGINT)",
-        "n_marks": f"CAST(length({some}) - length(translate({some}, '!?', '')) AS BIGINT)",
+        "n_marks": f"CAST(regexp_count({some}, '[!?]') AS BIGINT)",
     }
     inside = ", ".join(f"'{name}', {sql}" for name, sql in parts.items())
     step = step.withColumn(f"{M}_m", F.expr(f"named_struct({inside})"))
