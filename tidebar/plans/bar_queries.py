@@ -15,6 +15,7 @@ from tidebar.plans.sql import et, rnd, with_tables
 from tidebar.schemas import BAR_FIELDS
 from tidebar.session import scratch_folder
 from tidebar.sources import payload, records, tables
+from tidebar.sources.loading import load_bars
 from tidebar.sources.store import BarStore
 
 _BARS = "symbol, ts, open, high, low, close, volume, trade_count, " + rnd("vwap")
@@ -627,3 +628,49 @@ def forward_filled(spark, sf):
     )
     out = indicators.forward_fill(gappy, ["symbol"], "high", "filled", chunk_seconds=3 * 86400)
     return shown(out.select("symbol", "ts", "filled"), plain=("filled",))
+
+
+@query(
+    with_tables(
+        f"SELECT {_BARS.replace('symbol', 'upper(symbol) AS symbol', 1)} FROM hourly "
+        f"WHERE symbol IN ('click', 'view') AND CAST({et('ts')} AS DATE) BETWEEN DATE '2024-01-04' AND DATE '2024-01-11' "
+        f"AND hour({et('ts')}) * 60 + minute({et('ts')}) < 960 AND hour({et('ts')}) * 60 + minute({et('ts')}) + 60 > 570"
+    )
+)
+def loaded_bars(spark, sf):
+    """Bars of two symbols, fetched in two overlapping requests and read in a third."""
+    made = fx.hourly_bars(spark, sf).withColumn("symbol", F.upper("symbol"))
+    store = BarStore(spark, scratch_folder(spark, "store"))
+
+    def fetch(gaps):
+        day = markettime.market_date(F.col("ts"))
+        return made.join(gaps, "symbol").filter(day.between(F.col("gap_start"), F.col("gap_end")))
+
+    first, middle, last = dt.date(2024, 1, 4), dt.date(2024, 1, 8), dt.date(2024, 1, 11)
+    names = [" view", "CLICK", "view"]
+    load_bars(store, "1Hour", names, middle, last, fetch=fetch)
+    load_bars(store, "1Hour", names, first, middle, fetch=fetch)
+    return shown(load_bars(store, "1Hour", names, first, last), plain=_PLAIN)
+
+
+@query(with_tables(f"SELECT {_BARS} FROM days"))
+def stored_bars_of_gaps(spark, sf):
+    """Bars loaded for every window that several requests of a symbol lack."""
+    days = fx.brand_days(spark, sf)
+    store = BarStore(spark, scratch_folder(spark, "store"))
+    wanted = fx.requests(days).filter("kind IN ('all', 'half')")
+    gaps = coverage.coverage_gaps(wanted, store.read_coverage("1Day"))
+    windows = gaps.selectExpr("symbol", "gap_start AS start", "gap_end AS end")
+    store.load("1Day", days, windows)
+    return shown(store.read("1Day"), plain=_PLAIN)
+
+
+@query(
+    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, '09:30' AS open, '16:00' AS close FROM orders"
+)
+def calendar_file(spark, sf):
+    """A calendar written as JSON lines and read back."""
+    days = fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    path = scratch_folder(spark, "calendar")
+    days.withColumns({"open": F.lit("09:30"), "close": F.lit("16:00")}).write.json(path)
+    return records.read_calendar(spark, path).select("date", "open", "close")

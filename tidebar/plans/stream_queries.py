@@ -129,3 +129,18 @@ def streamed_order_checks(spark, sf):
     checked = stream_journal.check_order_stream(_journal_stream(spark, sf), limits, shards=2)
     out = _drain(checked, spark, "checks")
     return out.select("order_id", "symbol", "day", "passed")
+
+
+@query(with_tables(f"SELECT {_BARS} FROM hourly WHERE day(ts) <= 9 OR day(ts) > 12"))
+def streamed_bar_store_batches(spark, sf):
+    """Several batches into a bar table: days apart, then a late correction."""
+    made = fx.hourly_bars(spark, sf)
+    store = BarStore(spark, scratch_folder(spark, "store"))
+    write = stream_bars.upsert_into(store, "1Hour")
+    day = F.dayofmonth("ts")
+    wrong = made.withColumn("close", F.lit(1.0))
+    batches = [made.filter(day < 5), wrong.filter(day.between(5, 9)), made.filter(day > 12),
+               made.filter(day.between(5, 9))]
+    for number, batch in enumerate(batches):
+        write(batch, number)
+    return shown(store.read("1Hour"), plain=_PLAIN)
