@@ -30,54 +30,63 @@ PATTERN = (
 )
 
 
+#: Positions below one leaf of the tree; a leaf's least is taken from them directly.
+LEAF = 16
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match: the pair of least rank, leftmost first, is merged until none is left."""
+    """Ids of one match: the pair of least rank, leftmost first, is merged until none is left.
+
+    The least pair of each stretch of ``LEAF`` positions is a leaf of the segment tree, so a short
+    match has a tree of one node.
+    """
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
     none = 1 << 62
-    size = 1 << (n - 1).bit_length()
     look = ranks.get
-    leaves = [none] * size
+    pairs = [none] * n  # rank and place of the pair that starts here
     for i in range(n - 1):
         rank = look(piece[i : i + 2])
         if rank is not None:
-            leaves[i] = rank * n + i
-    tree = level = leaves
-    while len(level) > 1:
-        level = list(map(min, level[::2], level[1::2]))
-        tree = level + tree
-    tree.insert(0, none)
-
-    def put(i: int, value: int) -> None:
-        i += size
+            pairs[i] = rank * n + i
+    size = 1 << ((n - 1) // LEAF).bit_length()
+    tree = [none] * (2 * size)
+
+    def update(leaf: int) -> None:
+        value = min(pairs[leaf * LEAF : (leaf + 1) * LEAF])
+        i = leaf + size
         tree[i] = value
         while i > 1:
-            other = tree[i ^ 1]
-            if other < value:
-                value = other
+            value = min(value, tree[i ^ 1])
             i >>= 1
             if tree[i] == value:
                 return
             tree[i] = value
 
+    if size > 1:
+        for leaf in range((n - 1) // LEAF + 1):
+            update(leaf)
     end = list(range(1, n + 1))  # where the symbol that starts here ends
     before = list(range(-1, n))  # where the live symbol before it starts
-    while tree[1] != none:
-        i = tree[1] % n
+    while True:
+        least = tree[1] if size > 1 else min(pairs)
+        if least == none:
+            break
+        i = least % n
         j = end[i]
         stop = end[i] = end[j]
         before[stop] = i
-        if tree[size + j] != none:
-            put(j, none)
+        pairs[j] = none
         rank = look(piece[i : end[stop]]) if stop < n else None
-        put(i, none if rank is None else rank * n + i)
+        pairs[i] = none if rank is None else rank * n + i
+        k = before[i]
         if i:
-            k = before[i]
             rank = look(piece[k:stop])
-            rank = none if rank is None else rank * n + k
-            if tree[size + k] != rank:
-                put(k, rank)
+            pairs[k] = none if rank is None else rank * n + k
+        if size > 1:
+            for leaf in {max(k, 0) // LEAF, i // LEAF, j // LEAF}:
+                update(leaf)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -121,7 +130,7 @@ def encoder(path: str):
                 return self[stretch[:-1]] + marks[stretch[-1]]
             return super().__missing__(stretch)
 
-    look = Stretches(ids).__getitem__
+    look = Stretches(ids, most=1_200_000).__getitem__
     return lambda text: b"".join(map(look, stretches(text)))
 
 
