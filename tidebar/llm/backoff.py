@@ -12,7 +12,9 @@ Documents are dealt to batches. A batch sends its distinct n-grams, hashed to 64
 count tables, which are partitioned by ranges of the hash; a partition adds up the counts of
 all batches and answers each of them in the order it asked. Batches and partitions grow in
 number with the rows, so the memory of a task does not. A very frequent n-gram is one key
-for each batch. Keys travel sorted, as differences, byte by byte, which compresses well.
+for each batch. Keys travel sorted, as differences, byte by byte, and documents as compressed
+blocks, which keeps the shuffles small. Keys have as many bits as the number of words asks for (twice
+those of the number and two more, so that hardly any two n-grams share one), up to 64.
 
 Null and empty texts have no words and score 0 (mean null). Texts count whole. Repeated rows
 count and are scored as often as they come.
@@ -47,33 +49,62 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+def width(total: int) -> int:
+    """Bits of a key for so many words."""
+    return min(max(2 * max(total, 1).bit_length() + 2, 48), 64)
+
+
+def part_of(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Partition of each hash; rises with it."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def boxed(docs: pa.Table) -> bytes:
+    """Rows of documents as one compressed block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def unboxed(blocks: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks)
+
+
+def box(batches):
+    """One block for each batch that the given rows (batch, doc_id, text) belong to."""
+    for given in batches:
+        rows = pa.Table.from_batches([given]).sort_by("batch")
+        keys = rows.column("batch").to_numpy()
+        starts = np.flatnonzero(np.diff(keys, prepend=-1)).tolist()
+        parts = [rows.slice(a, b - a).select(["doc_id", "text"]) for a, b in zip(starts, [*starts[1:], len(keys)])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[starts]), pa.array([boxed(p.combine_chunks()) for p in parts], pa.binary())],
+            names=["batch", "docs"])
 
 
-def batch_grams(texts: list[str | None], order: int):
+def batch_grams(texts: list[str | None], order: int, bits: int):
     """Words of each text, and the hashes of the n-grams for each order, text after text."""
     hashed = [np.array(list(map(_cache.__getitem__, words(t or ""))), np.uint64) for t in texts]
     sizes = np.array([len(h) for h in hashed], np.int64)
     found = []
     for n in range(1, order + 1):
         each = [grams(h, n) for h in hashed]
-        found.append(np.concatenate(each) if each else np.empty(0, np.uint64))
+        found.append(np.concatenate(each) >> np.uint64(64 - bits) if each else np.empty(0, np.uint64))
     return sizes, found
 
 
-def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
+def asked(docs: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
     """(part, batch, order, keys, counts): what each batch sends to the count tables."""
     from tidebar.llm.links import grouped
 
     def run(batches):
         for table in grouped(batches):
             batch = table.column(0)[0].as_py()
-            _, found = batch_grams(table.column("text").to_pylist(), order)
+            _, found = batch_grams(unboxed(table.column("docs")).column("text").to_pylist(), order, bits)
             for n, all_keys in enumerate(found, 1):
                 keys, counts = np.unique(all_keys, return_counts=True)
-                bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+                bounds = np.searchsorted(part_of(keys, parts, bits), np.arange(parts + 1))
                 rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()),
@@ -97,8 +128,8 @@ def answered(requests: DataFrame) -> DataFrame:
             orders = table.column("n").to_numpy()
             for n in np.unique(orders).tolist():
                 chosen = table.filter(pa.array(orders == n))
-                keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in chosen.column("keys").to_pylist()]
-                counts = [unpacked(x) for x in chosen.column("counts").to_pylist()]
+                keys = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in chosen.column("keys")]
+                counts = [unpacked(x.as_py()).astype(np.float64) for x in chosen.column("counts")]
                 _, place = np.unique(np.concatenate(keys), return_inverse=True)
                 total = np.bincount(place, np.concatenate(counts)).astype(np.uint64)[place]
                 ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -141,16 +172,18 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.count()
     groups = max(1, -(-size // BATCH))
-    parts = max(32, groups)
+    parts = max(32, 4 * groups)
     batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
-    # Both readers of this exchange share it.
-    dealt = rows.select(batch.alias("batch"), "doc_id", "text").repartition(groups, "batch")
-    answers = answered(asked(dealt, order, parts))
     counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     total = rows.agg(F.sum(counted.cast("long"))).first()[0] or 0
+    bits = width(total)
+    blocks = rows.select(batch.alias("batch"), "doc_id", "text").mapInArrow(box, "batch long, docs binary")
+    dealt = blocks.repartition(groups, "batch")  # both readers of this exchange share it
+    answers = answered(asked(dealt, order, parts, bits))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sizes, found = batch_grams(left.column("text").to_pylist(), order)
+        docs = unboxed(left.column("docs"))
+        sizes, found = batch_grams(docs.column("text").to_pylist(), order, bits)
         counts = []
         for n, all_keys in enumerate(found, 1):
             own = right.filter(pa.array(right.column("n").to_numpy() == n)).sort_by("part")
@@ -159,7 +192,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             counts.append(np.concatenate(got)[place].astype(np.float64) if got else np.empty(0))
         sums = log_scores(sizes, counts, total, alpha, min_count)
         means = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-        return pa.table([left.column("doc_id"), pa.array(sizes), pa.array(sums), means],
+        return pa.table([docs.column("doc_id"), pa.array(sizes), pa.array(sums), means],
                         names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
     return dealt.groupBy("batch").cogroup(answers.repartition(groups, "batch").groupBy("batch")).applyInArrow(
