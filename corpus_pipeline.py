@@ -20,7 +20,7 @@ def good_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def good_by_grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach the top grade with a probability of a half, learned from ``labels``."""
+    """Documents that reach the top grade with a probability of three quarters, learned from ``labels``."""
     known = grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return ordinal.selected(docs, ordinal.fit(docs, known, levels=3), levels=3)
 

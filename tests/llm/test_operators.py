@@ -463,7 +463,7 @@ def test_classifier_on_held_out_documents(spark):
     rows = found.join(labels, "doc_id").filter("held_out").collect()
     good = [r.selected for r in rows if r.quality == 1 and r.toxic == 0]
     poor = [r.selected for r in rows if r.quality == 0]
-    assert sum(good) >= 0.85 * len(good) and sum(poor) <= 0.15 * len(poor)
+    assert sum(good) >= 0.93 * len(good) and sum(poor) <= 0.1 * len(poor)
     assert all(0 <= r.top_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
 
 

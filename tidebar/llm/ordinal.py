@@ -1,10 +1,12 @@
 """Quality classifier: ordinal regression with cumulative links on hashed text.
 
 A grade k of 0..K-1 has P(grade <= k) = sigmoid(threshold[k] - weights . x), one weight
-vector and rising thresholds. x has a hashed feature for each distinct word (1 / 4 if it
-occurs) and for each shape of a word's marks and capitals (4 times its share of the words).
+vector and rising thresholds. x has hashed features for each word and for its first four and
+five letters (how often they occur, up to 3), and for each shape of a word's marks and capitals
+(6 times its share of the words), and for words that repeat the one before.
 The weights are fitted on at most about ``SAMPLE`` graded documents (all where there are
-fewer), chosen by a hash of the text; only words of ``SEEN`` of these get a weight. Scoring
+fewer), chosen by a hash of the id. Words get a weight if ``SEEN`` of these documents have them
+and if the grades of those differ from the rest by more than so many tries show by chance. Scoring
 adds up weights of whole texts, batch by batch, with the weights broadcast (``BUCKETS`` numbers).
 
 A score is the expected grade and the tail probability of the top grade. Null text counts
@@ -27,16 +29,19 @@ from tidebar.llm.text import Cache, hash64, words
 BUCKETS = 1 << 18
 SAMPLE = 8_000
 SEEN = 8
+COPIES = 2
 STEPS = 200
+#: Probability of the top grade from which on a document is selected.
+LEAST = 0.75
 #: Penalty of squared weights, over the number of rows.
-DECAY = 2.0
-WORD, SHAPE = 0.25, 4.0
+DECAY = 0.5
+SHAPE, MOST = 6.0, 3
 
 marks = re.compile(r"[^\w\s]+$|^[^\w\s]+", re.U)
 
 
-def features(word: str) -> tuple[int, int]:
-    """Hashed word and hashed shape; shapes use the upper half of the buckets."""
+def features(word: str) -> tuple[int, int, int, int]:
+    """Hashed word, its first five and four letters, and shape (in the upper half of the buckets)."""
     bare = word.strip("#*$%&|<>!?.,;:()[]{}\"'-_=+/\\").lower()
     if not bare:
         shape = word[:4]
@@ -46,7 +51,8 @@ def features(word: str) -> tuple[int, int]:
         digits = any(c.isdigit() for c in word)
         shape = f"{word[:start][:3]}_{word[start + len(bare):][:3]}_{upper}_{digits}_{min(len(bare), 25) // 5}"
     half = BUCKETS // 2
-    return hash64(bare) % half, half + hash64("~" + shape) % half
+    return (hash64(bare) % half, hash64("^5" + bare[:5]) % half, hash64("^4" + bare[:4]) % half,
+            half + hash64("~" + shape) % half)
 
 
 def vector(text: str, look) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +60,18 @@ def vector(text: str, look) -> tuple[np.ndarray, np.ndarray]:
     found = list(map(look, words(text)))
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    pairs = np.array(found, np.int32)
-    lexical = np.unique(pairs[:, 0])
-    shape, n = np.unique(pairs[:, 1], return_counts=True)
-    values = np.concatenate([np.full(len(lexical), WORD), SHAPE * n / len(pairs)])
-    return np.concatenate([lexical, shape]), values.astype(np.float32)
+    each = np.array(found, np.int32)
+    lexical, often = np.unique(each[:, :3], return_counts=True)
+    shape, n = np.unique(each[:, 3], return_counts=True)
+    again = np.count_nonzero(each[1:, 0] == each[:-1, 0])
+    shape, n = np.append(shape, AGAIN), np.append(n, again)
+    values = np.concatenate([np.minimum(often, MOST), SHAPE * n / len(each)])
+    return np.concatenate([lexical, shape]).astype(np.int32), values.astype(np.float32)
 
 
 _cache = Cache(features)
+#: Feature of the words that repeat the one before.
+AGAIN = BUCKETS // 2 + hash64("~again") % (BUCKETS // 2)
 
 
 def sigmoid(z):
@@ -79,16 +89,13 @@ def solve(index, value, start, grades, levels: int, steps: int = STEPS):
     cuts = np.log(share / (1 - share))
     gaps = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(gaps), np.zeros_like(gaps)]]
-    # Each grade weighs the same in the fit, up to a factor of 4.
-    counts = np.bincount(grades, minlength=levels)
-    weight = np.clip(n / levels / np.maximum(counts, 1), 0.5, 2)[grades]
     for step in range(1, steps + 1):
         theta = np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))])
         z = np.bincount(owner, w[index] * value, n)
         high = sigmoid(np.append(theta, np.inf)[grades] - z)
         low = sigmoid(np.append(-np.inf, theta)[grades] - z)
         p = np.maximum(high - low, 1e-12)
-        dh, dl = weight * high * (1 - high) / p / n, weight * low * (1 - low) / p / n
+        dh, dl = high * (1 - high) / p / n, low * (1 - low) / p / n
         grad_w = np.bincount(index, (dh - dl)[owner] * value, size) + decay * w
         dtheta = np.zeros(levels + 1)
         np.subtract.at(dtheta, grades + 1, dh)
@@ -104,6 +111,26 @@ def solve(index, value, start, grades, levels: int, steps: int = STEPS):
     return w, theta
 
 
+def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Which features get a weight: shapes, and words that go with some grade.
+
+    For each grade, Chernoff's bound on the chance that as many of the documents with a word
+    have the grade must stay below one in the number of words. As documents have near copies,
+    ``COPIES`` of them count as one.
+    """
+    n = np.bincount(index, minlength=BUCKETS)
+    often = n >= min(SEEN, max(2, len(grades) // 100))
+    words = often.copy()
+    words[BUCKETS // 2 :] = False
+    told = ~words & often
+    for grade in np.unique(grades):
+        rate = np.clip((grades == grade).mean(), 1e-6, 1 - 1e-6)
+        q = np.clip(np.bincount(index, grades[owner] == grade, BUCKETS) / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+        surprise = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
+        told |= words & (surprise > COPIES * (np.log(max(words.sum(), 2)) + 3))
+    return told
+
+
 def fit(docs: DataFrame, grades: DataFrame, levels: int, sample: int = SAMPLE):
     """(weights, thresholds) from ``docs`` (doc_id, text) and ``grades`` (doc_id, grade)."""
     known = grades.filter(F.col("grade").between(0, levels - 1) & F.col("doc_id").isNotNull())
@@ -129,15 +156,16 @@ def fit(docs: DataFrame, grades: DataFrame, levels: int, sample: int = SAMPLE):
     weights = np.zeros(BUCKETS, np.float32)
     if not rows:
         return weights, np.full(levels - 1, np.nan)
+    # Near copies share the least of their hashes; one of them is enough.
     rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    rows = list({(r[0], bytes(r[1][:32])): r for r in rows}.values())
     y = np.array([r[0] for r in rows])
     if len(set(y.tolist())) == 1:
         return weights, np.where(np.arange(levels - 1) < y[0], -40.0, 40.0)
     index = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
     value = np.concatenate([np.frombuffer(r[2], np.float32) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
-    often = np.bincount(index, minlength=BUCKETS) >= min(SEEN, max(1, len(rows) // 50))
-    keep = often[index]
+    keep = telling(index, owner, y)[index]
     kept, place = np.unique(index[keep], return_inverse=True)
     start = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=len(rows))))
     w, theta = solve(place, value[keep].astype(float), start, y, levels)
@@ -176,7 +204,7 @@ def score(docs: DataFrame, model, levels: int, text: str = "text") -> Column:
     return column(F.col(text))
 
 
-def selected(docs: DataFrame, model, levels: int, least: float = 0.5, text: str = "text") -> DataFrame:
+def selected(docs: DataFrame, model, levels: int, least: float = LEAST, text: str = "text") -> DataFrame:
     """The documents whose tail probability is at least ``least``, with their own columns."""
     run = scorer(docs, model, levels)
     at = docs.columns.index(text)

@@ -88,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
         F.round("score.expected", 9).alias("expected_grade"),
         F.round("score.top", 9).alias("top_probability"),
-        F.coalesce(F.col("score.top") >= 0.5, F.lit(True)).alias("selected"),
+        F.coalesce(F.col("score.top") >= ordinal.LEAST, F.lit(True)).alias("selected"),
     )
 
 
