@@ -69,7 +69,7 @@ def vector(text: str, look) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([lexical, shape]).astype(np.int32), values.astype(np.float32)
 
 
-_cache = Cache(features)
+_cache = Cache(features, most=500_000)
 #: Feature of the words that repeat the one before.
 AGAIN = BUCKETS // 2 + hash64("~again") % (BUCKETS // 2)
 
