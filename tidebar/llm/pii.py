@@ -12,7 +12,8 @@ a surname alone and with a first name agree.
 Surrogates are checked: two entities of a type never share one, and none equals an entity
 that occurs. What collides draws again, until nothing does.
 
-Only texts with entities are taken apart and joined, by the hash of the text, so rows need no id.
+Only texts that may have entities are taken apart and joined, by the hash of the text, so rows need
+no id; all others are passed on without a shuffle.
 Null, empty and clean texts pass through unchanged; copies get equal texts; texts are searched whole.
 """
 
@@ -214,12 +215,14 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None =
     lists = mentions.join(written, "value").groupBy("k").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x.surrogate).alias("s"))
     pieces = F.expr(f"split(`{text}`, {_sql(COMBINED)}, -1)")
-    hits = docs.withColumns({"__k": F.when(hint, F.md5(text))}).join(
+    hits = docs.filter(hint).withColumn("__k", F.md5(text)).join(
         lists.select(F.col("k").alias("__k"), F.col("s").alias("__s")), "__k", "left")
     new = F.when(F.col("__s").isNull(), F.col(f"`{text}`")).otherwise(
         F.array_join(F.flatten(F.zip_with(pieces, F.col("__s"),
                                           lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{c}`") for c in docs.columns]
     if count:
         out.append(F.coalesce(F.size("__s"), F.lit(0)).cast("long").alias(count))
-    return hits.select(*out)
+        plain.append(F.lit(0).cast("long").alias(count))
+    return hits.select(*out).unionByName(docs.filter(~hint).select(*plain))
