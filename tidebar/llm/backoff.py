@@ -34,9 +34,9 @@ from tidebar.llm.text import Cache, grams, hash64, words
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BATCH = 4096
+BATCH = 2048
 
-_cache = Cache(hash64, most=300_000)
+_cache = Cache(hash64, most=200_000)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -172,7 +172,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.count()
     groups = max(1, -(-size // BATCH))
-    parts = max(32, 4 * groups)
+    parts = max(32, 2 * groups)
     batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
     counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     total = rows.agg(F.sum(counted.cast("long"))).first()[0] or 0
