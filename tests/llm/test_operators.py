@@ -132,6 +132,37 @@ def test_near_vectors(spark):
     assert itq.near_duplicates(empty(df)).count() == 0
 
 
+def leaning_pairs(n, dims, seed, cosine=0.952):
+    """Unit vectors whose strangers have a mean cosine of 0.8, and a partner of each."""
+    r = np.random.RandomState(seed)
+    x = r.randn(n, dims)
+    x *= math.sqrt(0.2) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += math.sqrt(0.8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.randn(n, dims)
+    u -= (u * x).sum(1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [50_000, 4_000_000])
+def test_tables_for_vectors_with_a_common_direction(n):
+    mean, matrix, bits, tables = itq.learned(leaning_pairs(1500, 64, 1)[0], n, 0.95)
+    assert bits and itq.met(*leaning_pairs(2000, 64, 2), mean, matrix, bits, tables) >= 0.995
+
+
+def test_near_vectors_with_a_common_direction(spark, monkeypatch):
+    monkeypatch.setattr(itq, "ROW_COST", 20, raising=False)  # else all pairs of so few vectors are compared
+    both = np.concatenate(leaning_pairs(2500, 64, 3))
+    rows = [(i, list(map(float, v))) for i, v in enumerate(both)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {x.vec_id: x.n_links for x in itq.near_duplicates(df).collect()}
+    expected = (both @ both.T >= 0.95).sum(1) - 1
+    some = range(0, len(both), 50)
+    assert all(got[i] <= expected[i] for i in got)
+    assert sum(got[i] for i in some) >= 0.99 * sum(expected[i] for i in some)
+    assert sum(got.values()) >= 0.995 * expected.sum()
+
+
 # 3 packing
 
 

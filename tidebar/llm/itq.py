@@ -4,10 +4,11 @@ Vectors are centred and projected on their main directions; a rotation learned b
 (codes = signs, rotation = best fit of the vectors to the codes) makes the bits balanced.
 Several rotations give codes of tables x bits; each stretch of bits is the key of one
 Hamming table, so vectors whose codes differ in fewer bits than there are tables share a
-bucket. Bits grow with the logarithm of the number of vectors, and tables until a pair at
-the threshold is found with probability ``RECALL``. Within buckets original vectors are
-compared in double precision, and inside the components of what is found all pairs are,
-in blocks.
+bucket. Centring widens the angle of near pairs, the more the more of a direction all vectors
+share. So partners at the threshold are made for vectors of the sample, and tables grow until
+the share ``RECALL`` of these pairs meets in a bucket; bits are those of least cost (none for
+few vectors: all pairs). Within buckets original vectors are compared in double precision,
+and inside the components of what is found all pairs are, in blocks.
 
 The rotations are learned on at most about ``SAMPLE`` vectors (and ``SAMPLE_BYTES``), chosen by
 a hash; every vector is indexed. Equal vectors are one class with copies. Null vectors, those
@@ -33,6 +34,12 @@ RECALL = 0.999
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
 STEPS = 30
+#: Pairs made at the threshold.
+PAIRS = 4_000
+#: Cost of a key and of a vector dealt out, in comparisons; bits that need more tables aren't weighed.
+KEY_COST = 300
+ROW_COST = 500
+MOST_TABLES = 1 << 16
 
 
 def cleaned(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -62,16 +69,21 @@ def cleaned(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return chosen.mapInArrow(run, "vec_id long, key binary, dim int, vec binary")
 
 
-def rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and a matrix (dim, bits) of learned rotations of the main directions."""
+def directions(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and main directions (dim, at most 64)."""
     mean = sample.mean(0)
     x = sample - mean
-    _, _, directions = np.linalg.svd(x.T @ x)
+    _, _, found = np.linalg.svd(x.T @ x)
+    return mean, found[: min(x.shape[1], 64)].T
+
+
+def rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and a matrix (dim, bits) of learned rotations of the main directions."""
+    mean, base = directions(sample)
     made, rng = [], np.random.RandomState(seed)
-    width = min(x.shape[1], 64)
-    base = directions[:width].T
-    v = x @ base
-    while sum(m.shape[1] for m in made) < bits:
+    width = base.shape[1]
+    v = (sample - mean) @ base
+    while width * len(made) < bits:
         r, _ = np.linalg.qr(rng.randn(width, width))
         for _ in range(STEPS):
             code = np.sign(v @ r)
@@ -79,14 +91,84 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray,
             a, _, b = np.linalg.svd(code.T @ v)
             r = (a @ b).T
         made.append(base @ r)
-    return mean, np.concatenate(made, 1)[:, :bits]
-
-
-def shape(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a table and number of tables for ``n`` vectors."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))) + 2, 8), 60)
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+    return mean, np.concatenate([base[:, :0], *made], 1)[:, :bits]
+
+
+def partners(sample: np.ndarray, threshold: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold: unit vectors moved in any direction, and in the sample's own ones."""
+    rng = np.random.RandomState(seed)
+    x = sample[rng.randint(len(sample), size=PAIRS)]
+    other = sample[rng.randint(len(sample), size=PAIRS)] - sample[rng.randint(len(sample), size=PAIRS)]
+    pairs = []
+    for moved in (rng.randn(*x.shape), other):
+        moved = moved - (moved * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        some = length[:, 0] > 1e-9
+        if some.any():
+            y = threshold * x[some] + math.sqrt(1 - threshold**2) * moved[some] / length[some]
+            pairs.append((x[some], y))
+    return pairs
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chance that a bit of two vectors is equal, by their angle."""
+    size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    cos = (a * b).sum(1) / np.where(size > 0, size, 1)
+    return 1 - np.arccos(np.clip(cos, -1, 1)) / math.pi
+
+
+def least_tables(same: list[np.ndarray], recall: float) -> int:
+    """Tables until the share ``recall`` of each list of pairs meets, by the chance to meet in one."""
+    low, high = 0, 1
+    while any((1 - (1 - p) ** high).mean() < recall for p in same):
+        low, high = high, 2 * high
+        if high > MOST_TABLES:
+            return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        enough = all((1 - (1 - p) ** mid).mean() >= recall for p in same)
+        low, high = (low, mid) if enough else (mid, high)
+    return high
+
+
+def shape(sample: np.ndarray, n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a table and number of tables for ``n`` vectors like those of the sample."""
+    mean, base = directions(sample)
+    near = [alike((x - mean) @ base, (y - mean) @ base) for x, y in partners(sample, threshold)]
+    rng = np.random.RandomState(3)
+    v = (sample - mean) @ base
+    one = rng.randint(len(v), size=PAIRS)
+    far = alike(v[one], v[(one + 1 + rng.randint(max(1, len(v) - 1), size=PAIRS)) % len(v)])
+    best = None
+    for bits in range(61):
+        tables = least_tables([p**bits for p in near], recall)
+        others = n * (far**bits).mean()
+        dealt = -math.expm1(-others) * math.ceil(others / links.BLOCK)
+        cost = tables * (KEY_COST + ROW_COST * dealt + others)
+        if best is None or cost < best[0]:
+            best = cost, bits, tables
+        if tables > MOST_TABLES:
+            break
+    return best[1], best[2]
+
+
+def learned(sample: np.ndarray, n: int, threshold: float, recall: float = RECALL):
+    """Mean, matrix, bits and tables that find the share ``recall`` of pairs at the threshold."""
+    bits, tables = shape(sample, n, threshold, recall)
+    while True:
+        mean, matrix = rotations(sample, bits * tables)
+        if all(met(x, y, mean, matrix, bits, tables) >= recall for x, y in partners(sample, threshold, 6)):
+            return mean, matrix, bits, tables
+        tables += math.ceil(tables / 4)
+
+
+def met(x: np.ndarray, y: np.ndarray, mean: np.ndarray, matrix: np.ndarray, bits: int, tables: int) -> float:
+    """Share of the pairs whose codes agree in a table."""
+    found = np.zeros(len(x), bool)
+    for t in range(tables):
+        part = matrix[:, t * bits : (t + 1) * bits]
+        found |= (((x - mean) @ part > 0) == ((y - mean) @ part > 0)).all(1)
+    return found.mean()
 
 
 def keys(table: pa.Table) -> np.ndarray:
@@ -148,8 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     if not picked:
         picked = classes.select("vec").limit(1).collect()
     x = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in picked)), np.float64).reshape(len(picked), dim)
-    bits, tables = shape(total, threshold)
-    mean, matrix = rotations(x, bits * tables)
+    mean, matrix, bits, tables = learned(x, total, threshold)
     buckets = links.shared(bucketed(classes, mean, matrix, bits, tables))
     dealt = links.blocks(buckets).join(classes.select("id", "vec"), "id").select("path", "id", "vec")
     near = cosine(threshold)
