@@ -163,6 +163,16 @@ def test_near_vectors_with_a_common_direction(spark, monkeypatch):
     assert sum(got.values()) >= 0.995 * expected.sum()
 
 
+def test_near_vectors_of_several_dimensions(spark):
+    r = np.random.RandomState(4)
+    sizes = [(24, 40), (8, 30), (3, 2)]
+    vectors = [v for dim, n in sizes for x in r.randn(n, dim) for v in (x, x + 0.05 * r.randn(dim), x)]
+    vectors = [list(map(float, v)) for v in vectors]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in itq.near_duplicates(df).collect()}
+    assert got == brute_vectors(list(range(len(vectors))), vectors)
+
+
 # 3 packing
 
 

@@ -11,9 +11,10 @@ few vectors: all pairs). Within buckets original vectors are compared in double
 and inside the components of what is found all pairs are, in blocks.
 
 The rotations are learned on at most about ``SAMPLE`` vectors (and ``SAMPLE_BYTES``), chosen by
-a hash; every vector is indexed. Equal vectors are one class with copies. Null vectors, those
-with null or non-finite components, of length zero, of another dimension than the most, or
-without an id link with nothing and are kept. Rows that repeat an id with another vector are one node.
+a hash; every vector is indexed. Each dimension has rotations and tables of its own, as vectors
+link with those of their dimension only. Equal vectors are one class with copies. Null vectors,
+those with null or non-finite components, of length zero, or without an id link with nothing and
+are kept. Rows that repeat an id with another vector are one node.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ PAIRS = 4_000
 KEY_COST = 300
 ROW_COST = 500
 MOST_TABLES = 1 << 16
+#: Bits worked out at once.
+CELLS = 1 << 22
 
 
 def cleaned(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -186,26 +189,49 @@ def cosine(threshold: float):
     return near
 
 
-def bucketed(classes: DataFrame, mean: np.ndarray, matrix: np.ndarray, bits: int, tables: int) -> DataFrame:
-    """(path, id) for each vector and table."""
-    shared = classes.sparkSession.sparkContext.broadcast((mean, matrix))
-    weights = (1 << np.arange(bits, dtype=np.int64))
+def coded(rows: pa.RecordBatch, dim: int, mean, matrix, bits: int, tables: int):
+    """Batches (id, dim, t, code) of vectors of one dimension."""
+    step = max(1, CELLS // (tables * max(bits, 1)))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    for at in range(0, rows.num_rows, step):
+        part = rows.slice(at, step)
+        n = part.num_rows
+        codes = np.zeros((n, tables), np.int64)
+        if bits:
+            x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(n, dim)
+            codes = ((x - mean) @ matrix > 0).reshape(n, tables, bits) @ weights
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(part.column(0).to_numpy(), tables)),
+             pa.array(np.full(n * tables, dim, np.int32)),
+             pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
+             pa.array(codes.ravel())], names=["id", "dim", "t", "code"])
+
+
+def bucketed(classes: DataFrame, indexes: dict[int, tuple]) -> DataFrame:
+    """(path, id) for each vector and table of its dimension; without an index one table holds all."""
+    shared = classes.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches):
-        mean, matrix = shared.value
+        indexes = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64)
-            x = x.reshape(batch.num_rows, -1) - mean
-            code = (x @ matrix > 0).reshape(len(x), tables, bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), tables)),
-                 pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))),
-                 pa.array((code @ weights).ravel())], names=["id", "t", "code"])
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                yield from coded(batch.filter(pa.array(dims == dim)), dim, *indexes.get(dim, (None, None, 0, 1)))
+
+    rows = classes.select("id", "dim", "vec").mapInArrow(run, "id long, dim int, t int, code long")
+    return rows.select(F.xxhash64("dim", "t", "code").alias("path"), "id")
 
-    rows = classes.select("id", "vec").mapInArrow(run, "id long, t int, code long")
-    return rows.select(F.xxhash64("t", "code").alias("path"), "id")
+
+def index(classes: DataFrame, dim: int, n: int, threshold: float, sample: int) -> tuple:
+    """What is learned for the ``n`` vectors of a dimension."""
+    most = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
+    share = F.lit(int(min(1.0, most / n) * (1 << 32)))
+    of = classes.filter(F.col("dim") == dim)
+    picked = of.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < share).select("vec").collect()
+    if not picked:
+        picked = of.select("vec").limit(1).collect()
+    x = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in picked)), np.float64).reshape(len(picked), dim)
+    return learned(x, n, threshold)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
@@ -213,25 +239,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     """Per row: vec_id, n_links, component_id."""
     rows = durable(cleaned(vectors, id_col, vec_col))
     good = rows.filter("vec_id IS NOT NULL AND key IS NOT NULL")
-    dims = good.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    found = [] if not dims else [dims[0][0]]
-    dim = found[0] if found else 0
-    good = good.filter(F.col("dim") == dim)
     classes = durable(good.groupBy("key").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
-    total = classes.count()
-    plain = rows.select("vec_id", F.when((F.col("dim") == dim) & F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
-    if total == 0:
-        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"),
-                            F.col("vec_id").alias("component_id"))
-    most = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
-    share = F.lit(int(min(1.0, most / total) * (1 << 32)))
-    picked = classes.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < share).select("vec").collect()
-    if not picked:
-        picked = classes.select("vec").limit(1).collect()
-    x = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in picked)), np.float64).reshape(len(picked), dim)
-    mean, matrix, bits, tables = learned(x, total, threshold)
-    buckets = links.shared(bucketed(classes, mean, matrix, bits, tables))
+        F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"),
+        F.first("vec").alias("vec")))
+    plain = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
+    # All pairs of a few vectors are compared at once, without an index.
+    many = classes.groupBy("dim").count().filter(F.col("count") > links.BLOCK).collect()
+    indexes = {dim: index(classes, dim, n, threshold, sample) for dim, n in many}
+    buckets = links.shared(bucketed(classes, indexes))
     dealt = links.blocks(buckets).join(classes.select("id", "vec"), "id").select("path", "id", "vec")
     near = cosine(threshold)
     groups = links.components(links.near_forests(dealt, near))
