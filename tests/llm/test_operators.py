@@ -307,6 +307,37 @@ def test_main_text():
     assert html_extract.main_text("<![if x]>a<![endif]><p>b <![CDATA[c]]> &am &#x41;") != ""
 
 
+BODY = [prose(40, 21), "A short one.", prose(50, 22)]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='has-sidebar'", "div class='with-sidebar'", "div class='search-results'", "div class='nav-open'",
+    "div id='search'", "form action='page.aspx'", "div role='form'"])
+@pytest.mark.parametrize("region", ["article", "main", "div"])
+def test_pages_in_a_misleading_wrapper(wrapper, region):
+    inner = "".join(f"<p>{x}</p>" for x in BODY)
+    page = (f"<body><{wrapper}><nav><a href=/>Home</a></nav><{region}>{inner}</{region}>"
+            f"<div class=sidebar><p>Other things of the day.</p></div></{wrapper.split()[0]}></body>")
+    assert html_extract.main_text(page) == "\n\n".join(BODY)
+
+
+@pytest.mark.parametrize("anchor", ["side-effects", "legal-status", "search-engines", "related-work", "legal"])
+def test_anchors_do_not_mark(anchor):
+    parts = [f"<section id={anchor}><p>{BODY[0]}</p></section>", f"<h2 id={anchor}>Head</h2><p>{BODY[2]}</p>"]
+    page = f"<body><article>{parts[0]}{parts[1]}<section id=comments><p>{prose(9)}</p></section></article></body>"
+    assert html_extract.main_text(page) == f"{BODY[0]}\n\nHead\n\n{BODY[2]}"
+
+
+def test_every_region_with_prose():
+    page = (f"<body><article><p>{prose(200, 23)}</p></article><article><p>Two words.</p></article>"
+            "<article><a href=/x>Read this next</a></article>"
+            f"<div class=comments><article><p>{prose(300, 24)}</p></article></div></body>")
+    assert html_extract.main_text(page) == prose(200, 23) + "\n\nTwo words."
+    assert html_extract.main_text(f"<body><div class=comments><p>{BODY[0]}</p></div></body>") == BODY[0]
+    widget = f"<body><div><p>{prose(90, 25)}</p></div><div class=widget><article><p>{BODY[0]}</p></article></div>"
+    assert html_extract.main_text(widget) == BODY[0]
+
+
 def test_pages_against_their_articles(spark):
     import html
 

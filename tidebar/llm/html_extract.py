@@ -3,9 +3,13 @@
 The standard library's parser streams events; block elements end a line. Each line has the
 ratio of its text to its tags; ratios smoothed by a Gaussian fall into two clusters, and the
 lines above the threshold between them are content. A region (an ``article`` or ``main``
-element, else the innermost container) with content lines is taken whole, so that short
-paragraphs between long ones stay, but for lines in elements that are named as something
-else: menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts.
+element that isn't mostly links, else the innermost container with content lines) is taken
+whole, so that short paragraphs between long ones stay, but for lines in elements that are
+something else: menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts.
+
+Names can mislead, so a mark by class, id or form is void where the element holds most of
+the page's text outside links, and for an ``article`` or ``main`` below it where the page has none
+without a mark. Names that never stand for a layout (``SURE``) are void only where no other text is left.
 
 Null or empty html gives the empty string, as does a page without text. Pages are parsed whole.
 """
@@ -42,25 +46,60 @@ NAMED = re.compile(
     r"pager|widget|search|skip|legal|copyright|disclaimer)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words that mark an element even if it holds most of the page.
+SURE = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|breadcrumbs?|cookies?|consent|gdpr|newsletter|"
+    r"subscribe|subscription|paywall|related|recommended|recirc|comments?|commentlist|disqus|replies|"
+    r"respond|pagination|pager|copyright)(?:$|[_-]|\d)",
+    re.I,
+)
+#: Classes that say what a layout has, not what the element is.
+MODIFIER = re.compile(r"(?:has|have|with|without|no|not)[_-]", re.I)
+#: Words that may stand in an id beside one of a kind; others make it the anchor of a heading.
+GENERIC = set(
+    "left right top bottom main site page primary secondary global header inner outer wrap wrapper "
+    "container box block area section content list item items posts post articles article stories links "
+    "link bar panel column col region module group form thread feed row unit slot text message the".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog",
          "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 
+def named(tag: str, name: str, value: str, region: bool) -> tuple[bool, bool]:
+    """Whether a class or id marks its element as something else, and surely so."""
+    if name == "id" and tag in HEADINGS:
+        return False, False
+    tokens = [t for t in value.split() if NAMED.search(t) and not MODIFIER.match(t)]
+    if name == "id":
+        words = [re.split(r"[_-]+", t.strip("_-").lower()) for t in tokens]
+        tokens = [t for t, w in zip(tokens, words)
+                  if all(NAMED.search(x) or x in GENERIC or x.isdigit() for x in w)]
+    sure = any(SURE.search(t) for t in tokens)
+    return (sure if name == "id" and region else bool(tokens)), sure
+
+
 class Lines(HTMLParser):
-    """Lines of a page: [text, tags, characters in links, region, is it outside]."""
+    """Lines of a page: (text, tags, characters in links, container, in region, outside, marks, inherited).
+
+    ``marks`` are places in ``sure``: elements around the line that are named as something else,
+    the first ``inherited`` of them around its outermost region.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple] = []
         self.text: list[str] = []
         self.tags = self.linked = self.ids = 0
-        self.stack = [("", False, 0, False, False)]  # tag, outside, container, in region, in link
+        self.sure: list[bool] = []
+        # tag, outside, container, in region, in link, marks, inherited
+        self.stack = [("", False, 0, False, False, (), 0)]
 
     def flush(self):
         text = " ".join("".join(self.text).split())
-        _, outside, container, region, _ = self.stack[-1]
+        _, outside, container, region, _, marks, inherited = self.stack[-1]
         if text or self.tags:
-            self.found.append((text, self.tags, self.linked, container, region, outside))
+            self.found.append((text, self.tags, self.linked, container, region, outside, marks, inherited))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -73,22 +112,30 @@ class Lines(HTMLParser):
             return
         if tag == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.leave({tag}, CONTAINERS - {tag} | {"ul", "ol", "dl", "table", "blockquote"})
-        _, outside, container, region, link = self.stack[-1]
+        _, outside, container, region, link, marks, inherited = self.stack[-1]
         if tag in CONTAINERS:
             self.ids += 1
             if not region or tag in REGIONS:
                 container = self.ids
         inside = tag in REGIONS or region
+        if tag in REGIONS and not region:
+            inherited = len(marks)
         if not outside and tag not in ("html", "body"):
-            outside = tag in OUTSIDE or tag == "header" and not region
+            outside = tag in OUTSIDE and tag != "form" or tag == "header" and not region
+            marked, sure = tag == "form", False
             for name, value in attrs:
                 if name in ("class", "id") and value and tag not in REGIONS:
-                    outside = outside or bool(NAMED.search(value))
+                    found = named(tag, name, value, region)
+                    marked, sure = marked or found[0], sure or found[1]
                 elif name == "role" and value:
-                    outside = outside or value.lower() in ROLES
+                    marked = marked or value.lower() in ("form", "search")
+                    outside = outside or value.lower() in ROLES - {"form", "search"}
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     outside = True
-        self.stack.append((tag, outside, container, inside, link or tag == "a"))
+            if marked:
+                marks = (*marks, len(self.sure))
+                self.sure.append(sure)
+        self.stack.append((tag, outside, container, inside, link or tag == "a", marks, inherited))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -136,6 +183,25 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach), kernel / kernel.sum(), "valid")
 
 
+def inside(lines: list[tuple], sure: list[bool]) -> list[int]:
+    """Places of the lines with text that aren't in something else."""
+    some = [i for i, x in enumerate(lines) if x[0] and not x[5]]
+    held, total = [0] * len(sure), 0
+    for i in some:
+        own = max(0, len(lines[i][0]) - lines[i][2])
+        total += own
+        for m in lines[i][6]:
+            held[m] += own
+    holds = [not sure[m] and 2 * held[m] > total for m in range(len(sure))]
+    marked = {i: [m for m in lines[i][6] if not holds[m]] for i in some}
+    if not any(lines[i][4] and not marked[i] for i in some):
+        for i in some:
+            if lines[i][4]:
+                around = lines[i][6][: lines[i][7]]
+                marked[i] = [m for m in marked[i] if sure[m] or m not in around]
+    return [i for i in some if not marked[i]] or some
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -148,17 +214,19 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
     content = ratios >= threshold(ratios)
-    own = [i for i, x in enumerate(lines) if x[0] and not x[5]]
+    own = inside(lines, parser.sure)
     regional = [i for i in own if lines[i][4]]
     size: dict[int, int] = {}
     good: dict[int, int] = {}
+    links: dict[int, int] = {}
     for i in regional or own:
-        text, _, linked, container, _, _ = lines[i]
+        text, _, linked, container = lines[i][:4]
         size[container] = size.get(container, 0) + len(text)
+        links[container] = links.get(container, 0) + linked
         if content[i]:
             good[container] = good.get(container, 0) + len(text) - (0 if regional else linked)
     if regional:
-        chosen = set(good) or {max(size, key=size.get)}
+        chosen = set(good) | {c for c in size if 2 * links[c] <= size[c]} or {max(size, key=size.get)}
         return "\n\n".join(lines[i][0] for i in regional if lines[i][3] in chosen)
     chosen = {c for c, n in good.items() if 2 * n > size[c]}
     chosen = chosen or {c for c in size if size[c] == max(size.values())}
