@@ -416,6 +416,20 @@ def test_rows_without_id_or_repeated(odd):
     assert {(r.doc_id, r.class_id) for r in rows if r.doc_id in (9, 10)} == {(9, 9), (10, 9)}
 
 
+def test_ids_with_two_texts_or_vectors(spark):
+    one, two = prose(80, 31), prose(80, 32)
+    rows = [(5, one), (5, two), (9, one), (11, two), (12, varied(one, 1, 1)), (13, varied(two, 1, 2)), (3, two)]
+    found = jaccard.join(spark.createDataFrame(rows, DOCS)).collect()
+    expected = [(3, 3, 3), (5, 3, 3), (5, 5, 2), (9, 5, 2), (11, 3, 3), (12, 5, 2), (13, 3, 3)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == expected
+    a, b = np.eye(8)[:2]
+    near = np.eye(8)[2] * 0.1
+    rows = [(5, a), (5, b), (9, a), (11, b), (12, a + near), (13, b + near), (3, b)]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in rows], "vec_id long, embedding array<double>")
+    found = itq.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.component_id, r.n_links) for r in found) == expected
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]

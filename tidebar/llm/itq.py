@@ -14,7 +14,7 @@ The rotations are learned on at most about ``SAMPLE`` vectors (and ``SAMPLE_BYTE
 a hash; every vector is indexed. Each dimension has rotations and tables of its own, as vectors
 link with those of their dimension only. Equal vectors are one class with copies. Null vectors,
 those with null or non-finite components, of length zero, or without an id link with nothing and
-are kept. Rows that repeat an id with another vector are one node.
+are kept. Rows of one id with different vectors belong to the class of their own vector.
 """
 
 from __future__ import annotations
@@ -240,8 +240,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     rows = durable(cleaned(vectors, id_col, vec_col))
     good = rows.filter("vec_id IS NOT NULL AND key IS NOT NULL")
     classes = durable(good.groupBy("key").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"),
-        F.first("vec").alias("vec")))
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("dim").alias("dim"),
+        F.first("vec").alias("vec")).select(F.monotonically_increasing_id().alias("id"), "*"))
     plain = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
     # All pairs of a few vectors are compared at once, without an index.
     many = classes.groupBy("dim").count().filter(F.col("count") > links.BLOCK).collect()
@@ -251,15 +251,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     near = cosine(threshold)
     groups = links.components(links.near_forests(dealt, near))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component").join(
-        classes.groupBy("id").agg(F.sum("copies").alias("copies"), F.first("vec").alias("vec")), "id")
+    members = groups.join(sizes, "component").join(classes.select("id", "copies", "vec"), "id")
     exact = durable(links.exact_links(links.blocks(members, path="component"), near))
     counts = exact.groupBy("id").agg(F.sum("links").alias("links"))
     edges = exact.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    parts = links.components(edges)
-    done = classes.select("key", "id", "copies").join(counts, "id", "left").join(parts, "id", "left")
+    parts = links.named(links.components(edges), classes)
+    done = classes.select("key", "id", "least", "copies").join(counts, "id", "left").join(parts, "id", "left")
     done = durable(done.select(
-        "key", F.coalesce("component", "id").alias("component_id"),
+        "key", F.coalesce("name", "least").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     return plain.join(done, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -12,8 +12,9 @@ with probability ``RECALL``, less similar ones are rejected later: candidates by
 (with four standard deviations of slack) become groups, in which all pairs are compared by
 their whole sets.
 
-Null ids, null texts and texts without words link with nothing and stay. Rows that repeat an
-id are one node; copies count as links of each other. Texts of any length are taken whole.
+Null ids, null texts and texts without words link with nothing and stay. What is compared are
+sets, not ids: rows of one id with different texts belong to the class of their own text.
+Copies count as links of each other. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -199,30 +200,32 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     signs = durable(signed(docs, id_col, text_col))
     known = signs.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = durable(known.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sign").alias("sign")).select(
+        F.monotonically_increasing_id().alias("id"), "*"))
     groups = candidates(classes.select("id", "sign"), threshold)
-    groups = groups.join(classes.groupBy("id").agg(F.max("copies").alias("copies")), "id")
+    groups = groups.join(classes.select("id", "key", "least", "copies"), "id")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = durable(groups.join(sizes, "component"))
 
     def run(batches):
         for batch in batches:
             found = [shingles(t.as_py()).tobytes() for t in batch.column(4)]
+            own = [xxhash.xxh3_128_digest(x) == k.as_py() for x, k in zip(found, batch.column(5))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(found, pa.binary())],
-                names=["component", "id", "copies", "n", "hashes"])
+                names=["component", "id", "copies", "n", "hashes"]).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    whole = members.join(texts, "id").select("component", "id", "copies", "n", "text").mapInArrow(
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text"))
+    whole = members.join(texts, "least").select("component", "id", "copies", "n", "text", "key").mapInArrow(
         run, "component long, id long, copies long, n long, hashes binary")
     dealt = links.blocks(whole, path="component").filter(F.length("hashes") > 0)
     found = durable(links.exact_links(dealt, overlapping(threshold)))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    parts = links.components(edges)
-    done = classes.select("key", "id", "copies").join(counts, "id", "left").join(parts, "id", "left")
+    parts = links.named(links.components(edges), classes)
+    done = classes.select("key", "id", "least", "copies").join(counts, "id", "left").join(parts, "id", "left")
     done = durable(done.select(
-        "key", F.coalesce("component", "id").alias("class_id"),
+        "key", F.coalesce("name", "least").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     return signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(
         done, "key", "left").select(

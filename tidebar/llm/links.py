@@ -168,3 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
     tops = now.select(F.col("b").alias("id")).distinct()
     found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return durable(found.unionByName(tops.select("id", F.col("id").alias("component"))))
+
+
+def named(parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, name): the least ``least`` in each component of ``parts``; ``classes`` are (id, least, ...)."""
+    names = parts.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("name"))
+    return parts.join(names, "component").select("id", "name")
