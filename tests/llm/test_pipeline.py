@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_all_queries_are_registered():
     assert {*QUERIES, "pipeline"} <= entry_module.queries().keys()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")

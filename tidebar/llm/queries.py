@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import backoff, bpe, html_extract, itq, jaccard, langid, ordinal, packing, pii, rules, rules_sql
+from tidebar.llm import (
+    arc,
+    backoff,
+    bitplanes,
+    bpe,
+    hot,
+    html_extract,
+    itq,
+    jaccard,
+    langid,
+    ordinal,
+    packing,
+    pii,
+    queries_sql,
+    rules,
+    rules_sql,
+    strassen,
+    warc,
+)
 from tidebar.llm.registry import query
+from tidebar.session import durable, scratch_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -145,3 +164,61 @@ PII_KEY = "surrogate-key"
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replaced(docs, PII_KEY, count="n_replaced")
+
+
+#: HTTP header that carries a page's id through both formats.
+PAGE_HEADER = "X-Page-Id"
+
+
+def page_id() -> Column:
+    """The page's id in the head of a record."""
+    pattern = rf"\r\n{PAGE_HEADER}: (-?[0-9]+)\r\n"
+    return F.regexp_extract(F.col("head").cast("string"), pattern, 1).try_cast("long")
+
+
+def messages(pages: DataFrame) -> DataFrame:
+    """Pages as HTTP messages for ``arc.write``; the html (null: empty) is the payload."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    head = F.concat_ws(
+        "\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=UTF-8"),
+        F.concat(F.lit(f"{PAGE_HEADER}: "), F.col("page_id").cast("string")),
+        F.concat(F.lit("Content-Length: "), F.length(html).cast("string")), F.lit("\r\n"))
+    return pages.select(
+        F.col("url").cast("string").alias("uri"), F.lit("0.0.0.0").alias("ip"), F.lit("20000101000000").alias("stamp"),
+        F.lit("text/html").alias("mime"), F.concat(head.cast("binary"), html).alias("document"))
+
+
+@query(queries_sql.archived())
+def op11_arc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to ARC files of both versions, these to WARC files, and those read back.
+
+    Null pages come last among equal payloads; of several rows with the least page_id one is
+    the response.
+    """
+    legacy, target = scratch_folder(spark, "arc"), scratch_folder(spark, "warc")
+    arc.write(messages(table(spark, sf_dir, "pages").select("page_id", "url", "html")), legacy)
+    warc.from_arc(spark, legacy, target, first_by=[page_id()])
+    back = warc.read(spark, target, payload=False).filter(F.col("type").isin("response", "revisit"))
+    back = durable(back.select(
+        page_id().alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "record_id", "refers_to"))
+    revisits = back.filter("record_type = 'revisit'").drop("record_id")
+    sizes = revisits.groupBy("refers_to").agg(F.count("*").alias("n"))
+    firsts = back.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id")).join(sizes, "refers_to")
+    found = hot.lookup(revisits, durable(firsts), "refers_to", revisits.count()).drop("refers_to")
+    found = found.withColumnRenamed("first_id", "refers_to")
+    responses = back.filter("record_type = 'response'").drop("record_id", "refers_to")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
+
+
+@query(queries_sql.hard_negatives())
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return strassen.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
+@query(queries_sql.clusters())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(table(spark, sf_dir, "embeddings"))
