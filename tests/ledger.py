@@ -15,7 +15,8 @@ def account(opens, closes, decisions, costs, cash=100_000.0, periods=252.0, cap=
             price = {s: opens[s][i] if opens[s][i] is not None else known.get(s) for s in held}
             total = cash + sum(q * price[s] for s, q in held.items() if price[s] is not None)
             for s in held:
-                if price[s] is None:
+                # Without equity the rebalance is skipped, without a price above zero the symbol.
+                if total <= 0 or price[s] is None or price[s] <= 0:
                     continue
                 q = pending.get(s, 0.0) * total / price[s] - held[s]
                 if abs(q * price[s]) < 1e-7:

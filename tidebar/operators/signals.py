@@ -51,8 +51,11 @@ class Run:
 
 
 class Signal(NamedTuple):
+    """Targets and decisions of some runs, and the bars each needs before it decides (0 if not given)."""
+
     weights: DataFrame
     decisions: DataFrame
+    warmups: dict[str, int] = {}
 
 
 SignalFunction = Callable[[DataFrame, Sequence[Run], "Column | int"], Signal]
@@ -240,7 +243,8 @@ def sma_cross(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Si
         .filter(F.col("long_short") | (F.col("way") > 0))
         .select("run_id", "seq", "symbol", (F.col("weight") * scale).alias("weight"))
     )
-    return Signal(weights, _every_bar(params, "slow", length))
+    warmups = {r.run_id: int(r.params.get("slow", 100)) for r in runs}
+    return Signal(weights, _every_bar(params, "slow", length), warmups)
 
 
 # -- mean reversion --------------------------------------------------------------
@@ -420,7 +424,8 @@ def mean_reversion(panel: DataFrame, runs: Sequence[Run], length: Column | int)
     weights = shared.join(params, keys).select(
         "run_id", "seq", "symbol", (F.col("weight") * F.col("gross")).alias("weight")
     )
-    return Signal(weights, _every_bar(params, "lookback", length))
+    warmups = {r.run_id: int(r.params.get("lookback", 20)) for r in runs}
+    return Signal(weights, _every_bar(params, "lookback", length), warmups)
 
 
 @register("momentum")
@@ -461,7 +466,7 @@ def momentum(panel: DataFrame, runs: Sequence[Run], length: Column | int) -> Sig
     decisions = _every_bar(params, "lookback", length).withColumn(
         "is_hold", F.col("seq") % review != 0
     )
-    return Signal(weights, decisions)
+    return Signal(weights, decisions, {r.run_id: int(r.params.get("lookback", 60)) for r in runs})
 
 
 def python_signal(

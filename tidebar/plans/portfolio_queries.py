@@ -596,7 +596,7 @@ def ledger_of_journal_fills(spark, sf):
     length = line.agg(F.max("seq") + 1).scalar()
     grid = bars.dense_grid(days, fields=(), line=line)
     out = portfolio.ledger_from_fills(
-        fills, grid, accounts, line, length, chunk_rows=1000, rate_passes=0, digits=9
+        fills, grid, accounts, line, length, chunk_rows=1000, digits=9
     )
     return shown(cents(out.select("run_id", "ts", "cash", "equity"), "cash", "equity"), plain=("cash", "equity"))
 
