@@ -131,7 +131,7 @@ _SIGNAL_TABLES = {
 }
 
 
-def _accounts_sql() -> str:
+def _accounts_sql(runs: list[Run]) -> str:
     rows = ", ".join(
         f"('{r.run_id}', {r.initial_cash!r}::DOUBLE, {r.max_leverage!r}::DOUBLE, "
         + ", ".join(
@@ -139,7 +139,7 @@ def _accounts_sql() -> str:
             for n in ("slippage_bps", "commission_per_share", "commission_bps", "cash_rate", "borrow_rate")
         )
         + ")"
-        for r in RUNS
+        for r in runs
     )
     return (
         f"SELECT * FROM (VALUES {rows}) a(run_id, initial_cash, cap, slip, per_share, bps, "
@@ -150,7 +150,7 @@ def _accounts_sql() -> str:
 # A sequential account in SQL: one recursion step per bar.
 _LEDGER_TABLES = {
     **_SIGNAL_TABLES,
-    "accounts": _accounts_sql(),
+    "accounts": _accounts_sql(RUNS),
     "scaled": """
       SELECT run_id, seq, symbol, weight * CASE WHEN gross > cap THEN cap / gross ELSE 1 END AS weight
       FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY run_id, seq) AS gross
@@ -184,8 +184,8 @@ _LEDGER_TABLES = {
             + abs(pos[i] - old[i]) * per_share
             + abs((pos[i] - old[i]) * opens[i] * (1 + sign(pos[i] - old[i]) * slip / 10000)) * bps / 10000
           END)) AS paid
-        FROM (SELECT *, CASE WHEN ws IS NULL THEN old ELSE list_transform(idx, lambda i:
-            CASE WHEN opens[i] IS NULL THEN old[i] ELSE ws[i] * base / opens[i] END) END AS pos
+        FROM (SELECT *, CASE WHEN ws IS NULL OR base <= 0 THEN old ELSE list_transform(idx, lambda i:
+            CASE WHEN coalesce(opens[i], 0) <= 0 THEN old[i] ELSE ws[i] * base / opens[i] END) END AS pos
           FROM (SELECT *, cash + list_sum(list_transform(idx, lambda i:
                 old[i] * coalesce(opens[i], 0e0))) AS base
             FROM (SELECT l.run_id, b.seq, l.cash, l.pos AS old, b.opens, b.befores, b.idx, t.ws,
@@ -247,6 +247,79 @@ def _weights_sql(*names: str) -> str:
     )
 
 
+# -- runs whose cash turns or whose equity runs out ---------------------------------
+
+
+@signals.register("hedged")
+def hedged(panel, runs, length):
+    """Buys the first half of the brands and sells the others, again after every so many bars."""
+    spark = panel.sparkSession
+    params = spark.createDataFrame(
+        [(r.run_id, float(r.params["long"]), float(r.params["short"]), r.params["every"]) for r in runs],
+        "run_id string, long double, short double, every long",
+    )
+    priced = panel.filter(F.col("close").isNotNull() & (F.col("seq") < length - 1)).select("symbol", "seq")
+    side = F.when(F.col("symbol") < "Brand#3", 1).otherwise(-1)
+    shared = signals.equal_weight(priced.withColumn("side", side), ["seq", "side"], F.lit(1.0))
+    weight = F.when(F.col("side") > 0, F.col("long")).otherwise(-F.col("short")) * F.col("weight")
+    weights = signals.per_run(shared, params).filter(F.col("seq") % F.col("every") == 0)
+    bars_ = spark.range(length - 1).withColumnRenamed("id", "seq")
+    return signals.Signal(
+        weights.select("run_id", "seq", "symbol", weight.alias("weight")),
+        signals.per_run(bars_, params).select("run_id", "seq", (F.col("seq") % F.col("every") != 0).alias("is_hold")),
+    )
+
+
+_LENT = Costs(5, 0.005, 2, 0.0, 0.01, 0.3)
+
+#: Charges on the short side turn the cash of ``hedge`` and ``again`` and use up the equity of ``ruin``,
+#: whose later rebalances are skipped.
+EDGE_RUNS = [
+    Run("hedge", "hedged", {"long": 0.9, "short": 0.3, "every": 100}, _LENT, 100_000.0, 1.5),
+    Run("again", "hedged", {"long": 0.8, "short": 0.6, "every": 30}, Costs(300, 0, 0, 0.0, 0.01, 0.5), 100_000.0, 1.5),
+    Run("ruin", "hedged", {"long": 0.9, "short": 8.0, "every": 20}, _LENT, 100_000.0, 9.0),
+]
+
+
+def _hedged_sql(run: Run) -> str:
+    p = run.params
+    return (
+        f"SELECT '{run.run_id}' AS run_id, seq, symbol, CASE WHEN symbol < 'Brand#3' THEN {p['long']}::DOUBLE "
+        f"ELSE -{p['short']}::DOUBLE END / count(*) OVER (PARTITION BY seq, symbol < 'Brand#3') AS weight "
+        f"FROM calm_panel WHERE seq % {p['every']} = 0 AND close IS NOT NULL "
+        "AND seq < (SELECT max(seq) FROM calm_month_line)"
+    )
+
+
+def _edge_sql(body: str) -> str:
+    return _ledger_sql(
+        body,
+        accounts=_accounts_sql(EDGE_RUNS),
+        targets=" UNION ALL ".join(map(_hedged_sql, EDGE_RUNS)),
+        decided=" UNION ALL ".join(_every(r.run_id, 0, f"seq % {r.params['every']} <> 0") for r in EDGE_RUNS),
+    )
+
+
+_EDGE = _edge_sql("SELECT run_id, ts, " + rnd("equity", None, 2) + ", " + rnd("cash", None, 2) + " FROM booked")
+
+
+@query(_EDGE)
+def turning_and_ruined_runs(spark, sf):
+    months = fx.calm(fx.brand_months(spark, sf))
+    return shown(portfolio.run_sweep(months, EDGE_RUNS, "1Month").equity.drop("seq"), 2)
+
+
+@query(_EDGE)
+def ledger_of_turning_and_ruined_runs(spark, sf):
+    """Their fills, booked again one by one."""
+    months = fx.calm(fx.brand_months(spark, sf))
+    sweep = portfolio.run_sweep(months, EDGE_RUNS, "1Month")
+    out = portfolio.ledger_from_fills(
+        sweep.fills, sweep.grid, sweep.accounts, sweep.line, sweep.length, "1Month"
+    )
+    return shown(out.select("run_id", "ts", "equity", "cash"), 2)
+
+
 # -- signals -----------------------------------------------------------------------
 
 
