@@ -219,9 +219,13 @@ def conditional_value_at_risk(
 
 
 def join_on_shared_bars(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pair returns with the benchmark return ``b`` of the same bar."""
-    bench = clean_returns(benchmark).select("ts", F.col("r").alias("b"))
-    return clean_returns(returns).join(bench, "ts")
+    """Pair returns with the benchmark return ``b`` of the same bar.
+
+    Where both have a column ``benchmark``, that names the series.
+    """
+    on = [c for c in ("benchmark", "ts") if c in returns.columns and c in benchmark.columns]
+    bench = clean_returns(benchmark).select(*on, F.col("r").alias("b"))
+    return clean_returns(returns).join(bench, on)
 
 
 def beta_alpha(
@@ -256,11 +260,14 @@ def performance_stats(
     keys: Sequence[str] = KEYS,
     periods: float | None = None,
     chunk_seconds: int | None = -1,
+    benchmark_of: DataFrame | None = None,
 ) -> DataFrame:
     """One row of statistics per run.
 
     ``periods`` overrides the bars per year of the timeframe, as a market that
-    trades around the clock needs.
+    trades around the clock needs. ``benchmark`` is one series (ts, r) for all runs, or several
+    (benchmark, ts, r) of which ``benchmark_of`` names one per run; what compares with a benchmark
+    is null for runs without any.
     """
     tf = TimeFrame.of(timeframe) if isinstance(timeframe, str) else timeframe
     periods = tf.periods_per_year if periods is None else float(periods)
@@ -304,23 +311,31 @@ def performance_stats(
     if benchmark is None:
         return stats
     b = finite(F.col("r"))
-    whole = benchmark.agg(
+    measures = [
         total_return(b).alias("benchmark_return"),
         sharpe(b, periods, risk_free).alias("benchmark_sharpe"),
-    )
-    bench = whole.select(F.struct("*")).scalar()
-    return (
-        stats.join(beta_alpha(named, benchmark, periods, keys), list(keys), "left")
-        .withColumns(
+    ]
+    zero = F.lit(0.0)
+    if benchmark_of is not None:
+        named = named.join(benchmark_of, list(keys))
+        whole = benchmark_of.join(benchmark.groupBy("benchmark").agg(*measures), "benchmark", "left")
+        fits = whole.join(beta_alpha(named, benchmark, periods, keys), list(keys), "left").select(
+            *keys,
+            *[F.coalesce(c, zero).alias(c) for c in ("beta", "alpha", "benchmark_return", "benchmark_sharpe")],
+        )
+        out = stats.join(fits, list(keys), "left")
+    else:
+        bench = benchmark.agg(*measures).select(F.struct("*")).scalar()
+        fits = beta_alpha(named, benchmark, periods, keys)
+        out = stats.join(fits, list(keys), "left").withColumns(
             {
-                "beta": F.coalesce("beta", F.lit(0.0)),
-                "alpha": F.coalesce("alpha", F.lit(0.0)),
+                "beta": F.coalesce("beta", zero),
+                "alpha": F.coalesce("alpha", zero),
                 "benchmark_return": bench["benchmark_return"],
                 "benchmark_sharpe": bench["benchmark_sharpe"],
             }
         )
-        .withColumn("excess_return", F.col("total_return") - F.col("benchmark_return"))
-    )
+    return out.withColumn("excess_return", F.col("total_return") - F.col("benchmark_return"))
 
 
 # -- runs ----------------------------------------------------------------------
@@ -329,18 +344,23 @@ def performance_stats(
 def align_benchmark(
     line: DataFrame,
     benchmark: DataFrame,
-    keys: Sequence[str] = (),
+    names: Sequence[str] = (),
     chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Benchmark returns ``r`` on the bars of ``line``.
 
     Prices of other timestamps are dropped before the last known price is carried
-    forward; bars before the first price have return 0.
+    forward; bars before the first price have return 0. With ``names``, these series of
+    prices (benchmark, ts, close) are aligned one by one; a name without prices returns 0.
     """
-    prices = benchmark.select("ts", F.col("close").alias("__close"))
+    keys = ["benchmark"] if names else []
+    prices = benchmark.select(*keys, "ts", F.col("close").alias("__close"))
     chunk = scans.time_chunk(F.col("ts"), chunk_seconds)
+    if names:
+        prices = prices.filter(F.col("benchmark").isin(*names))
+        line = line.select("*", F.explode(F.array(*map(F.lit, names))).alias("benchmark"))
     filled = scans.running(
-        line.join(prices, "ts", "left"),
+        line.join(prices, [*keys, "ts"], "left"),
         keys,
         ["ts"],
         chunk,

@@ -195,7 +195,7 @@ def rebalance_growth(
     nothing; ``Sweep`` skips such rebalances.
     """
     rates = _rates(accounts, 1 / TimeFrame.of(timeframe).periods_per_year)
-    rows = _rebalance_rows(legs, rebalances, grid, rates)
+    rows = _rebalance_rows(legs, rebalances, grid, rates, ["run_id"] if chunk_rows is None else ["run_id", "e"])
     late = legs.filter(F.col("e_next") > F.col("e") + 1)
     late = None if late.isEmpty() else durable(
         late.filter("o_next IS NOT NULL").select("run_id", F.col("e_next").alias("e"), F.col("e").alias("base")).distinct()
@@ -211,26 +211,36 @@ def rebalance_growth(
 
 
 def _rebalance_rows(
-    legs: DataFrame, rebalances: DataFrame, grid: DataFrame, rates: DataFrame
+    legs: DataFrame, rebalances: DataFrame, grid: DataFrame, rates: DataFrame, dealt: Sequence[str]
 ) -> DataFrame:
     """One row per rebalance with its possible moves and the charges until the next one.
 
+    One shuffle on the columns ``dealt`` serves both groupings and the passes that follow.
+
     ``wr`` is what is left of a holding at the rebalance, as a share of equity at the
     rebalance before; of one that could not be traded then, at the rebalance ``base``.
     """
     after = F.col("w") * F.col("o_next") / F.col("o")
     base = F.when(F.col("e_next") > F.col("e") + 1, F.col("e"))
+    none, zero = F.lit(None).cast("long"), F.lit(0.0)
+    bars_ = [none.alias("s"), none.alias("s_next")]
     old = legs.filter(F.col("o_next").isNotNull()).select(
         "run_id",
         F.col("e_next").alias("e"),
         "symbol",
-        F.lit(0.0).alias("w"),
+        zero.alias("w"),
         after.alias("wr"),
         F.col("o_next").alias("o"),
         base.alias("base"),
+        *bars_,
     )
     new = legs.select(
-        "run_id", "e", "symbol", "w", F.lit(0.0).alias("wr"), "o", F.lit(None).cast("long").alias("base")
+        "run_id", "e", "symbol", "w", zero.alias("wr"), "o", none.alias("base"), *bars_
+    )
+    # Rebalances into nothing have no holdings, so each adds a row without a symbol.
+    every = rebalances.select(
+        "run_id", "e", F.lit(None).cast("string").alias("symbol"), zero.alias("w"), zero.alias("wr"),
+        F.lit(None).cast("double").alias("o"), none.alias("base"), "s", "s_next",
     )
     slip = F.col("slippage_bps") / 10_000.0
     fee = F.col("commission_bps") / 10_000.0
@@ -243,41 +253,50 @@ def _rebalance_rows(
         "sell_wr": F.col("wr") * selling,
     }
     costs = rates.select("run_id", "slippage_bps", "commission_per_share", "commission_bps")
-    # Both groupings are served by one shuffle on run and rebalance.
+    move = F.when(F.col("symbol").isNotNull(), F.struct("symbol", "w", "wr", "o", "base", *priced))
     moves = (
         new.unionByName(old)
-        .repartition("run_id", "e")
+        .unionByName(every)
+        .repartition(*dealt)
         .groupBy("run_id", "e", "symbol")
         .agg(
             F.sum("w").alias("w"), F.sum("wr").alias("wr"), F.max("o").alias("o"),
-            F.max("base").alias("base"),
+            F.max("base").alias("base"), F.max("s").alias("s"), F.max("s_next").alias("s_next"),
         )
         .join(costs, "run_id")
         .withColumns(priced)
         .groupBy("run_id", "e")
         .agg(
-            F.collect_list(F.struct("symbol", "w", "wr", "o", "base", *priced)).alias("moves"),
+            F.collect_list(move).alias("moves"),
+            F.max("s").alias("s"),
+            F.max("s_next").alias("s_next"),
             F.sum("w").alias("net"),
             F.sum(F.when(F.col("base").isNull(), F.col("wr"))).alias("grown"),
         )
     )
+    if rates.filter("short_rate <> 0").isEmpty():
+        charged = moves.withColumns({"charge_cash": zero, "charges": F.lit(None).cast("array<double>")})
+    else:
+        charged = moves.join(_charged(legs, rebalances, grid, rates), ["run_id", "e"], "left")
+    return charged.join(
+        rates.select("run_id", "initial_cash", "grow_cash", "grow_debt"), "run_id"
+    ).withColumns({c: F.coalesce(c, zero) for c in ("charge_cash", "net", "grown")})
+
+
+def _charged(
+    legs: DataFrame, rebalances: DataFrame, grid: DataFrame, rates: DataFrame
+) -> DataFrame:
+    """Charges per rebalance: bar by bar, and what they sum up to while cash is positive."""
     charges = (
         _short_charges(legs, grid, rates)
         .join(rebalances, ["run_id", "e"])
         .join(rates.select("run_id", "grow_cash"), "run_id")
     )
     left = F.col("s_next") - 1 - F.col("seq")
-    charged = charges.groupBy("run_id", "e").agg(
+    return charges.groupBy("run_id", "e").agg(
         F.sum(F.col("h") * F.pow("grow_cash", left)).alias("charge_cash"),
         F.sort_array(F.collect_list(F.struct("seq", "h"))).getField("h").alias("charges"),
     )
-    zero = F.lit(0.0)
-    return (
-        rebalances.join(moves, ["run_id", "e"], "left")
-        .join(charged, ["run_id", "e"], "left")
-        .join(rates.select("run_id", "initial_cash", "grow_cash", "grow_debt"), "run_id")
-        .withColumns({c: F.coalesce(c, zero) for c in ("charge_cash", "net", "grown")})
-    )
 
 
 def _passes(
@@ -845,6 +864,7 @@ class Sweep:
         self._order_rows = chunk_rows or (_ORDER_CHUNK if count > _ORDER_CHUNK else None)
         self.length = F.lit(count).cast("long")
         self.accounts = signals.account_frame(bars.sparkSession, runs)
+        self.benchmarks = {r.run_id: r.benchmark for r in runs if r.benchmark}
         self.grid = durable(
             bar_ops.effective_open(bar_ops.dense_grid(bars, fields=("open",), line=self.line))
         )
@@ -948,11 +968,49 @@ class Sweep:
     def equity_table(self) -> DataFrame:
         return equity_table(self.equity, self.holdings, self.fills, self.timeframe.chunk_seconds())
 
-    def stats(self, benchmark: DataFrame | None = None) -> DataFrame:
-        """Performance and account statistics, one row per run."""
+    def benchmark_returns(self, prices: DataFrame) -> DataFrame:
+        """Returns (benchmark, ts, r) of the benchmarks that runs name, on the bars of the sweep.
+
+        ``prices`` are (benchmark, ts, close); each series is aligned once, however many runs name it.
+        """
+        chunk = self.timeframe.chunk_seconds()
+        names = sorted(set(self.benchmarks.values()))
+        if not names:
+            raise ValueError("no run names a benchmark")
+        found = metrics.align_benchmark(self.line.select("ts"), prices, names, chunk)
+        return found.select("benchmark", "ts", "r")
+
+    def _benchmark_of(self) -> DataFrame:
+        return self.accounts.sparkSession.createDataFrame(
+            sorted(self.benchmarks.items()), "run_id string, benchmark string"
+        )
+
+    def benchmark_curves(self, prices: DataFrame) -> DataFrame:
+        """What the initial cash of each run would be worth in its benchmark: run_id, ts, benchmark, equity."""
+        growth = metrics.growth_curve(
+            self.benchmark_returns(prices), ["benchmark"], self.timeframe.chunk_seconds()
+        )
+        runs = self._benchmark_of().join(self.accounts.select("run_id", "initial_cash"), "run_id")
+        return growth.join(F.broadcast(runs), "benchmark").select(
+            "run_id", "ts", "benchmark", (F.col("initial_cash") * F.col("growth")).alias("equity")
+        )
+
+    def stats(
+        self, benchmark: DataFrame | None = None, prices: DataFrame | None = None
+    ) -> DataFrame:
+        """Performance and account statistics, one row per run.
+
+        ``benchmark`` is one series (ts, r) for all runs. With ``prices`` (benchmark, ts, close)
+        each run is compared with the benchmark that it names, and with none if it names none.
+        """
         table = durable(self.equity_table())
         returns = table.select("run_id", "ts", F.col("returns").alias("r"))
-        stats = metrics.performance_stats(returns, self.timeframe, benchmark=benchmark)
+        of = None
+        if prices is not None:
+            benchmark, of = durable(self.benchmark_returns(prices)), self._benchmark_of()
+        stats = metrics.performance_stats(
+            returns, self.timeframe, benchmark=benchmark, benchmark_of=of
+        )
         return stats.join(metrics.run_stats(table, self.fills), "run_id")
 
 

@@ -40,7 +40,7 @@ class Costs:
 
 @dataclass(frozen=True)
 class Run:
-    """One row of a sweep: a signal, its parameters and its account."""
+    """One row of a sweep: a signal, its parameters, its account and what it is compared with."""
 
     run_id: str
     signal: str
@@ -48,6 +48,7 @@ class Run:
     costs: Costs = Costs()
     initial_cash: float = 100_000.0
     max_leverage: float = 1.0
+    benchmark: str | None = None
 
 
 class Signal(NamedTuple):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidebar.operators import bars, metrics, portfolio, report, scans, signals
@@ -494,6 +496,85 @@ def sweep_statistics(spark, sf):
     return shown(stats, 5, total_commission=3, total_slippage=3, final_equity=2)
 
 
+# -- runs and their benchmarks -------------------------------------------------------
+
+#: Brands that runs are compared with; ``slow`` has none, ``best`` one without any price.
+_COMPARED = {
+    "hold": "Brand#11", "even": "Brand#22", "trend": "Brand#11", "spread": "Brand#33", "dip": "Brand#22",
+    "few": "Brand#33", "best": "Brand#99",
+}
+
+#: Benchmark prices leave out every third bar, which is filled, and have bars of their own, which are dropped.
+_BENCHMARK_TABLES = {
+    "compared": "SELECT * FROM (VALUES "
+    + ", ".join(f"('{r}', '{b}')" for r, b in _COMPARED.items())
+    + ") v(run_id, benchmark)",
+    "bench_filled": """
+      SELECT benchmark, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY benchmark ORDER BY ts) AS close
+      FROM (SELECT DISTINCT benchmark FROM compared), calm_month_line
+      LEFT JOIN (SELECT symbol, seq, close FROM calm_panel WHERE seq % 3 <> 1) p
+        ON p.symbol = benchmark AND p.seq = calm_month_line.seq""",
+    "bench_returns": """
+      SELECT benchmark, ts, coalesce(close / lag(close) OVER (PARTITION BY benchmark ORDER BY ts) - 1, 0) AS b
+      FROM bench_filled""",
+    "bench_stats": """
+      SELECT benchmark, product(1 + b) - 1 AS total, CASE WHEN max(b) > min(b)
+        THEN avg(b) / stddev_samp(b) * sqrt(12e0) ELSE 0 END AS sharpe FROM bench_returns GROUP BY benchmark""",
+    "bench_fits": """
+      SELECT run_id, benchmark, CASE WHEN max(b) > min(b) THEN covar_samp(r, b) / var_samp(b) END AS beta,
+        avg(r) AS mr, avg(b) AS mb
+      FROM rs JOIN compared USING (run_id) JOIN bench_returns USING (benchmark, ts) GROUP BY run_id, benchmark""",
+}
+
+
+def _compared_sweep(spark, sf):
+    months = fx.calm(fx.brand_months(spark, sf))
+    runs = [replace(r, benchmark=_COMPARED.get(r.run_id)) for r in RUNS]
+    panel = bars.with_seq(months, scans.timeline(months))
+    prices = panel.filter("seq % 3 <> 1").select(F.col("symbol").alias("benchmark"), "ts", "close")
+    off = prices.select("benchmark", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), (F.col("close") * 9).alias("close"))
+    return portfolio.run_sweep(months, runs, "1Month"), prices.unionByName(off)
+
+
+@query(
+    _ledger_sql(
+        "SELECT s.run_id, f.benchmark, " + rnd("s.total_return", "total_return", 5) + ", "
+        + rnd("CASE WHEN f.run_id IS NOT NULL THEN coalesce(f.beta, 0) END", "beta", 5) + ", "
+        + rnd("CASE WHEN f.run_id IS NOT NULL THEN coalesce((f.mr - f.beta * f.mb) * 12, 0) END", "alpha", 5) + ", "
+        + rnd("b.total", "benchmark_return", 5) + ", " + rnd("b.sharpe", "benchmark_sharpe", 5) + ", "
+        + rnd("s.total_return - b.total", "excess_return", 5)
+        + " FROM stat s LEFT JOIN bench_fits f USING (run_id) LEFT JOIN bench_stats b USING (benchmark)",
+        **stats_tables(_CURVE_RETURNS, 12.0),
+        **_BENCHMARK_TABLES,
+    )
+)
+def sweep_benchmark_statistics(spark, sf):
+    """Each run against the benchmark that it names."""
+    sweep, prices = _compared_sweep(spark, sf)
+    stats = sweep.stats(prices=prices).join(sweep._benchmark_of(), "run_id", "left")
+    return shown(
+        stats.select(
+            "run_id", "benchmark", "total_return", "beta", "alpha", "benchmark_return", "benchmark_sharpe",
+            "excess_return",
+        ),
+        5,
+    )
+
+
+@query(
+    _ledger_sql(
+        "SELECT run_id, ts, benchmark, " + rnd("initial_cash * product(1 + b) OVER "
+        "(PARTITION BY run_id ORDER BY ts)", "equity", 3)
+        + " FROM compared JOIN accounts USING (run_id) JOIN bench_returns USING (benchmark)",
+        **_BENCHMARK_TABLES,
+    )
+)
+def sweep_benchmark_curves(spark, sf):
+    """Initial cash held in the benchmark of each run."""
+    sweep, prices = _compared_sweep(spark, sf)
+    return shown(sweep.benchmark_curves(prices), 3)
+
+
 @query(
     _ledger_sql(
         "SELECT run_id, ts, " + rnd("equity", None, 2) + ", " + rnd("cash", None, 2) + " FROM booked"
