@@ -76,6 +76,34 @@ def test_exact_quantile_of_a_large_group_with_many_equal_values(spark, p):
     assert got["small"] == pytest.approx(np.quantile(values[:17], p), abs=1e-14)
 
 
+@pytest.mark.parametrize("cells,small", [(4, 50), (256, 1000)])
+def test_quantile_by_repeated_splitting(spark, monkeypatch, cells, small):
+    """Many rounds, keys of all sizes and shapes, nulls, and the mean up to the quantile."""
+    monkeypatch.setattr(scans, "CELLS", cells)
+    monkeypatch.setattr(scans, "SMALL", small)
+    rng = np.random.default_rng(9)
+    groups = {
+        "wide": rng.normal(size=20_000) * 10.0 ** rng.integers(-9, 9, 20_000),
+        "ties": np.round(rng.normal(size=8_000), 1),
+        "heavy": np.where(rng.random(9_000) < 0.9, 1.5, rng.normal(size=9_000)),
+        "one": np.full(5_000, -2.0),
+        "two": np.array([3.0, 1.0]),
+        "single": np.array([7.0]),
+    }
+    rows = [(k, float(x)) for k, values in groups.items() for x in values] + [("wide", None), ("none", None)]
+    df = spark.createDataFrame(rows, "run_id string, r double").repartition(5)
+    for p in (0.0, 0.05, 0.5, 1.0):
+        found = scans.exact_quantile(df, ["run_id"], "r", p, "q", "m")
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.run_id: r for r in found.collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            q = np.quantile(values, p)
+            assert got[k].q == pytest.approx(q, rel=1e-12, abs=1e-14)
+            assert got[k].m == pytest.approx(values[values <= got[k].q].mean(), rel=1e-9, abs=1e-12)
+    assert scans.exact_quantile(df.filter("false"), ["run_id"], "r", 0.5, "q").count() == 0
+
+
 def test_timeline_positions(spark):
     frame = make_bars(spark, {"A": [1.0] * 70})
     line = scans.timeline(frame, chunk_seconds=5 * 86400).orderBy("ts").collect()

@@ -208,14 +208,7 @@ def conditional_value_at_risk(
     returns: DataFrame, keys: Sequence[str] = KEYS, level: float = 0.05
 ) -> DataFrame:
     """``var_95`` and ``cvar_95``, the mean of the returns at or below it."""
-    threshold = value_at_risk(returns, keys, level)
-    tail = F.avg(F.when(F.col("r") <= F.col("var_95"), F.col("r")))
-    return (
-        clean_returns(returns)
-        .join(threshold, list(keys))
-        .groupBy(*keys)
-        .agg(F.first("var_95").alias("var_95"), F.coalesce(tail, F.lit(0.0)).alias("cvar_95"))
-    )
+    return scans.exact_quantile(clean_returns(returns), keys, "r", level, "var_95", "cvar_95")
 
 
 def join_on_shared_bars(returns: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -190,51 +190,96 @@ def timeline(bars: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
     return durable(counted.select("ts", (F.col("seq") - 1).alias("seq")))
 
 
+#: Splits of a bracket per round, and how many values of a key are picked from at once.
+CELLS = 256
+SMALL = 10_000
+
+
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, p: float, out: str
+    df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, mean_upto: str | None = None
 ) -> DataFrame:
-    """Exact quantile with linear interpolation, one row per key.
+    """Exact quantile with linear interpolation, one row per key; with ``mean_upto`` also the
+    mean of the values up to it.
 
-    A sketch (mergeable, bounded size) first brackets the wanted rank; only the
-    values inside the bracket are ranked. Groups up to 10,000 rows are ranked
-    whole; above that the bracket is ten times wider than the sketch's error.
+    A bracket around the wanted ranks shrinks round by round. A round counts what lies below and
+    inside and splits the inside into ``CELLS`` ranges by a sketch, whose counts are
+    checked by the next round; only counts, sums and sketches are shuffled. Once a key has at most ``SMALL`` values
+    inside (or ties that no split takes apart), its different values are picked from by their counts.
     """
-    margin, small = 1e-3, 10_000
-    v = F.col(value)
-    bounds = df.groupBy(*keys).agg(
-        F.count(v).alias("__n"),
-        F.percentile_approx(
-            v, [max(p - margin, 0.0), min(p + margin, 1.0)], 10_000
-        ).alias("__b"),
+    rows = durable(df.select(*keys, F.col(value).alias("__v")).filter(F.col(value).isNotNull()))
+    v, grid = F.col("__v"), [i / CELLS for i in range(CELLS + 1)]
+    split = lambda c: F.percentile_approx(c, grid, 20 * CELLS)
+    state = durable(
+        rows.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), split(v).alias("cells")
+        ).select(
+            *keys, "n", "low", "high", F.lit(0).cast("long").alias("below"),
+            F.lit(0.0).alias("total"), F.col("n").alias("inside"), (F.col("n") > SMALL).alias("open"), "cells",
+        )
     )
-    whole = F.col("__n") <= small
-    near = (
-        df.select(*keys, value)
-        .join(bounds, list(keys))
-        .groupBy(
-            *keys,
-            F.when(~whole & (v < F.col("__b")[0]), F.lit(None))
-            .otherwise(v)
-            .alias("__v"),
-            (~whole & (v < F.col("__b")[0])).alias("__below"),
+    first, last = F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))
+    while not state.filter("open").isEmpty():
+        # Cells that hold both ranks, and one more on either side for the sketch's error.
+        cell = lambda rank: (rank - F.col("below")) * CELLS / F.greatest(F.col("inside"), F.lit(1))
+        at = F.greatest(F.floor(cell(first)) - 1, F.lit(0)).cast("int")
+        to = F.least(F.ceil(cell(last + 1)) + 1, F.lit(CELLS)).cast("int")
+        tried = state.filter("open").select(
+            *keys, "n", "low", "high", "below", "total", "inside",
+            F.get("cells", at).alias("from"), F.get("cells", to).alias("to"),
+        )
+        within = v.between(F.col("from"), F.col("to"))
+        found = (
+            rows.join(tried.select(*keys, "from", "to"), list(keys)).filter(v <= F.col("to"))
+            .groupBy(*keys).agg(
+                F.count_if(v < F.col("from")).alias("b"),
+                F.coalesce(F.sum(F.when(v < F.col("from"), v)), F.lit(0.0)).alias("t"),
+                F.count_if(within).alias("i"),
+                split(F.when(within, v)).alias("c"),
+            )
         )
-        .agg(F.count(v).alias("__k"), F.first("__n").alias("__n"), F.first("__b").alias("__b"))
-        .filter(
-            F.col("__below") | (F.col("__n") <= small) | (F.col("__v") <= F.col("__b")[1])
+        # A bracket that misses a rank, which only a sketch beyond its error gives, is not taken;
+        # one that did not halve holds ties, fewer than CELLS values of which make up most of it.
+        holds = F.coalesce((F.col("b") <= first) & (last < F.col("b") + F.col("i")), F.lit(False))
+        halved = holds & (F.col("i") > SMALL) & (2 * F.col("i") <= F.col("inside"))
+        kept = {"low": "from", "high": "to", "below": "b", "total": "t", "inside": "i"}
+        shrunk = tried.join(found, list(keys), "left").select(
+            *keys, "n", *[F.when(holds, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in kept.items()],
+            halved.alias("open"), F.col("c").alias("cells"),
         )
+        state = durable(state.filter("NOT open").unionByName(shrunk))
+    near = (
+        rows.join(state.select(*keys, "low", "high"), list(keys))
+        .filter(v.between(F.col("low"), F.col("high")))
+        .groupBy(*keys, "__v").agg(F.count("*").alias("__k"))
     )
-    w = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("__below").desc(), "__v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__v", "__k"))).alias("values"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("lower"),
+        F.lit(None).cast("double").alias("upper"),
     )
-    ranked = near.withColumn("__upto", F.sum("__k").over(w))
-    place = F.lit(p) * (F.col("__n") - 1)
-    lower = F.min(F.when(F.col("__upto") > F.floor(place), F.col("__v")))
-    upper = F.min(F.when(F.col("__upto") > F.ceil(place), F.col("__v")))
-    share = F.first(place - F.floor(place))
-    return ranked.groupBy(*keys).agg((lower + (upper - lower) * share).alias(out))
 
+    def step(seen: Column, e: Column) -> Column:
+        upto = seen["upto"] + e["__k"]
+        here = F.col("below") + upto
+        known = e["__v"].cast("double")
+        return F.struct(
+            upto.alias("upto"),
+            F.coalesce(seen["lower"], F.when(here > first, known)).alias("lower"),
+            F.coalesce(seen["upper"], F.when(here > last, known)).alias("upper"),
+        )
+
+    ranked = picked.join(state.select(*keys, "n", "below", "total"), list(keys)).withColumn(
+        "__r", F.aggregate("values", start, step)
+    )
+    share = F.lit(p) * (F.col("n") - 1) - first
+    quantile = F.col("__r.lower") + (F.col("__r.upper") - F.col("__r.lower")) * share
+    if mean_upto is not None:
+        upto = F.filter("values", lambda e: e["__v"] <= F.col(out))
+        count = F.aggregate(upto, F.col("below"), lambda t, e: t + e["__k"])
+        total = F.aggregate(upto, F.col("total"), lambda t, e: t + e["__v"] * e["__k"])
+        named = ranked.withColumn(out, quantile)
+        return named.select(*keys, out, F.try_divide(total, count).alias(mean_upto))
+    return ranked.select(*keys, quantile.alias(out))
 
 
 def previous(
