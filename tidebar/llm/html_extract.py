@@ -11,12 +11,17 @@ Names can mislead, so a mark by class, id or form is void where the element hold
 the page's text outside links, and for an ``article`` or ``main`` below it where the page has none
 without a mark. Names that never stand for a layout (``SURE``) are void only where no other text is left.
 
-Null or empty html gives the empty string, as does a page without text. Pages are parsed whole.
+Null or empty html gives the empty string, as does a page without text. Pages are parsed whole, in
+time proportional to their length. Malformed markup never fails: marked sections other than
+CDATA end at the next ``>``, a tag or comment that never ends is text. Elements nested
+deeper than ``DEEPEST`` count as parts of the one around them, as do marks beyond ``MARKS`` around one element.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,6 +30,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
+DEEPEST = 2000
+MARKS = 64
 
 #: Elements by role (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,9 +99,27 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.ids = 0
         self.sure: list[bool] = []
+        self.open: Counter = Counter()
+        self.deeper = 0
+        self.endless = False
         # tag, outside, container, in region, in link, marks, inherited
         self.stack = [("", False, 0, False, False, (), 0)]
 
+    def parse_html_declaration(self, i):
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        found = self.rawdata.find(end, i)
+        return -1 if found < 0 else found + len(end)
+
+    def parse_comment(self, i, report=1):
+        # Once the end of a comment was searched in vain, later ones have none either.
+        if self.endless and not self.rawdata.startswith(("<!-->", "<!--->"), i):
+            return -1
+        found = super().parse_comment(i, report)
+        self.endless = self.endless or found < 0
+        return found
+
     def flush(self):
         text = " ".join("".join(self.text).split())
         _, outside, container, region, _, marks, inherited = self.stack[-1]
@@ -132,9 +157,13 @@ class Lines(HTMLParser):
                     outside = outside or value.lower() in ROLES - {"form", "search"}
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     outside = True
-            if marked:
+            if marked and len(marks) < MARKS:
                 marks = (*marks, len(self.sure))
                 self.sure.append(sure)
+        if len(self.stack) > DEEPEST:
+            self.deeper += 1
+            return
+        self.open[tag] += 1
         self.stack.append((tag, outside, container, inside, link or tag == "a", marks, inherited))
 
     def handle_startendtag(self, tag, attrs):
@@ -142,8 +171,11 @@ class Lines(HTMLParser):
 
     def leave(self, names: set[str], stop: set[str]) -> None:
         """Ends the innermost open element of ``names``, if no element of ``stop`` lies between."""
+        if not any(self.open[name] for name in names):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in names:
+                self.open.subtract(x[0] for x in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i][0] in stop:
@@ -153,7 +185,9 @@ class Lines(HTMLParser):
         if tag not in INLINE and tag != "br":
             self.flush()
         self.tags += 1
-        if tag not in VOID:
+        if tag not in VOID and self.deeper:
+            self.deeper -= 1
+        elif tag not in VOID:
             self.leave({tag}, set() if tag in CONTAINERS | OUTSIDE else CONTAINERS)
 
     def handle_data(self, data):
@@ -206,8 +240,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(re.sub(r"<!\[(?!CDATA\[)[^>]*>", "", html) if "<![" in html else html)
+    # No tag is complete behind the last ">", which spares the parser to look for its end each time.
+    end = html.rfind(">") + 1
+    parser.feed(html[:end])
     parser.close()
+    if parser.cdata_elem is None:
+        parser.handle_data(unescape(html[end:]))
     parser.flush()
     lines = parser.found
     if not lines:

@@ -35,21 +35,22 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "secret": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-               r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
+               r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
                r"|(?<=(?:token|password|passwd|pwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)"
                r"[A-Za-z0-9/+_.~-]{6,}"
                r"|(?<=(?:Token|Password|Secret|TOKEN|PASSWORD|SECRET|API_KEY) {0,2}[=:] {0,2}[\"']?)"
                r"[A-Za-z0-9/+_.~-]{6,}"),
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": (r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
-              r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"),
+              r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+              r"|(?<![0-9A-Za-z.+-])[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these has no entity; far cheaper than the patterns.
-HINT = r"[@0-9=:]|" + _TITLES
+#: A text without these has no entity, since each pattern needs one of them; far cheaper than the patterns.
+HINT = r"[@0-9=:]|AKIA|[0-9A-Fa-f]{32}|" + _TITLES
 
 #: Syllables of surrogate names by script, endings by gender (fixed values).
 SYLLABLES = {
@@ -76,7 +77,8 @@ def _kind(value: str) -> str:
         f" WHEN {value} rlike {_sql(f'^(?:{_TITLES})[.]? ')} THEN 'name'"
         f" WHEN {value} rlike {_sql(f'^(?:{_OCTET}[.]){{3}}{_OCTET}$')} THEN 'ip'"
         f" WHEN {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'"
-        f" WHEN {value} rlike '^[(+][0-9() .-]+$' THEN 'phone'"
+        f" WHEN {value} rlike '^(?:[(+][0-9() .-]+|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}[.][0-9]{{3}}[.][0-9]{{4}})$'"
+        f" THEN 'phone'"
         f" WHEN {value} rlike '^[0-9][0-9 -]{{12,}}$' THEN 'card' ELSE 'secret' END"
     )
 
@@ -114,8 +116,8 @@ def _syllables(script: str, start: int, n: int) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _surrogate() -> str:
-    """SQL: the surrogate of ``canon`` of type ``kind`` from the digest ``h``."""
+def _surrogate(longer: int) -> str:
+    """SQL: the surrogate of ``canon`` of type ``kind`` from the digest ``h``; names ``longer`` by syllables."""
     hexes = (f"array_join(transform(split(canon, ''), (c, i) -> {_picked('i', '0123456789abcdef')}), '')")
     octets = ", ".join(
         f"CAST(CAST(conv(substr(h, {4 * k + 1}, 4), 16, 10) AS INT) % {254 if k in (0, 3) else 256}"
@@ -125,9 +127,9 @@ def _surrogate() -> str:
     for script in SYLLABLES:
         man, woman = ENDINGS[script]
         names.append(
-            f"WHEN kind = 'given {script} m' THEN initcap(concat({_syllables(script, 0, 3)}, '{man}'))"
-            f" WHEN kind = 'given {script} f' THEN initcap(concat({_syllables(script, 0, 3)}, '{woman}'))"
-            f" WHEN kind = 'family {script}' THEN initcap({_syllables(script, 0, 4)})")
+            f"WHEN kind = 'given {script} m' THEN initcap(concat({_syllables(script, 0, 3 + longer)}, '{man}'))"
+            f" WHEN kind = 'given {script} f' THEN initcap(concat({_syllables(script, 0, 3 + longer)}, '{woman}'))"
+            f" WHEN kind = 'family {script}' THEN initcap({_syllables(script, 0, 4 + longer)})")
     domain = "concat(" + _scrambled("regexp_extract(canon, '^[^@]*@(.*)[.][a-z]+$', 1)").replace(
         "substr(h,", "substr(hd,") + ", regexp_extract(canon, '([.][a-z]+)$', 1))"
     return (
@@ -145,12 +147,12 @@ def _surrogate() -> str:
 
 
 def _drawn(pending: DataFrame, key: str, attempt: int) -> DataFrame:
-    """``pending`` (kind, canon) with a surrogate of this attempt."""
+    """``pending`` (kind, canon) with a surrogate of this attempt; names grow, so any number gets one."""
     salted = pending.withColumns({
         "h": F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.lit(attempt)), 512),
         "hd": F.sha2(F.concat_ws("|", F.lit(key), F.regexp_extract("canon", "@(.*)$", 1)), 512),
     })
-    return salted.select("kind", "canon", F.expr(_surrogate()).alias("surrogate"))
+    return salted.select("kind", "canon", F.expr(_surrogate(attempt // 2)).alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -202,9 +204,11 @@ def _written() -> Column:
 
 def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text column; ``count`` names a column for their number."""
-    hint = hinted(text)
-    found = F.expr(f"regexp_extract_all(`{text}`, {_sql(COMBINED)}, 0)")
-    texts = docs.filter(hint).select(F.md5(text).alias("k"), F.posexplode(found).alias("pos", "value"))
+    found = F.expr(f"regexp_extract_all(text, {_sql(COMBINED)}, 0)")
+    # Whole rows travel as one column, whatever their columns are called.
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
+    hint = hinted("text")
+    texts = rows.filter(hint).select(F.md5("text").alias("k"), F.posexplode(found).alias("pos", "value"))
     mentions = durable(texts.distinct())
     parts = durable(_parts(mentions.select("value").distinct()))
     mapped = parts.join(surrogates(parts, key), ["kind", "canon"])
@@ -214,15 +218,14 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None =
     written = written.select("value", _written().alias("surrogate"))
     lists = mentions.join(written, "value").groupBy("k").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x.surrogate).alias("s"))
-    pieces = F.expr(f"split(`{text}`, {_sql(COMBINED)}, -1)")
-    hits = docs.filter(hint).withColumn("__k", F.md5(text)).join(
-        lists.select(F.col("k").alias("__k"), F.col("s").alias("__s")), "__k", "left")
-    new = F.when(F.col("__s").isNull(), F.col(f"`{text}`")).otherwise(
-        F.array_join(F.flatten(F.zip_with(pieces, F.col("__s"),
+    pieces = F.expr(f"split(text, {_sql(COMBINED)}, -1)")
+    hits = rows.filter(hint).withColumn("k", F.md5("text")).join(lists, "k", "left")
+    new = F.when(F.col("s").isNull(), F.col("text")).otherwise(
+        F.array_join(F.flatten(F.zip_with(pieces, F.col("s"),
                                           lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
-    out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    plain = [F.col(f"`{c}`") for c in docs.columns]
+    kept = {c: F.col(f"row.`{c}`").alias(c) for c in docs.columns}
+    out, plain = [*(kept | {text: new.alias(text)}).values()], [*kept.values()]
     if count:
-        out.append(F.coalesce(F.size("__s"), F.lit(0)).cast("long").alias(count))
+        out.append(F.coalesce(F.size("s"), F.lit(0)).cast("long").alias(count))
         plain.append(F.lit(0).cast("long").alias(count))
-    return hits.select(*out).unionByName(docs.filter(~hint).select(*plain))
+    return hits.select(*out).unionByName(rows.filter(~hint).select(*plain))
