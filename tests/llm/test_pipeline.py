@@ -55,8 +55,11 @@ def test_odd_rows_pass_through(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(
             f"{tmp_path}/labels.parquet")
         now = given
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
             path = f"{tmp_path}/{expected}-{i}"
             stage(spark, now, str(tmp_path)).write.parquet(path)
             now = spark.read.parquet(path)
+            assert now.columns == docs.columns
         assert now.count() == expected
+        pieces = corpus_pipeline.packed(spark, now, str(tmp_path)).collect()
+        assert len({r.doc_id for r in pieces}) == len({r.doc_id for r in now.collect()})

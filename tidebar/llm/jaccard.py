@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import links
+from tidebar.llm.hot import lookup, maybe_in
 from tidebar.llm.text import Cache, grams, hash64, words
 from tidebar.session import durable
 
@@ -81,7 +82,7 @@ def runs_for(threshold: float, recall: float = RECALL, depth: int = DEPTH) -> in
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key of the set or null, tokens) for each row."""
+    """(doc_id, key of the set or null, tokens, digest of the text) for each row."""
 
     def run(batches):
         for batch in batches:
@@ -91,11 +92,12 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append(tokens(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                names=["doc_id", "key", "sign"])
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), batch.column(2)],
+                names=["doc_id", "key", "sign", "digest"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, key binary, sign binary")
+    text = F.col(text_col)
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+    return chosen.mapInArrow(run, "doc_id long, key binary, sign binary, digest binary")
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
@@ -155,16 +157,21 @@ def overlapping(threshold: float):
 
 
 def dense(rows: DataFrame, slack: float) -> DataFrame:
-    """Paths of large buckets in which a good part is alike the member of least id.
+    """``rows`` of large buckets with the ``share`` of each that is alike its member of least id.
 
-    Splitting does not take such members apart, so their bucket is compared as it is.
+    Splitting does not take such members apart, so a bucket with a good part of them is
+    compared as it is.
     """
-    pivots = rows.filter("id = low").select("path", F.col("sign").alias("pivot"))
+    total = rows.count()
+    sizes = F.col("n").alias("__size")
+    pivots = durable(rows.filter("id = low").select("path", F.col("sign").alias("pivot"), sizes))
     token = lambda c, i: F.substring(c, i * 4 + 1, F.lit(4))
     agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)),
                             lambda i: token(F.col("sign"), i) == token(F.col("pivot"), i)))
     share = F.avg((agree >= slack * TOKENS).cast("double"))
-    return rows.join(pivots, "path").groupBy("path").agg(share.alias("share")).filter(F.col("share") >= DENSE)
+    near = lookup(rows, pivots, "path", total, "__size").groupBy("path").agg(
+        share.alias("share"), F.max("n").alias("__size"))
+    return lookup(rows, durable(near), "path", total, "__size")
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
@@ -187,16 +194,20 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         large = buckets.filter(F.col("n") > SMALL)
         if large.isEmpty():
             return links.components(edges)
-        rows = large.join(sets, "id").select("path", "id", "n", "low", "sign")
-        rows = durable(rows.join(dense(rows, slack), "path", "left"))
-        edges = edges.unionByName(compared(rows.filter("share IS NOT NULL")))
-        rows = rows.filter("share IS NULL")
+        rows = durable(large.join(sets, "id").select("path", "id", "n", "low", "sign"))
+        rows = durable(dense(rows, slack))
+        edges = edges.unionByName(compared(rows.filter(F.col("share") >= DENSE)))
+        rows = rows.filter(F.col("share") < DENSE)
     return links.components(edges.unionByName(compared(rows)))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (least id reachable by links), n_links."""
+    return _joined(docs, threshold, id_col, text_col).drop("digest")
+
+
+def _joined(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     signs = durable(signed(docs, id_col, text_col))
     known = signs.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = durable(known.groupBy("key").agg(
@@ -215,7 +226,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                 [*batch.columns[:4], pa.array(found, pa.binary())],
                 names=["component", "id", "copies", "n", "hashes"]).filter(pa.array(own, pa.bool_()))
 
+    # Only texts of members are shuffled, and few others that the bitmaps cannot tell from them.
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text"))
+    texts = maybe_in(texts, F.col("least"), members, F.col("least")).filter("hit").drop("hit")
     whole = members.join(texts, "least").select("component", "id", "copies", "n", "text", "key").mapInArrow(
         run, "component long, id long, copies long, n long, hashes binary")
     dealt = links.blocks(whole, path="component").filter(F.length("hashes") > 0)
@@ -227,15 +240,32 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     done = durable(done.select(
         "key", F.coalesce("name", "least").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(
+    return signs.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(
         done, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        "doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with the least id of each class, with their own columns, and those without an id."""
-    kept = join(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    unnamed = docs.filter("doc_id IS NULL")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(unnamed)
+    """The documents with the least id of each class, with their own columns, and those without an id.
+
+    Of rows with one id and one text, one stays. Texts that stay are not shuffled: rows that are
+    dropped or repeated are found by id and digest, and only what bitmaps of these hit is joined with them.
+    """
+    kept = F.col("doc_id") == F.col("class_id")
+    found = _joined(docs, threshold, "doc_id", "text").filter("doc_id IS NOT NULL")
+    special = durable(found.groupBy("doc_id", "digest").agg(
+        F.count("*").alias("__n"), F.bool_and(kept).alias("__kept")).filter("__n > 1 OR NOT __kept"))
+    # Whole rows travel as one column, whatever their columns are called.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.unhex(F.md5("text")).alias("digest"))
+    named = maybe_in(rows.filter("id IS NOT NULL"), F.struct("id", "digest"), special, F.struct("doc_id", "digest"))
+    special = special.select(F.col("doc_id").alias("same_id"), F.col("digest").alias("same"), "__kept", "__n")
+    same = F.col("digest").eqNullSafe(F.col("same")) & (F.col("id") == F.col("same_id"))
+    checked = named.filter("hit").join(special, same, "left").filter("coalesce(__kept, true)")
+    again = checked.filter("__n > 1").dropDuplicates(["id", "digest"])
+    parts = [named.filter("NOT hit"), checked.filter("__n IS NULL OR __n = 1"), again, rows.filter("id IS NULL")]
+    out = parts[0].select("row")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("row"))
+    return out.select("row.*")

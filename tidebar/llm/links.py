@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.hot import lookup
 from tidebar.session import durable
 
 #: Rows of one block.
@@ -79,7 +80,8 @@ def shared(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
         F.bit_xor(F.xxhash64("id")).alias("mix"))
     one = things.filter("n > 1").groupBy("n", "low", "high", "mix").agg(F.min("path").alias("path"))
-    return durable(rows.join(one.select("path", "n", "low"), "path"))
+    table = durable(one.select("path", "n", "low", F.col("n").alias("__size")))
+    return durable(lookup(rows, table, "path", rows.count(), "__size"))
 
 
 def near_forests(rows: DataFrame, near: Near) -> DataFrame:
