@@ -31,6 +31,7 @@ from tidebar.llm import (
     pii,
     rules,
 )
+from tidebar.llm.text import Cache
 from tidebar.llm.queries import BYTE_BPE, WORD_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,13 @@ def empty(df):
     return df.filter("false")
 
 
+def test_one_cache_is_filled_at_a_time():
+    first, second = Cache(str.upper, most=10), Cache(len, most=10)
+    assert [first[w] for w in "abcdefghijk"] == list("ABCDEFGHIJK") and len(first) + len(first.older) <= 11
+    assert second["abc"] == 3 and not first and not first.older
+    assert first["a"] == "A" and not second and first["x" * 50] == "X" * 50
+
+
 # 1 byte-level BPE
 
 

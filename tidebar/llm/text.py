@@ -21,13 +21,24 @@ class Cache(dict):
 
     When half of that is reached, what is held becomes the older half; what is used again
     moves to the new one. It lives as long as the Python worker, so tasks that follow each
-    other share it.
+    other share it; when a task of another operator begins to fill its own, the others are emptied. A task
+    fills one of them only.
     """
 
+    every: list[Cache] = []
+    filled: Cache | None = None
+
     def __init__(self, function: Callable, most: int = 800_000, longest: int = 48):
         self.function, self.half, self.longest, self.older = function, most // 2, longest, {}
+        Cache.every.append(self)
 
     def __missing__(self, key):
+        if Cache.filled is not self:
+            Cache.filled = self
+            for other in Cache.every:
+                if other is not self:
+                    other.clear()
+                    other.older = {}
         value = self.older.get(key)
         if value is None:
             value = self.function(key)
