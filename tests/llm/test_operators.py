@@ -503,8 +503,11 @@ def test_distinct_keeps_one_row_of_each_text(spark):
 # 8 language model
 
 
-def test_backoff_scores(spark, monkeypatch):
-    monkeypatch.setattr(backoff, "BATCH", 8)
+@pytest.mark.parametrize("few", [1, 20, 100_000])
+def test_backoff_scores(spark, monkeypatch, few):
+    """All, some and hardly any n-grams meet the documents by the shuffle; stretches of one text and of many."""
+    monkeypatch.setattr(backoff, "HOT", few)
+    monkeypatch.setattr(backoff, "STRETCH", 16 * few)
     texts = {i: " ".join(random.Random(i).choices("a b c d e f g h".split(), k=i % 40)) for i in range(60)}
     texts |= {60: None, 61: "a", 62: prose(3000, 1), 63: "a b"}
     grams = [Counter() for _ in range(4)]
@@ -521,8 +524,10 @@ def test_backoff_scores(spark, monkeypatch):
                 return math.log(grams[n][g] / grams[n - 1][g[:-1]]) + (3 - n) * math.log(0.4)
         return math.log(grams[1][(w[i],)] / total) + 2 * math.log(0.4)
 
-    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS + ", batch string")
-    for r in backoff.score(df).collect():
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS + ", row string")
+    found = backoff.score(df).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
         w = (texts[r.doc_id] or "").split()
         expected = sum(score(w, i) for i in range(len(w)))
         assert r.n_words == len(w) and math.isclose(r.log_score, expected, abs_tol=1e-6)
@@ -530,6 +535,20 @@ def test_backoff_scores(spark, monkeypatch):
     assert backoff.score(empty(df)).count() == 0
 
 
+def test_backoff_scores_of_odd_rows(spark):
+    """Null ids, null texts and rows that repeat, an id with several texts."""
+    rows = [(None, None), (None, "a b a"), (None, "a b a"), (1, "a b"), (1, "a b"), (1, "a"), (2, ""), (2, None)]
+    found = backoff.score(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in found) == [
+        (0, 0), (0, 3), (0, 3), (1, 1), (1, 2), (1, 2), (2, 0), (2, 0)]
+    one, two = 2 * math.log(0.4), math.log(0.4)
+    a = math.log(7 / 11) + one
+    ab = a + math.log(4 / 7) + two  # "a b" four times, "a" seven
+    expected = {(None, 0): 0, (None, 3): ab + math.log(2 / 4), (1, 2): ab, (1, 1): a, (2, 0): 0}
+    for r in found:
+        assert math.isclose(r.log_score, expected[r.doc_id, r.n_words], abs_tol=1e-9), r
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()

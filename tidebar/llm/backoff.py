@@ -8,16 +8,22 @@ and count / number of words for single words. N-grams above one word count from
 ``MIN_COUNT`` on, so that a document is not scored by its own rare phrases alone. The score of a
 document is the sum of the logarithms.
 
-Documents are dealt to batches. A batch sends its distinct n-grams, hashed to 64 bits, to the
-count tables, which are partitioned by ranges of the hash; a partition adds up the counts of
-all batches and answers each of them in the order it asked. Batches and partitions grow in
-number with the rows, so the memory of a task does not. A very frequent n-gram is one key
-for each batch. Keys travel sorted, as differences, byte by byte, and documents as compressed
-blocks, which keeps the shuffles small. Keys have as many bits as the number of words asks for (twice
-those of the number and two more, so that hardly any two n-grams share one), up to 64.
+The count table is partitioned by the 64-bit hash of the n-gram: n-grams are counted in stretches
+of texts, and the counts added up by hash. All that depends on the n-gram alone is worked out in
+that table: with s(g) the logarithm of the score that g gives where it is the longest known, g adds
+
+    gain(g) = s(g) - s(g without its first word)
+
+to what the shorter n-gram at the same word has given (s(g) itself for a single word). As the
+shorter n-grams of a known one are known too, the score of a document is the sum of the gains of
+its known n-grams: its n-grams are exploded, joined to the gains by hash, and summed.
+
+N-grams with more than one in ``HOT`` of all occurrences are fewer than ``HOT`` for each order,
+so their gains are broadcast and added up before the shuffle. No other key has more rows than that.
 
 Null and empty texts have no words and score 0 (mean null). Texts count whole. Repeated rows
-count and are scored as often as they come.
+count and are scored as often as they come; rows equal in id and text are told apart from others by
+a hash and share their score. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,171 +35,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm import hot
 from tidebar.llm.text import Cache, grams, hash64, words
+from tidebar.session import durable
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BATCH = 2048
+#: Words of the texts whose n-grams are counted together in a task; a longer text is one stretch.
+STRETCH = 1 << 19
+#: At most so many n-grams of each order are broadcast.
+HOT = 100_000
 
 _cache = Cache(hash64, most=200_000)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Byte planes of unsigned 64-bit numbers."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-
-
-def width(total: int) -> int:
-    """Bits of a key for so many words."""
-    return min(max(2 * max(total, 1).bit_length() + 2, 48), 64)
-
-
-def part_of(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Partition of each hash; rises with it."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+def hashed(text: str | None) -> np.ndarray:
+    return np.array(list(map(_cache.__getitem__, words(text or ""))), np.uint64)
 
 
-def boxed(docs: pa.Table) -> bytes:
-    """Rows of documents as one compressed block."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(docs)
-    return sink.getvalue().to_pybytes()
+def stretches(batches, columns: list[str]):
+    """Lists of (values of ``columns``, hashed words), of ``STRETCH`` words and more each."""
+    held, size = [], 0
+    for batch in batches:
+        others = [batch.column(c).to_pylist() for c in columns]
+        for *values, text in zip(*others, batch.column("text")):
+            held.append((values, hashed(text.as_py())))
+            size += len(held[-1][1])
+            if size >= STRETCH or len(held) >= STRETCH // 16:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
-def unboxed(blocks: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables(pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks)
-
-
-def box(batches):
-    """One block for each batch that the given rows (batch, doc_id, text) belong to."""
-    for given in batches:
-        rows = pa.Table.from_batches([given]).sort_by("batch")
-        keys = rows.column("batch").to_numpy()
-        starts = np.flatnonzero(np.diff(keys, prepend=-1)).tolist()
-        parts = [rows.slice(a, b - a).select(["doc_id", "text"]) for a, b in zip(starts, [*starts[1:], len(keys)])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[starts]), pa.array([boxed(p.combine_chunks()) for p in parts], pa.binary())],
-            names=["batch", "docs"])
-
-
-def batch_grams(texts: list[str | None], order: int, bits: int):
-    """Words of each text, and the hashes of the n-grams for each order, text after text."""
-    hashed = [np.array(list(map(_cache.__getitem__, words(t or ""))), np.uint64) for t in texts]
-    sizes = np.array([len(h) for h in hashed], np.int64)
-    found = []
-    for n in range(1, order + 1):
-        each = [grams(h, n) for h in hashed]
-        found.append(np.concatenate(each) >> np.uint64(64 - bits) if each else np.empty(0, np.uint64))
-    return sizes, found
-
-
-def asked(docs: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
-    """(part, batch, order, keys, counts): what each batch sends to the count tables."""
-    from tidebar.llm.links import grouped
+def counted(docs: DataFrame, order: int) -> DataFrame:
+    """(key, n, times, head, tail): every n-gram of the corpus, with the hashes of its first and last n - 1 words."""
 
     def run(batches):
-        for table in grouped(batches):
-            batch = table.column(0)[0].as_py()
-            _, found = batch_grams(unboxed(table.column("docs")).column("text").to_pylist(), order, bits)
-            for n, all_keys in enumerate(found, 1):
-                keys, counts = np.unique(all_keys, return_counts=True)
-                bounds = np.searchsorted(part_of(keys, parts, bits), np.arange(parts + 1))
-                rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        for held in stretches(batches, []):
+            shorter = [np.empty(0, np.uint64) for _ in held]
+            for n in range(1, order + 1):
+                each = [grams(h, n) for _, h in held]
+                keys, at, times = np.unique(np.concatenate(each), return_index=True, return_counts=True)
+                if n == 1:
+                    head = tail = np.zeros(len(keys), np.uint64)
+                else:
+                    head = np.concatenate([s[:-1] for s in shorter])[at]
+                    tail = np.concatenate([s[1:] for s in shorter])[at]
+                shorter = each
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()),
-                     pa.array([batch] * len(rows), pa.int64()),
-                     pa.array([n] * len(rows), pa.int32()),
-                     pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
-                     pa.array([packed(counts[a:b].astype(np.uint64)) for _, a, b in rows], pa.binary())],
-                    names=["part", "batch", "n", "keys", "counts"])
+                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), n, np.int32)),
+                     pa.array(times.astype(np.int64)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))],
+                    names=["key", "n", "times", "head", "tail"])
 
-    return docs.sortWithinPartitions("batch").mapInArrow(
-        run, "part long, batch long, n int, keys binary, counts binary")
+    found = docs.select("text").mapInArrow(run, "key long, n int, times long, head long, tail long")
+    return found.groupBy("key").agg(F.first("n").alias("n"), F.sum("times").alias("times"),
+                                    F.first("head").alias("head"), F.first("tail").alias("tail"))
 
 
-def answered(requests: DataFrame) -> DataFrame:
-    """(batch, n, part, counts): counts over all batches, in the order asked."""
-    from tidebar.llm.links import grouped
+def gains(counts: DataFrame, total: int, order: int, alpha: float) -> DataFrame:
+    """(key, times, gain) of the n-grams in ``counts``, level by level."""
+    known = counts.filter("n = 1").select(
+        "key", "times", (F.log(F.col("times") / total) + (order - 1) * math.log(alpha)).alias("s"))
+    known = durable(known.withColumn("gain", F.col("s")))
+    every = known
+    for n in range(2, order + 1):
+        # An n-gram heads and ends no more longer ones than it has occurrences.
+        heads = known.select(F.col("key").alias("head"), F.col("times").alias("in_all"), F.col("times").alias("size"))
+        tails = known.select(F.col("key").alias("tail"), F.col("s").alias("less"), F.col("times").alias("size"))
+        level = durable(hot.lookup(counts.filter(F.col("n") == n), heads, "head", total, "size"))
+        level = hot.lookup(level, tails, "tail", total, "size")
+        s = F.log(F.col("times") / F.col("in_all")) + (order - n) * math.log(alpha)
+        known = durable(level.select("key", "times", s.alias("s"), (s - F.col("less")).alias("gain")))
+        every = every.unionByName(known)
+    return every.select("key", "times", "gain")
+
+
+def exploded(docs: DataFrame, order: int, often: pa.Table) -> DataFrame:
+    """(row, key, times, value, doc_words): the n-grams of each row (row, text).
+
+    One entry of each row has no n-gram (``times`` 0): it holds the sum of the gains in
+    ``often`` and the number of words.
+    """
+    by_key = often.sort_by("key")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (by_key.column("key").to_numpy(), by_key.column("gain").to_numpy()))
 
     def run(batches):
-        for table in grouped(batches):
-            part = table.column("part")[0].as_py()
-            orders = table.column("n").to_numpy()
-            for n in np.unique(orders).tolist():
-                chosen = table.filter(pa.array(orders == n))
-                keys = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in chosen.column("keys")]
-                counts = [unpacked(x.as_py()).astype(np.float64) for x in chosen.column("counts")]
-                _, place = np.unique(np.concatenate(keys), return_inverse=True)
-                total = np.bincount(place, np.concatenate(counts)).astype(np.uint64)[place]
-                ends = np.cumsum([len(k) for k in keys])[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [chosen.column("batch").combine_chunks(), pa.array([n] * len(keys), pa.int32()),
-                     pa.array([part] * len(keys), pa.int64()),
-                     pa.array([packed(t) for t in np.split(total, ends)], pa.binary())],
-                    names=["batch", "n", "part", "counts"])
-
-    dealt = requests.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "batch long, n int, part long, counts binary")
-
-
-def log_scores(sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float,
-               min_count: int) -> np.ndarray:
-    """Sum of the logarithms for each text; ``counts`` are those of ``batch_grams``."""
-    out = np.zeros(len(sizes))
-    if not sizes.sum():
-        return out
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = len(counts)
-    score = np.log(counts[0] / total) + (order - 1) * math.log(alpha)
-    for n in range(2, order + 1):
-        ends = np.flatnonzero(place >= n - 1)  # last word of each n-gram, in their order
-        # The context ends one word before; it is the k-th (n-1)-gram, k counted with its text.
-        context = np.flatnonzero(place >= n - 2)
-        rank = np.full(len(owner), -1)
-        rank[context] = np.arange(len(context))
-        mine = counts[n - 1]
-        often = mine >= min_count
-        below = counts[n - 2][rank[ends - 1]]
-        score[ends[often]] = np.log(mine[often] / below[often]) + (order - n) * math.log(alpha)
-    return np.bincount(owner, score, len(sizes))
+        hot_keys, hot_gains = shared.value
+        for held in stretches(batches, ["row"]):
+            rows, keys, times, values, sizes = [], [], [], [], []
+            for (row,), h in held:
+                found = np.concatenate([grams(h, n) for n in range(1, order + 1)]).view(np.int64)
+                mine, often = np.unique(found, return_counts=True)
+                value = 0.0
+                if len(hot_keys):
+                    place = np.minimum(np.searchsorted(hot_keys, mine), len(hot_keys) - 1)
+                    is_hot = hot_keys[place] == mine
+                    value = float(np.dot(hot_gains[place[is_hot]], often[is_hot]))
+                    mine, often = mine[~is_hot], often[~is_hot]
+                rows.append(np.full(len(mine) + 1, row, np.int64))
+                keys.append(np.append(mine, row))
+                times.append(np.append(often, 0))
+                values.append(np.append(np.zeros(len(mine)), value))
+                sizes.append(np.append(np.zeros(len(mine), np.int64), len(h)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in (rows, keys, times, values, sizes)],
+                names=["row", "key", "times", "value", "doc_words"])
+
+    return docs.select("row", "text").mapInArrow(
+        run, "row long, key long, times long, value double, doc_words long")
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.count()
-    groups = max(1, -(-size // BATCH))
-    parts = max(32, 2 * groups)
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
-    counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    total = rows.agg(F.sum(counted.cast("long"))).first()[0] or 0
-    bits = width(total)
-    blocks = rows.select(batch.alias("batch"), "doc_id", "text").mapInArrow(box, "batch long, docs binary")
-    dealt = blocks.repartition(groups, "batch")  # both readers of this exchange share it
-    answers = answered(asked(dealt, order, parts, bits))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs = unboxed(left.column("docs"))
-        sizes, found = batch_grams(docs.column("text").to_pylist(), order, bits)
-        counts = []
-        for n, all_keys in enumerate(found, 1):
-            own = right.filter(pa.array(right.column("n").to_numpy() == n)).sort_by("part")
-            got = [unpacked(x) for x in own.column("counts").to_pylist()]
-            _, place = np.unique(all_keys, return_inverse=True)
-            counts.append(np.concatenate(got)[place].astype(np.float64) if got else np.empty(0))
-        sums = log_scores(sizes, counts, total, alpha, min_count)
-        means = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-        return pa.table([docs.column("doc_id"), pa.array(sizes), pa.array(sums), means],
-                        names=["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    return dealt.groupBy("batch").cogroup(answers.repartition(groups, "batch").groupBy("batch")).applyInArrow(
-        run, "doc_id long, n_words long, log_score double, mean_log_score double")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    counts = durable(counted(rows, order).filter((F.col("n") == 1) | (F.col("times") >= min_count)))
+    total = counts.filter("n = 1").agg(F.sum("times")).first()[0] or 0
+    table = gains(counts, max(total, 1), order, alpha)
+    limit = total // HOT
+    often = table.filter(F.col("times") > limit).select("key", "gain").toArrow()
+    rest = table.filter(F.col("times") <= limit).select("key", "gain")
+    sums = exploded(rows, order, often).join(rest, "key", "left").groupBy("row").agg(
+        F.sum(F.col("value") + F.col("times") * F.coalesce("gain", F.lit(0.0))).alias("total"),
+        F.sum("doc_words").alias("in_all"),
+        F.count_if(F.col("times") == 0).alias("copies"))
+    sums = durable(sums.select(
+        "row", "copies", (F.col("in_all") / F.col("copies")).cast("long").alias("n_words"),
+        (F.col("total") / F.col("copies")).alias("log_score")))
+    size = sums.agg(F.sum("copies")).first()[0] or 0
+    found = hot.lookup(rows.select("row", "doc_id"), sums, "row", size, "copies")
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return found.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"))
