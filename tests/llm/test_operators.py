@@ -298,6 +298,16 @@ def test_rules_find_poor_documents(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_variety_is_free_of_length(spark):
+    r = random.Random(8)
+    few, many = [prose(1, i) + str(i) for i in range(10)], [prose(1, i) + str(i) for i in range(100)]
+    texts = [" ".join(r.choices(pool, k=n)) for n in (300, 1999, 2000, 9000) for pool in (few, many)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    place = [name for name, _, _ in rules.RULES].index("variety")
+    votes = {x[0]: rules.digits(x[1])[place] for x in rules.measured(df).select("doc_id", rules.pattern()).collect()}
+    assert [votes[i] for i in range(8)] == [2, 0] * 4
+
+
 # 6 html
 
 
@@ -672,6 +682,17 @@ def test_classifier_on_held_out_documents(spark):
     assert all(0 <= r.top_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
 
 
+def test_an_id_trains_once(spark):
+    """Copies of a sampled row, and further grades of its id, change nothing."""
+    texts = [(i, prose(30, i % 12)) for i in range(60)]
+    known = spark.createDataFrame([(i, int(i % 12 > 5)) for i in range(60)], "doc_id long, grade int")
+    docs = spark.createDataFrame(texts, DOCS)
+    more = docs.unionByName(docs.filter("doc_id < 20"))
+    w, theta = ordinal.fit(docs, known, 2)
+    again, cuts = ordinal.fit(more, known.unionByName(known.withColumn("grade", F.lit(1))), 2)
+    assert (w == again).all() and (theta == cuts).all()
+
+
 def test_classifier_cases(spark, odd):
     none = spark.createDataFrame([(1, None)], "doc_id long, grade int")
     model = ordinal.fit(odd, none, 3)

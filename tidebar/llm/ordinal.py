@@ -12,7 +12,8 @@ adds up weights of whole texts, batch by batch, with the weights broadcast (``BU
 A score is the expected grade and the tail probability of the top grade. Null text counts
 as empty and has the score of no words. Rows without a grade don't train; grades of one
 kind only, or none, give every document that grade (none: the score is null, and selection
-keeps the document). Repeated rows get equal scores.
+keeps the document). Repeated rows get equal scores; an id trains once, with its lowest grade and
+the least of its texts' vectors, however often it comes.
 """
 
 from __future__ import annotations
@@ -134,25 +135,28 @@ def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndar
 def fit(docs: DataFrame, grades: DataFrame, levels: int, sample: int = SAMPLE):
     """(weights, thresholds) from ``docs`` (doc_id, text) and ``grades`` (doc_id, grade)."""
     known = grades.filter(F.col("grade").between(0, levels - 1) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col("grade").cast("int").alias("grade"))
+    known = known.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     total = known.count()
     if total > sample:
         share = F.lit(int(sample / total * (1 << 32)))
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 32)) < share)
     # The sample's size is bounded by ``sample``, so it may be broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known.distinct()), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def run(batches):
         for batch in batches:
-            grade = batch.column(batch.schema.get_field_index("grade")).to_pylist()
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column("text").to_pylist()
             found = [vector(t or "", _cache.__getitem__) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grade, pa.int32()), pa.array([f[0].tobytes() for f in found], pa.binary()),
+                [batch.column("id"), batch.column("grade"), pa.array([f[0].tobytes() for f in found], pa.binary()),
                  pa.array([f[1].tobytes() for f in found], pa.binary())],
-                names=["grade", "index", "value"])
+                names=["id", "grade", "index", "value"])
 
-    rows = chosen.mapInArrow(run, "grade int, index binary, value binary").collect()
+    vectors = chosen.select(F.col("doc_id").cast("string").alias("id"), "grade", "text").mapInArrow(
+        run, "id string, grade int, index binary, value binary")
+    # One row of each id, whatever the number of its copies, reaches the driver.
+    rows = vectors.groupBy("id", "grade").agg(F.min(F.struct("index", "value")).alias("v")).select(
+        "grade", "v.index", "v.value").collect()
     weights = np.zeros(BUCKETS, np.float32)
     if not rows:
         return weights, np.full(levels - 1, np.nan)

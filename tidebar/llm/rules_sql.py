@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebar.llm.rules import BASE_FAILED, RULES, STEPS
+from tidebar.llm.rules import BASE_FAILED, BLOCK, RULES, STEPS
 
-_MEASURES = r"""
+_MEASURES = rf"""
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -15,7 +15,7 @@ rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5))
 x AS MATERIALIZED (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-  len(list_distinct(w)) AS n_distinct, len(regexp_extract_all(t, '\p{Lu}')) AS n_upper,
+  len(list_distinct(list_transform(w, lambda x, i: concat((i - 1) // {BLOCK}, ' ', x)))) AS n_distinct, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
   len(regexp_extract_all(t, '[!?]')) AS n_marks FROM m LEFT JOIN rep USING (r))"""
 
 
