@@ -241,3 +241,46 @@ def test_batches_of_a_stream_keep_every_bar(spark, tmp_path):
         write(frame.filter(F.col("ts").between(at(part[0]), at(part[1]))), number)
     assert store.read("1Day").count() == 4 + 4 + 2
     assert store.read_coverage("1Day").count() == 1
+
+
+def test_a_load_that_fails_leaves_the_snapshot_before(spark, tmp_path, monkeypatch):
+    store = BarStore(spark, str(tmp_path / "store"))
+    window = spark.createDataFrame([("A", dt.date(2024, 1, 2), dt.date(2024, 1, 6))], "symbol string, start date, end date")
+    settled = dt.date(2024, 2, 1)
+    store.load("1Day", make_bars(spark, {"A": [1.0] * 5}), window, settled)
+    for step in ("_settled_rows", "_commit"):  # bars are written by then, the snapshot isn't
+        with monkeypatch.context() as m:
+            m.setattr(BarStore, step, lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                store.load("1Day", make_bars(spark, {"A": [2.0] * 5}), window, settled)
+        assert {r.close for r in store.read("1Day").collect()} == {1.0}
+    store.load("1Day", make_bars(spark, {"A": [2.0] * 5}), window, settled)
+    assert [r.close for r in store.read("1Day").collect()] == [2.0] * 5
+    with pytest.raises(RuntimeError):
+        store._commit("1Day", 2, store.manifest("1Day"), store.read_coverage("1Day"))
+
+
+def test_dates_prune_partitions_and_old_snapshots_expire(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "store"))
+    frame = spark.createDataFrame(
+        [("A", dt.datetime(y, 3, 4, 15), *[float(y)] * 7) for y in range(2018, 2024)] ,
+        make_bars(spark, {"A": [1.0]}).schema)
+    settled = dt.date(2024, 2, 1)
+    for y in range(2018, 2024):
+        window = spark.createDataFrame([("A", dt.date(y, 1, 1), dt.date(y, 12, 31))], "symbol string, start date, end date")
+        store.load("1Day", frame.filter(F.year("ts") == y), window, settled)
+    assert len(store._versions("1Day")) == 2 and store.read("1Day").count() == 6
+    assert [(r.period, r.rows) for r in store.manifest("1Day").orderBy("period").collect()] == [
+        (str(y), 1) for y in range(2018, 2024)]
+    assert [r.rows for r in store.read_coverage("1Day").collect()] == [6]
+    some = store.read("1Day", ["A"], dt.date(2020, 1, 1), "2021-06-30")
+    assert sorted(r.ts.year for r in some.collect()) == [2020, 2021]
+    assert len(some.inputFiles()) <= 2 + 2 * 4  # two partitions, and the small coverage table
+    assert {f.split("period=")[1][:4] for f in some.inputFiles() if "period=" in f} == {"2020", "2021"}
+    assert store.read("1Day", ["B"]).count() == 0 and store.read("1Day", None, "2030-01-01").count() == 0
+    # Correcting a year again and again leaves two generations of it.
+    window = spark.createDataFrame([("A", dt.date(2023, 1, 1), dt.date(2023, 12, 31))], "symbol string, start date, end date")
+    for _ in range(3):
+        store.load("1Day", frame.filter(F.year("ts") == 2023), window, settled)
+    folders = [p for p in (tmp_path / "store" / "bars").rglob("period=2023")]
+    assert len(folders) == 2

@@ -38,6 +38,6 @@ def load_bars(
     if fetch is not None and not gaps.isEmpty():
         windows = gaps.selectExpr("symbol", "gap_start AS start", "gap_end AS end")
         store.load(timeframe, fetch(gaps), windows, last_settled)
-    found = bar_ops.between_dates(store.read(timeframe, names), start, end)
+    found = bar_ops.between_dates(store.read(timeframe, names, start, end), start, end)
     found = bar_ops.filter_session(found, timeframe, session, store.asset_class)
     return bar_ops.require_rows(found, f"{', '.join(names[:20])} from {start} to {end}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +25,13 @@ class BarStore:
     and its rows by the statistics of the file. The table keeps all hours; sessions
     are filtered on reading.
 
-    A load rewrites only the partitions it has bars for and then adds a new version of
-    the small coverage table. If it fails in between, the coverage still asks for the
-    window, and loading it again gives the same table.
+    A snapshot is a manifest (rows and dates of each symbol in each partition, and the
+    load that wrote it) and the coverage. A load writes the partitions it has bars for to
+    a folder of its own, then both tables, and commits them with one marker file. If it fails before
+    that, the snapshot before it stays readable as it was, and loading again gives the same table.
+    Readers plan by the manifest: partitions without wanted symbols or dates are not listed.
+    The last ``keep`` snapshots stay; a folder goes when only older ones use it. Folders of failed
+    loads stay. One writer at a time: of two that commit the same version, the second fails.
     """
 
     def __init__(
@@ -37,12 +42,14 @@ class BarStore:
         feed: str = "sip",
         adjustment: str = "all",
         buckets: int = 16,
+        keep: int = 2,
     ) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.asset_class = asset_class
         self.variant = "crypto" if asset_class == "crypto" else f"{feed}_{adjustment}"
         self.buckets = buckets
+        self.keep = keep
 
     def _place(self, name: str, timeframe: str | TimeFrame) -> str:
         tf = TimeFrame.of(timeframe)
@@ -51,54 +58,83 @@ class BarStore:
             f"/variant={self.variant}"
         )
 
-    def _exists(self, path: str) -> bool:
+    def _file(self, path: str):
+        """File system and path object of a place."""
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _versions(self, timeframe: str | TimeFrame) -> list[int]:
+        """Committed snapshots that are still there, oldest first."""
+        root = self._place("snapshots", timeframe)
+        fs, place = self._file(root)
+        if not fs.exists(place):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(place)]
+        found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return sorted(v for v in found if fs.exists(self._file(f"{root}/version={v}/{_MARKER}")[1]))
+
+    def _snapshot(self, timeframe: str | TimeFrame, version: int | None, name: str, schema) -> DataFrame:
+        if version is None:
+            return self.spark.createDataFrame([], schema)
+        place = f"{self._place('snapshots', timeframe)}/version={version}/{name}"
+        return self.spark.read.schema(schema).parquet(place)
+
+    def _current(self, timeframe: str | TimeFrame) -> int | None:
+        return max(self._versions(timeframe), default=None)
+
+    def manifest(self, timeframe: str | TimeFrame) -> DataFrame:
+        """Rows and first and last market date of each symbol in each partition."""
+        return self._snapshot(timeframe, self._current(timeframe), "manifest", _MANIFEST)
 
     def _period(self, timeframe: str | TimeFrame) -> Column:
         pattern = "yyyy-MM" if TimeFrame.of(timeframe).is_intraday else "yyyy"
         return F.date_format(utc_clock(F.col("ts")), pattern)
 
-    def _bucket(self, symbol: str) -> int:
-        return zlib.crc32(symbol.encode()) % self.buckets
-
-    def _stored(self, timeframe: str | TimeFrame) -> DataFrame:
+    def _bars(self, timeframe: str | TimeFrame, manifest: DataFrame) -> DataFrame:
+        """All rows of the partitions that ``manifest`` names."""
         place = self._place("bars", timeframe)
-        if not self._exists(place):
-            return self.spark.createDataFrame([], BARS).selectExpr(
-                "*", "'' AS period", "0 AS bucket"
-            )
+        # As many as there are periods and buckets, however many symbols and bars.
+        parts = manifest.select("load", "period", "bucket").distinct().collect()
         schema = "symbol string, ts timestamp, " + ", ".join(f"{f} double" for f in BAR_FIELDS)
-        return self.spark.read.schema(f"{schema}, period string, bucket int").parquet(place)
+        schema += ", load string, period string, bucket int"
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{place}/load={p.load}/period={p.period}/bucket={p.bucket}" for p in parts]
+        return self.spark.read.schema(schema).option("basePath", place).parquet(*sorted(paths))
 
-    def read(self, timeframe: str | TimeFrame, symbols: Sequence[str] | None = None) -> DataFrame:
-        """Covered bars; symbols prune partitions and row groups."""
-        stored = self._stored(timeframe)
+    def read(
+        self,
+        timeframe: str | TimeFrame,
+        symbols: Sequence[str] | None = None,
+        start: dt.date | str | None = None,
+        end: dt.date | str | None = None,
+    ) -> DataFrame:
+        """Covered bars; symbols and market dates (both included) prune partitions and row groups."""
+        version = self._current(timeframe)
+        wanted = self._snapshot(timeframe, version, "manifest", _MANIFEST)
         if symbols is not None:
-            stored = stored.filter(
-                F.col("bucket").isin(sorted({self._bucket(s) for s in symbols}))
-                & F.col("symbol").isin(list(symbols))
-            )
-        ends = self.read_coverage(timeframe).select("symbol", "cov_end")
+            wanted = wanted.filter(F.col("symbol").isin(list(symbols)))
+        if start is not None:
+            wanted = wanted.filter(F.col("last") >= F.lit(start).cast("date"))
+        if end is not None:
+            wanted = wanted.filter(F.col("first") <= F.lit(end).cast("date"))
+        stored = self._bars(timeframe, wanted)
+        if symbols is not None:
+            stored = stored.filter(F.col("symbol").isin(list(symbols)))
+        date = market_date(F.col("ts"))
+        if start is not None:
+            stored = stored.filter(date >= F.lit(start).cast("date"))
+        if end is not None:
+            stored = stored.filter(date <= F.lit(end).cast("date"))
+        ends = self._snapshot(timeframe, version, "coverage", COVERAGE).select("symbol", "cov_end")
         return (
             stored.join(ends, "symbol")
-            .filter(market_date(F.col("ts")) <= F.col("cov_end"))
+            .filter(date <= F.col("cov_end"))
             .select("symbol", "ts", *BAR_FIELDS)
         )
 
-    def _coverage_version(self, timeframe: str | TimeFrame) -> int:
-        place = self._place("coverage", timeframe)
-        if not self._exists(place):
-            return 0
-        versions = self.spark.read.schema(_VERSIONED).parquet(place).agg(F.max("version"))
-        return versions.first()[0] or 0
-
     def read_coverage(self, timeframe: str | TimeFrame) -> DataFrame:
-        version = self._coverage_version(timeframe)
-        if version == 0:
-            return self.spark.createDataFrame([], COVERAGE)
-        table = self.spark.read.schema(_VERSIONED).parquet(self._place("coverage", timeframe))
-        return table.filter(F.col("version") == version).drop("version")
+        return self._snapshot(timeframe, self._current(timeframe), "coverage", COVERAGE)
 
     def missing(self, timeframe: str | TimeFrame, requests: DataFrame) -> DataFrame:
         """Requests to send to the vendor, batched by window."""
@@ -115,7 +151,10 @@ class BarStore:
 
         Bars after the new coverage, that is unsettled ones, are not kept.
         """
-        before = self.read_coverage(timeframe)
+        versions = self._versions(timeframe)
+        version = max(versions, default=None)
+        before = self._snapshot(timeframe, version, "coverage", COVERAGE)
+        listed = self._snapshot(timeframe, version, "manifest", _MANIFEST)
         covered = durable(cov.merge_coverage(before, windows, last_settled))
         new = durable(
             new_bars.select("symbol", "ts", *BAR_FIELDS)
@@ -126,35 +165,33 @@ class BarStore:
             .withColumn("bucket", F.pmod(F.crc32("symbol"), F.lit(self.buckets)).cast("int"))
         )
         touched = new.select("period", "bucket").distinct()
-        periods = [r.period for r in touched.select("period").distinct().collect()]
-        old = (
-            self._stored(timeframe)
-            .filter(F.col("period").isin(periods))
-            .join(touched, ["period", "bucket"], "left_semi")
-        )
+        old = self._bars(timeframe, listed.join(touched, ["period", "bucket"], "left_semi"))
         merged = durable(cov.upsert_bars(old.select(*new.columns), new))
+        load = uuid.uuid4().hex
         (
             merged.repartition("period", "bucket")
             .sortWithinPartitions("period", "bucket", "symbol", "ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "snappy")
+            .write.option("compression", "snappy")
             .partitionBy("period", "bucket")
-            .parquet(self._place("bars", timeframe))
+            .parquet(f"{self._place('bars', timeframe)}/load={load}")
         )
-        loaded = windows.select("symbol").distinct()
-        counts = (
-            self._stored(timeframe)
-            .join(loaded, "symbol", "left_semi")
-            .join(covered.select("symbol", "cov_end"), "symbol")
-            .filter(market_date(F.col("ts")) <= F.col("cov_end"))
-            .groupBy("symbol")
-            .agg(F.count(F.lit(1)).alias("now"))
+        date = market_date(F.col("ts"))
+        written = merged.groupBy("symbol", "period", "bucket").agg(
+            F.count(F.lit(1)).alias("rows"), F.min(date).alias("first"), F.max(date).alias("last")
         )
-        (
+        manifest = durable(
+            listed.join(touched, ["period", "bucket"], "left_anti")
+            .select(*_MANIFEST_COLUMNS)
+            .unionByName(written.withColumn("load", F.lit(load)).select(*_MANIFEST_COLUMNS))
+        )
+        loaded = windows.select("symbol").distinct()
+        self._commit(
+            timeframe,
+            (version or 0) + 1,
+            manifest,
             covered.join(before.select("symbol", "rows", "written_at"), "symbol", "left")
             .join(loaded.withColumn("is_new", F.lit(True)), "symbol", "left")
-            .join(counts, "symbol", "left")
+            .join(self._settled_rows(timeframe, manifest, covered, loaded), "symbol", "left")
             .select(
                 "symbol",
                 "cov_start",
@@ -166,14 +203,67 @@ class BarStore:
                 F.when(F.col("is_new"), F.current_timestamp())
                 .otherwise(F.col("written_at"))
                 .alias("written_at"),
-                F.lit(self._coverage_version(timeframe) + 1).alias("version"),
-            )
-            .write.mode("append")
-            .partitionBy("version")
-            .parquet(self._place("coverage", timeframe))
+            ),
         )
+        self._expire(timeframe, [*versions, (version or 0) + 1])
+
+    def _settled_rows(
+        self, timeframe: str | TimeFrame, manifest: DataFrame, covered: DataFrame, loaded: DataFrame
+    ) -> DataFrame:
+        """(symbol, now): bars up to the end of the coverage.
+
+        The manifest has the numbers; only partitions in which a symbol's coverage ends before its
+        bars do are read.
+        """
+        of_loaded = (
+            manifest.join(loaded, "symbol", "left_semi")
+            .join(covered.select("symbol", "cov_end"), "symbol")
+            .filter("first <= cov_end")
+        )
+        whole = of_loaded.filter("last <= cov_end").select("symbol", "rows")
+        cut = of_loaded.filter("last > cov_end").select("symbol", "load", "period", "bucket", "cov_end")
+        part = (
+            self._bars(timeframe, cut)
+            .join(cut, ["symbol", "load", "period", "bucket"])
+            .filter(market_date(F.col("ts")) <= F.col("cov_end"))
+            .select("symbol", F.lit(1).cast("long").alias("rows"))
+        )
+        return whole.unionByName(part).groupBy("symbol").agg(F.sum("rows").alias("now"))
+
+    def _commit(
+        self, timeframe: str | TimeFrame, version: int, manifest: DataFrame, covered: DataFrame
+    ) -> None:
+        """Both tables, then the marker that makes them the current snapshot."""
+        place = f"{self._place('snapshots', timeframe)}/version={version}"
+        fs, marker = self._file(f"{place}/{_MARKER}")
+        taken = RuntimeError(f"another load has committed {place}")
+        if fs.exists(marker):
+            raise taken
+        # What a failed load left there is overwritten.
+        manifest.write.mode("overwrite").parquet(f"{place}/manifest")
+        covered.write.mode("overwrite").parquet(f"{place}/coverage")
+        if not fs.createNewFile(marker):
+            raise taken
+
+    def _expire(self, timeframe: str | TimeFrame, versions: list[int]) -> None:
+        """Remove snapshots before the last ``keep``, and loads that only they use."""
+        gone = versions[: -self.keep]
+        if not gone:
+            return
+        used = [
+            {r.load for r in self._snapshot(timeframe, v, "manifest", _MANIFEST).select("load").distinct().collect()}
+            for v in versions
+        ]
+        kept = set().union(*used[len(gone) :])
+        bars, snapshots = self._place("bars", timeframe), self._place("snapshots", timeframe)
+        unused = [f"{bars}/load={x}" for x in sorted(set().union(*used[: len(gone)]) - kept)]
+        # The marker goes first, so that a half removed snapshot is none.
+        for path in [*(f"{snapshots}/version={v}/{_MARKER}" for v in gone),
+                     *(f"{snapshots}/version={v}" for v in gone), *unused]:
+            fs, place = self._file(path)
+            fs.delete(place, True)
 
 
-_VERSIONED = (
-    "symbol string, cov_start date, cov_end date, rows long, written_at timestamp, version int"
-)
+_MARKER = "_COMMITTED"
+_MANIFEST_COLUMNS = ["symbol", "period", "bucket", "load", "rows", "first", "last"]
+_MANIFEST = "symbol string, period string, bucket int, load string, rows long, first date, last date"

@@ -62,7 +62,7 @@ def export_bars(
     fmt: str | None = None,
 ) -> str:
     """Write the stored bars of some symbols and dates, in time and symbol order."""
-    wanted = bar_ops.between_dates(store.read(timeframe, symbols), start, end)
+    wanted = bar_ops.between_dates(store.read(timeframe, symbols, start, end), start, end)
     kept = bar_ops.filter_session(wanted, timeframe, session, store.asset_class)
     columns = [c for c in ["ts", "symbol", *kept.columns] if c in kept.columns]
     ordered = kept.select(*dict.fromkeys(columns)).orderBy("ts", "symbol")
