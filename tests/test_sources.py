@@ -284,3 +284,25 @@ def test_dates_prune_partitions_and_old_snapshots_expire(spark, tmp_path):
         store.load("1Day", frame.filter(F.year("ts") == 2023), window, settled)
     folders = [p for p in (tmp_path / "store" / "bars").rglob("period=2023")]
     assert len(folders) == 2
+
+
+def test_malformed_lines_are_placed_over_splits(spark, tmp_path):
+    """Files cut into many splits, blank and quoted lines, a file without a last line end."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = []
+    for name, count in [("a.jsonl", 500), ("b.jsonl", 3), ("c.jsonl", 0)]:
+        out = []
+        for i in range(1, count + 1):
+            good = '{"ts": "2024-01-02T00:00:00+00:00", "qty": "%d"}' % i
+            out.append("" if i % 5 == 0 else "oops %d" % i if i % 3 == 0 else good)
+            if out[-1].startswith("oops"):
+                want.append((name, i, out[-1]))
+        (tmp_path / name).write_text("\n".join(out))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = records.malformed_lines(spark, str(tmp_path))
+        got = [(r.file.rsplit("/", 1)[1], r.line_number, r.line) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted(want)
+    assert records.malformed_lines(spark, str(tmp_path / "none")).count() == 0

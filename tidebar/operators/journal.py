@@ -26,32 +26,36 @@ class Limits:
     allow_live: bool = False
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Split JSON lines into journal rows and malformed lines; blank lines vanish.
+def judged_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are not blank, trimmed as ``line``, with ``entry`` (texts) and whether it is ``good``.
 
     A line is one JSON object and nothing else. Numbers may be quoted; a line with a
-    number that cannot be read is malformed.
+    number that cannot be read is malformed. Further columns stay.
     """
     text = F.trim(F.regexp_replace(column, r"^\s+|\s+$", ""))
-    filled = lines.select(text.alias("line")).filter(F.col("line") != "")
+    others = [c for c in lines.columns if c != column]
+    filled = lines.select(*others, text.alias("line")).filter(F.col("line") != "")
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in JOURNAL.fields])
     # As an array of one element, whatever follows the object makes the text malformed.
-    parsed = filled.withColumn(
-        "e", F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(texts))
-    )
-    numbers = [f for f in JOURNAL.fields if not isinstance(f.dataType, T.StringType)]
-    readable = F.lit(True)
-    for f in numbers:
-        given = F.get("e", F.lit(0))[f.name]
-        readable = readable & (given.isNull() | given.try_cast(f.dataType).isNotNull())
-    good = (
-        F.col("line").startswith("{")
-        & F.coalesce(F.size("e") == 1, F.lit(False))
-        & F.get("e", F.lit(0)).isNotNull()
-        & readable
+    parsed = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(texts))
+    single = F.when(F.size("entry") == 1, F.get("entry", F.lit(0)))
+    readable = F.col("entry").isNotNull() & F.col("line").startswith("{")
+    for f in JOURNAL.fields:
+        if not isinstance(f.dataType, T.StringType):
+            given = F.col("entry")[f.name]
+            readable = readable & (given.isNull() | given.try_cast(f.dataType).isNotNull())
+    return (
+        filled.withColumn("entry", parsed)
+        .withColumn("entry", single)
+        .withColumn("good", F.coalesce(readable, F.lit(False)))
     )
-    found = [F.get("e", F.lit(0))[f.name].try_cast(f.dataType).alias(f.name) for f in JOURNAL.fields]
-    return parsed.filter(good).select(*found), parsed.filter(~good).select("line")
+
+
+def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Split JSON lines into journal rows and malformed lines; blank lines vanish."""
+    judged = judged_lines(lines.select(column), column)
+    found = [F.col("entry")[f.name].try_cast(f.dataType).alias(f.name) for f in JOURNAL.fields]
+    return judged.filter("good").select(*found), judged.filter(~F.col("good")).select("line")
 
 
 def entries(orders: DataFrame, now: Column | None = None) -> DataFrame:

@@ -54,6 +54,31 @@ def malformed_journal_lines(spark, sf):
     return rejected.agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(
+    with_tables(
+        "SELECT month, line_number, order_id FROM (SELECT *, ts[1:7] AS month, sum(CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END) "
+        "OVER (PARTITION BY ts[1:7] ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS line_number "
+        "FROM (SELECT *, order_id::BIGINT AS k FROM proposed)) WHERE k % 7 = 0"
+    )
+)
+def malformed_journal_places(spark, sf):
+    """A journal file per month, with malformed lines and with blank ones before others."""
+    key = F.col("order_id").cast("long")
+    entry = F.to_json(F.struct("ts", "symbol", "qty", "order_id"))
+    line = F.when(key % 7 == 0, F.concat(entry, F.lit(" xyz"))).otherwise(entry)
+    before = F.when(key % 11 == 0, F.array(F.lit(""), line)).otherwise(F.array(line))
+    month = F.substring("ts", 1, 7).alias("month")
+    lines = fx.proposed_orders(spark, sf).select(month, key.alias("k"), F.posexplode(before).alias("n", "value"))
+    folder = scratch_folder(spark, "journal")
+    ordered = lines.repartition("month").sortWithinPartitions("month", "k", "n")
+    ordered.select("month", "value").write.partitionBy("month").text(folder)
+    return records.malformed_lines(spark, folder).select(
+        F.regexp_extract("file", "month=([0-9-]+)", 1).alias("month"),
+        "line_number",
+        F.get_json_object(F.regexp_replace("line", " xyz$", ""), "$.order_id").alias("order_id"),
+    )
+
+
 @query(
     with_tables(
         "SELECT '2024-05-06T07:08:09+00:00' AS ts, upper(symbol) AS symbol, side, qty, price, multiplier, "
