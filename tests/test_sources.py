@@ -190,6 +190,38 @@ def test_order_stream_counts_over_batches(spark, tmp_path):
         assert bool(verdicts[order_id].reasons) != wanted
 
 
+def test_order_stream_forgets_days_that_are_over(spark, tmp_path):
+    """No state row is left of a closed day; orders without a time are turned away."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts string, order_id string, symbol string, qty double, price double, multiplier double"
+    kept = []
+    for name, days in [("a", (1, 2)), ("b", (9,))]:
+        rows = [(f"2024-05-{d:02d}T10:00:00+00:00", f"{name}{d}-{i}", "A", 1.0, 10.0, 1.0) for d in days for i in range(5)]
+        rows.append(("some day", f"{name}-undated", "A", 1.0, 10.0, 1.0))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        checked = stream_journal.check_order_stream(
+            spark.readStream.schema(schema).json(source), Limits(500, 3, True), shards=2, lateness="1 hour"
+        )
+        job = (
+            checked.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+        kept.append([op["numRowsTotal"] for op in job.lastProgress["stateOperators"]])
+    found = {r.order_id: r for r in spark.read.parquet(out).collect()}
+    assert len(found) == 17
+    assert sum(r.passed for r in found.values()) == 9
+    assert not found["a-undated"].passed and "time" in found["a-undated"].reasons[0]
+    # Of the second day some state is left at first, of the last one at the end; none of the days before.
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "seen")
+    days = {r.key.day for r in state.load(str(tmp_path / "state")).collect()}
+    assert days == {dt.date(2024, 5, 9)}, (days, kept)
+
+
 def test_orders_that_lack_something_never_pass(spark):
     schema = "ts string, order_id string, symbol string, qty double, price double, multiplier double"
     given = [(None, 10.0, 1.0), (1.0, None, 1.0), (float("nan"), 10.0, 1.0), (1.0, float("nan"), 1.0),

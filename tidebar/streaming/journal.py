@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,17 +56,22 @@ _CANDIDATES = T.StructType(
 class _FirstClear(StatefulProcessor):
     """Marks the first ``limit`` orders of a day and shard that break no rule.
 
-    The state is how many there were. Rows come in order of time within a batch.
+    The state is how many there were, until the watermark has passed the end of the day. Rows
+    come in order of time within a batch.
     """
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getValueState("seen", "n long")
 
-    def mark(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.Series]]:
-        seen = self.seen.get()[0] if self.seen.exists() else 0
+    def mark(
+        self, day: dt.date, rows: Iterator[pd.DataFrame]
+    ) -> Iterator[tuple[pd.DataFrame, pd.Series]]:
+        known = self.seen.exists()
+        seen = self.seen.get()[0] if known else 0
         frames = [f for f in rows if len(f)]
         if not frames:
             return
@@ -74,6 +80,14 @@ class _FirstClear(StatefulProcessor):
         clear = frame["reasons"].map(len) == 0
         yield frame, clear & (seen + clear.cumsum() <= self.limit)
         self.seen.update((min(seen + int(clear.sum()), self.limit),))
+        if not known:
+            over = dt.datetime(day.year, day.month, day.day, tzinfo=dt.timezone.utc) + dt.timedelta(days=1)
+            self.handle.registerTimer(int(over.timestamp()) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The day is over: no order of it can come any more, so its count goes."""
+        self.seen.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -82,9 +96,9 @@ class _FirstClear(StatefulProcessor):
 class _Shortlist(_FirstClear):
     """Lane 0 for orders that may still pass, other lanes for the rest."""
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         day, shard = key
-        for frame, first in self.mark(rows):
+        for frame, first in self.mark(day, rows):
             out = frame[["at", "order_id", "symbol", "reasons"]].copy()
             out.insert(0, "day", day)
             out.insert(1, "lane", (~first).astype("int32") * (shard + 1))
@@ -99,9 +113,9 @@ class _Shortlist(_FirstClear):
 class _DailyCap(_FirstClear):
     """Verdicts; what comes in with a reason leaves with it."""
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         day, _ = key
-        for frame, first in self.mark(rows):
+        for frame, first in self.mark(day, rows):
             reasons = [
                 list(r) if ok or len(r) else [_full(self.limit)]
                 for r, ok in zip(frame["reasons"], first)
@@ -122,7 +136,7 @@ def _full(limit: int) -> str:
 
 
 def check_order_stream(
-    orders: DataFrame, limits: Limits = Limits(), shards: int = 16
+    orders: DataFrame, limits: Limits = Limits(), shards: int = 16, lateness: str = "2 days"
 ) -> DataFrame:
     """Verdicts for orders as they arrive; those that pass count against the day.
 
@@ -130,6 +144,10 @@ def check_order_stream(
     state store. The cap is one count for everybody, yet a day is not one task: of the
     orders of a shard only the first ``max_daily_orders`` can be among the first ones
     of the day, so each shard sends on these few and turns away the rest itself.
+
+    A day's counts are kept until the watermark, ``lateness`` behind the latest order, has passed
+    its end. Orders older than the watermark get no verdict, so they don't pass; an order without
+    a readable time has no day to count against and is turned away.
     """
     judged = orders.select(
         journal_ops.order_day(F.col("ts")).alias("day"),
@@ -138,10 +156,27 @@ def check_order_stream(
         "order_id",
         "symbol",
         journal_ops.violations(limits, None).alias("reasons"),
+    ).withWatermark("at", lateness)
+    dated = F.col("day").isNotNull() & F.col("at").isNotNull()
+    shortlist = (
+        judged.filter(dated)
+        .groupBy("day", "shard")
+        .transformWithStateInPandas(
+            _Shortlist(limits.max_daily_orders),
+            _CANDIDATES,
+            "append",
+            "eventTime",
+            eventTimeColumnName="at",
+        )
     )
-    shortlist = judged.groupBy("day", "shard").transformWithStateInPandas(
-        _Shortlist(limits.max_daily_orders), _CANDIDATES, "append", "none"
+    capped = shortlist.groupBy("day", "lane").transformWithStateInPandas(
+        _DailyCap(limits.max_daily_orders), VERDICTS, "append", "eventTime"
     )
-    return shortlist.groupBy("day", "lane").transformWithStateInPandas(
-        _DailyCap(limits.max_daily_orders), VERDICTS, "append", "none"
+    undated = judged.filter(~dated).select(
+        "day",
+        "order_id",
+        "symbol",
+        F.array_append("reasons", F.lit("the time of the order cannot be read")).alias("reasons"),
+        F.lit(False).alias("passed"),
     )
+    return capped.unionByName(undated)
