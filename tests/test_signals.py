@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import make_bars, walk
@@ -103,3 +104,45 @@ def test_missing_decisions_are_found(spark):
     warmups = spark.createDataFrame([("r", 3), ("s", 8)], "run_id string, warmup int")
     got = portfolio.missing_decisions(made, 10, warmups).collect()
     assert {(r.run_id, r.expected, r.found) for r in got} == {("r", 6, 2), ("s", 1, 0)}
+
+
+def _ahead(offset):
+    """A signal that holds the symbols whose close ``offset`` bars on is above the present one."""
+
+    def signal(panel, runs, length):
+        other = F.lead("close", offset).over(Window.partitionBy("symbol").orderBy("seq"))
+        rows = panel.withColumn("other", other).filter(F.col("seq") < length - 1)
+        chosen = rows.filter("other > close").select(
+            F.lit(runs[0].run_id).alias("run_id"), "seq", "symbol", F.lit(0.1).alias("weight")
+        )
+        every = rows.select(F.lit(runs[0].run_id).alias("run_id"), "seq", F.lit(False).alias("is_hold")).distinct()
+        return signals.Signal(chosen, every)
+
+    return signal
+
+
+def test_signals_that_look_ahead_are_found(spark, monkeypatch):
+    closes = {s: walk(40, seed=k)[1] for k, s in enumerate("ABCDE")}
+    panel = bars.with_seq(make_bars(spark, closes))
+    for name, offset in [("ahead", 1), ("far", 5), ("behind", -1)]:
+        monkeypatch.setitem(signals._signals, name, _ahead(offset))
+    for name in ("ahead", "far"):
+        with pytest.raises(ValueError, match=f"later bars: {name}"):
+            signals.require_causal(panel, [Run(name, name)], 40)
+    own = [Run("b", "behind"), Run("s", "sma_cross", {"fast": 3, "slow": 8}), Run("m", "momentum", {"lookback": 5})]
+    signals.require_causal(panel, own, 40)
+    with pytest.raises(ValueError, match="within"):
+        signals.require_causal(panel, own, 40, [40])
+
+
+def test_a_signal_that_knows_the_mean_of_all_bars_is_found(spark, monkeypatch):
+    def centred(panel, runs, length):
+        mean = F.avg("close").over(Window.partitionBy("symbol"))
+        rows = panel.withColumn("mean", mean).filter(F.col("seq") < length - 1)
+        weights = rows.select(F.lit("c").alias("run_id"), "seq", "symbol", (F.col("mean") / 1e6).alias("weight"))
+        return signals.Signal(weights, weights.select("run_id", "seq", F.lit(False).alias("is_hold")).distinct())
+
+    monkeypatch.setitem(signals._signals, "centred", centred)
+    panel = bars.with_seq(make_bars(spark, {s: walk(20, seed=k)[1] for k, s in enumerate("AB")}))
+    with pytest.raises(ValueError, match="c \\(bar 0\\)"):
+        signals.require_causal(panel, [Run("c", "centred")], 20)

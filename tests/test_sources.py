@@ -338,3 +338,38 @@ def test_malformed_lines_are_placed_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(got) == sorted(want)
     assert records.malformed_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_run_tables_are_few_files_whatever_the_runs(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.format_string("run-%04d", F.col("id") % 1000).alias("run_id"),
+        F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.col("id").cast("double").alias("equity"),
+    )
+    tables.write_run_tables(rows, rows.drop("equity"), rows, str(tmp_path / "runs"))
+    for name in tables.RUN_TABLES:
+        assert 0 < len(list((tmp_path / "runs" / name).glob("*.parquet"))) <= 32
+    found = tables.read_run_table(spark, str(tmp_path / "runs"), "equity", ["run-0007", "run-0500"])
+    assert "In(run_id, [run-0007,run-0500])" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
+    with pytest.raises(ValueError, match="table must be"):
+        tables.read_run_table(spark, str(tmp_path / "runs"), "orders")
+
+
+@pytest.mark.parametrize("kinds", ["n long", "n int, m int", "n long, m string"])
+def test_ties_of_ticks_are_ordered_with_nulls_first(spark, kinds):
+    big, text = 2**63 - 1 if "long" in kinds else 2**31 - 1, "string" in kinds
+    numbers = [None, -big - 1, -1, 0, 7, big]
+    more = "m" in kinds.split(", ")[-1]
+    second = [None, "a", "b"] if text else [None, -5, 5]
+    keys = [(n, m) for n in numbers for m in second] if more else [(n,) for n in numbers]
+    start = dt.datetime(2024, 1, 2, 15, tzinfo=UTC)
+    rows = [("A", start + dt.timedelta(microseconds=i // len(keys)), float(i + 1), 1, *keys[i % len(keys)])
+            for i in range(2 * len(keys))]
+    late = [("B", start, float(len(keys) - i), 1, *k) for i, k in enumerate(keys)]
+    ticks = spark.createDataFrame(rows + late, f"symbol string, ts timestamp, price double, size long, {kinds}")
+    made = bars.ticks_to_bars(ticks.orderBy(F.rand(3)), "1Hour", ["n", "m"] if more else ["n"])
+    found = {r.symbol: (r.open, r.close) for r in made.collect()}
+    assert found == {"A": (1.0, 2.0 * len(keys)), "B": (float(len(keys)), 1.0)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert ("SortAggregate" in plan) == text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +15,35 @@ from tidebar.operators import scans
 from tidebar.schemas import BAR_FIELDS, MARKET_TZ
 
 
-def bar_aggregates(tiebreak: Sequence[str] = ()) -> list[Column]:
-    """Open, high, low, close, volume, trade count and vwap of a group of ticks.
+# Bits of the integer types.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+_WIDE = "decimal(38,0)"
 
-    Without ``tiebreak`` every buffer is a primitive, so Spark keeps the partial
-    aggregation in a hash map; a tiebreak makes it sort first.
+
+def tick_order(ticks: DataFrame, tiebreak: Sequence[str] = ()) -> Column:
+    """What orders ticks: ``ts``, then the columns of ``tiebreak``, nulls first.
+
+    Integers of together 64 bits are packed with the microseconds into one decimal, a primitive
+    of the aggregation buffer, so that Spark aggregates in a hash map. Other columns
+    become a struct, for which it sorts first.
     """
-    at = F.struct("ts", *tiebreak) if tiebreak else F.col("ts")
+    bits = [_BITS.get(ticks.schema[c].dataType.simpleString()) for c in tiebreak]
+    if not tiebreak:
+        return F.col("ts")
+    if None in bits or sum(bits) > 64 or len(bits) > 2:
+        return F.struct("ts", *tiebreak)
+    key = F.unix_micros("ts").cast(_WIDE)
+    for name, width in zip(tiebreak, bits):
+        # Numbers of that many bits and one place below them for null.
+        stride = F.lit(Decimal(2 ** (width + 1))).cast("decimal(20,0)")
+        low = F.lit(Decimal(-(2 ** (width - 1)) - 1)).cast("decimal(20,0)")
+        key = (key * stride).cast(_WIDE) + F.coalesce(F.col(name).cast("decimal(20,0)"), low)
+        key = key.cast(_WIDE)
+    return key
+
+
+def bar_aggregates(at: Column) -> list[Column]:
+    """Open, high, low, close, volume, trade count and vwap of ticks in the order of ``at``."""
     return [
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
@@ -44,7 +67,7 @@ def ticks_to_bars(
     return (
         ticks.filter(F.col("price") > 0)
         .groupBy("symbol", start.alias("bar_ts"))
-        .agg(*bar_aggregates(tiebreak))
+        .agg(*bar_aggregates(tick_order(ticks, tiebreak)))
         .select("symbol", F.col("bar_ts").alias("ts"), *BAR_FIELDS)
     )
 

@@ -82,6 +82,78 @@ def get_signal(name: str) -> SignalFunction:
     return found
 
 
+_RELATIVE = 1e-9
+
+
+def compared_prefixes(
+    panel: DataFrame, runs: Sequence[Run], length: int, cuts: Sequence[int]
+) -> DataFrame:
+    """What runs decide before each cut, with all bars and with a changed future, side by side.
+
+    For every cut the signal sees the panel up to bar ``cut``, in which that last bar has its numbers
+    multiplied or divided by four by symbol, as if the market had gone another way. What
+    it decides up to the bar before must be the same. Rows are run_id, cut, seq, symbol (NULL for the
+    decision itself), ``whole``, ``cut_off`` (weights, or 1 for a hold) and ``differs``; a decision
+    or weight that is on one side only differs, weights do beyond rounding.
+    """
+    spoiled = [c for c, kind in panel.dtypes if kind == "double"]
+    bad = [c for c in cuts if not 0 < c < length]
+    if bad or not cuts:
+        raise ValueError(f"cuts must lie within the {length} bars, got {list(cuts)}")
+    whole = _decided(panel, runs, length).withColumn("cut", F.explode(F.array(*map(F.lit, cuts))))
+    sides = [whole.withColumn("side", F.lit(0))]
+    for cut in cuts:
+        way = F.pow(F.lit(4.0), 1 - 2 * F.pmod(F.xxhash64("symbol", F.lit(cut)), F.lit(2)))
+        factor = F.when(F.col("seq") == cut, way).otherwise(1.0)
+        changed = panel.filter(F.col("seq") <= cut).withColumns({c: F.col(c) * factor for c in spoiled})
+        made = _decided(changed, runs, cut + 1)
+        sides.append(made.withColumns({"cut": F.lit(cut), "side": F.lit(1)}))
+    pairs = (
+        _union(sides)
+        .filter(F.col("seq") < F.col("cut"))
+        .groupBy("run_id", "cut", "seq", "symbol")
+        .agg(
+            *[
+                F.sum(F.when(F.col("side") == side, F.col("value"))).alias(name)
+                for side, name in enumerate(("whole", "cut_off"))
+            ]
+        )
+    )
+    bound = F.lit(_RELATIVE) * F.greatest(F.abs("whole"), F.abs("cut_off"))
+    same = F.abs(F.col("whole") - F.col("cut_off")) <= bound
+    return pairs.withColumn("differs", ~F.coalesce(same, F.lit(False)))
+
+
+def _decided(panel: DataFrame, runs: Sequence[Run], length: int) -> DataFrame:
+    """Weights and decisions of runs of any signals as rows of one kind."""
+    groups: dict[str, list[Run]] = {}
+    for run in runs:
+        groups.setdefault(run.signal, []).append(run)
+    rows = []
+    for name, members in groups.items():
+        made = get_signal(name)(panel, members, length)
+        rows.append(made.weights.select("run_id", "seq", "symbol", F.col("weight").alias("value")))
+        held = F.col("is_hold").cast("double").alias("value")
+        rows.append(made.decisions.select("run_id", "seq", F.lit(None).cast("string").alias("symbol"), held))
+    return _union(rows)
+
+
+def require_causal(
+    panel: DataFrame, runs: Sequence[Run], length: int, cuts: Sequence[int] = ()
+) -> None:
+    """Raise if a run decides otherwise once later bars are cut off and changed.
+
+    Without ``cuts`` three are spread over the bars. A difference proves that a signal looks
+    ahead; that none is found does not prove the contrary, so give more cuts to be surer.
+    """
+    cuts = cuts or sorted({length * k // 4 for k in (1, 2, 3)} - {0})
+    found = compared_prefixes(panel, runs, length, cuts).filter("differs")
+    first = found.groupBy("run_id").agg(F.min("seq").alias("seq")).orderBy("run_id").limit(20).collect()
+    if first:
+        ahead = ", ".join(f"{r.run_id} (bar {r.seq})" for r in first)
+        raise ValueError(f"decisions depend on later bars: {ahead}")
+
+
 def run_label(name: Column, params: Column) -> Column:
     """``Name(a=1, b=2)`` from a map of parameters, sorted by key."""
     pairs = F.transform(

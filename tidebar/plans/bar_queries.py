@@ -43,6 +43,24 @@ def quarter_hour_bars(spark, sf):
     return shown(bars.ticks_to_bars(fx.ticks(spark, sf), "15Min"), plain=_PLAIN)
 
 
+@query(
+    with_tables(
+        f"SELECT {_BARS} FROM tied",
+        tied="""
+        SELECT symbol, date_trunc('hour', ts) AS ts,
+          first(price ORDER BY date_trunc('minute', ts), event_id DESC) AS open, max(price) AS high,
+          min(price) AS low, last(price ORDER BY date_trunc('minute', ts), event_id DESC) AS close,
+          sum(size)::DOUBLE AS volume, count(*)::DOUBLE AS trade_count,
+          sum(price * size) / sum(size) AS vwap
+        FROM ticks GROUP BY symbol, date_trunc('hour', ts)""",
+    )
+)
+def bars_of_tied_ticks(spark, sf):
+    """Ticks known to the minute only, the later numbered first."""
+    ticks = fx.ticks(spark, sf).withColumns({"ts": F.date_trunc("minute", "ts"), "place": -F.col("event_id")})
+    return shown(bars.ticks_to_bars(ticks, "1Hour", ["place"]), plain=_PLAIN)
+
+
 @query(with_tables(f"SELECT {_BARS} FROM daily"))
 def market_day_bars(spark, sf):
     return shown(fx.daily_bars(spark, sf), plain=_PLAIN)

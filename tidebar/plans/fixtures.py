@@ -35,6 +35,7 @@ def as_ticks(events: DataFrame) -> DataFrame:
         from_utc(F.col("ts")).alias("ts"),
         F.col("value").alias("price"),
         (1 + F.col("user_id") % 10).alias("size"),
+        "event_id",
     )
 
 
@@ -43,11 +44,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_ops.ticks_to_bars(ticks(spark, sf_dir), "1Hour")
+    return bar_ops.ticks_to_bars(ticks(spark, sf_dir), "1Hour", ["event_id"])
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_ops.ticks_to_bars(ticks(spark, sf_dir), "1Day")
+    return bar_ops.ticks_to_bars(ticks(spark, sf_dir), "1Day", ["event_id"])
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

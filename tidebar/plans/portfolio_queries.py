@@ -341,6 +341,27 @@ def mean_reversion_weights(spark, sf):
     return shown(_weights(spark, sf, "mean_reversion").weights)
 
 
+@query(
+    with_tables(
+        "SELECT run_id, cut, count(*) AS compared, 0::BIGINT AS differing FROM ("
+        "SELECT run_id, seq FROM targets UNION ALL SELECT run_id, seq FROM decided), "
+        "(SELECT unnest([count(*) // 3, 2 * count(*) // 3])::INT AS cut FROM calm_month_line) "
+        "WHERE seq < cut AND run_id <> 'few' GROUP BY run_id, cut",
+        recursive=True,
+        **_SIGNAL_TABLES,
+    )
+)
+def causal_signals(spark, sf):
+    """Decisions of the runs before two cuts, against those made with another future."""
+    panel, _ = _panel(spark, sf)
+    length = panel.agg(F.max("seq")).first()[0] + 1
+    runs = [r for r in RUNS if r.run_id != "few"]
+    pairs = signals.compared_prefixes(panel, runs, length, [length // 3, 2 * length // 3])
+    return pairs.groupBy("run_id", "cut").agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if("differs").alias("differing")
+    )
+
+
 @query(_weights_sql("best"))
 def momentum_weights(spark, sf):
     return shown(_weights(spark, sf, "momentum").weights)
@@ -612,6 +633,22 @@ def exposures(spark, sf):
     return shown(metrics.exposure(_sweep(spark, sf).holdings))
 
 
+@query(
+    _ledger_sql(
+        "SELECT run_id, symbol, count(*) AS fills, " + rnd("sum(shares)", "shares", 3)
+        + " FROM filled WHERE run_id IN ('trend', 'best') GROUP BY run_id, symbol"
+    )
+)
+def fills_of_some_runs(spark, sf):
+    """Two runs read from the result tables of a sweep; the files of others are skipped."""
+    sweep = _sweep(spark, sf)
+    folder = scratch_folder(spark, "runs")
+    tables.write_run_tables(sweep.equity_table(), sweep.fills, sweep.holdings, folder)
+    fills = tables.read_run_table(spark, folder, "fills", ["trend", "best"])
+    counted = fills.groupBy("run_id", "symbol").agg(F.count(F.lit(1)).alias("fills"), F.sum("shares").alias("shares"))
+    return shown(counted, 3)
+
+
 @query(
     _ledger_sql(
         "SELECT 'equity' AS name, count(*) AS rows, " + rnd("sum(ln(equity))", "total", 4)
@@ -627,7 +664,7 @@ def run_tables(spark, sf):
     tables.write_run_tables(sweep.equity_table(), sweep.fills, sweep.holdings, folder)
     parts = []
     for name, value in [("equity", F.log("equity")), ("fills", F.col("price")), ("weights", F.col("weight"))]:
-        table = tables.read_table(spark, f"{folder}/{name}")
+        table = tables.read_run_table(spark, folder, name)
         parts.append(
             table.agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total")).select(
                 F.lit(name).alias("name"), "rows", "total"

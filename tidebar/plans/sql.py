@@ -63,8 +63,8 @@ TABLES = {
         "SELECT event_type AS symbol, ts, value AS price, 1 + user_id % 10 AS size, event_id "
         "FROM events WHERE value > 0"
     ),
-    "hourly": _bars("ticks", "date_trunc('hour', ts)", "ts"),
-    "daily": _bars("ticks", _ET_DAY, "ts"),
+    "hourly": _bars("ticks", "date_trunc('hour', ts)", "ts, event_id"),
+    "daily": _bars("ticks", _ET_DAY, "ts, event_id"),
     "trades": (
         "SELECT p_brand AS symbol, l_shipdate AS ts, l_extendedprice / l_quantity AS price, "
         "l_quantity AS size, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, "

@@ -46,7 +46,7 @@ _SETTLED = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE value > 0)
 
 @query(with_tables(f"SELECT {_BARS} FROM hourly WHERE {_SETTLED}"))
 def streamed_hourly_bars(spark, sf):
-    made = stream_bars.stream_bars(_event_stream(spark, sf), "1Hour", "10 minutes")
+    made = stream_bars.stream_bars(_event_stream(spark, sf), "1Hour", "10 minutes", ["event_id"])
     return shown(_drain(made, spark, "bars"), plain=_PLAIN)
 
 
@@ -63,14 +63,14 @@ def streamed_session_bars(spark, sf):
     ticks = stream_bars.normalised(
         _event_stream(spark, sf).withColumn("symbol", F.concat(F.lit(" "), "symbol"))
     )
-    made = bars.filter_session(stream_bars.stream_bars(ticks, "1Hour"), "1Hour")
+    made = bars.filter_session(stream_bars.stream_bars(ticks, "1Hour", tiebreak=["event_id"]), "1Hour")
     return shown(_drain(made, spark, "session"), plain=_PLAIN)
 
 
 @query(with_tables(f"SELECT {_BARS} FROM hourly WHERE {_SETTLED}"))
 def streamed_bar_store(spark, sf):
     """Settled bars merged into a bar table, each batch written twice."""
-    made = stream_bars.stream_bars(_event_stream(spark, sf), "1Hour", "10 minutes")
+    made = stream_bars.stream_bars(_event_stream(spark, sf), "1Hour", "10 minutes", ["event_id"])
     store = BarStore(spark, scratch_folder(spark, "store"))
     write = stream_bars.upsert_into(store, "1Hour")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,16 +70,27 @@ def export_bars(
     return write_table(ordered, path, fmt)
 
 
+RUN_TABLES = ("equity", "fills", "weights")
+
+
 def write_run_tables(
     equity: DataFrame, fills: DataFrame, holdings: DataFrame, path: str, mode: str = "overwrite"
 ) -> None:
-    """Equity, fills and weights of all runs, one folder per table and run."""
-    for name, frame in [("equity", equity), ("fills", fills), ("weights", holdings)]:
-        out = frame.repartition(F.col("run_id"), F.to_date(F.date_trunc("year", "ts")))
-        write_table(
-            out.sortWithinPartitions("run_id", "ts"),
-            f"{path.rstrip('/')}/{name}",
-            "parquet",
-            mode,
-            ("run_id",),
-        )
+    """Equity, fills and weights of all runs, a folder per table.
+
+    Files hold ranges of runs and times, so their number follows the amount of data and not the number of
+    runs, a long run is spread over several, and readers skip files and row groups by their statistics.
+    """
+    for name, frame in zip(RUN_TABLES, (equity, fills, holdings)):
+        out = frame.repartitionByRange("run_id", "ts").sortWithinPartitions("run_id", "ts")
+        write_table(out, f"{path.rstrip('/')}/{name}", "parquet", mode)
+
+
+def read_run_table(
+    spark: SparkSession, path: str, name: str, run_ids: Iterable[str] | None = None
+) -> DataFrame:
+    """One table of :func:`write_run_tables`, of all runs or of some."""
+    if name not in RUN_TABLES:
+        raise ValueError(f"table must be one of {', '.join(RUN_TABLES)}, got {name!r}")
+    rows = read_table(spark, f"{path.rstrip('/')}/{name}", "parquet")
+    return rows if run_ids is None else rows.filter(F.col("run_id").isin(*run_ids))

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidebar.functions.markettime import market_date
 from tidebar.functions.timeframe import TimeFrame
-from tidebar.operators.bars import bar_aggregates
+from tidebar.operators.bars import bar_aggregates, tick_order
 from tidebar.schemas import BAR_FIELDS
 from tidebar.sources.store import BarStore
 
@@ -34,7 +34,7 @@ def stream_bars(
         ticks.filter(F.col("price") > 0)
         .withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", f"{tf.minutes} minutes").alias("span"))
-        .agg(*bar_aggregates(tiebreak))
+        .agg(*bar_aggregates(tick_order(ticks, tiebreak)))
         .select("symbol", F.col("span.start").alias("ts"), *BAR_FIELDS)
     )
 
