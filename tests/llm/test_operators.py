@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -161,6 +162,35 @@ def test_tables_for_vectors_with_a_common_direction(n):
     assert bits and itq.met(*leaning_pairs(2000, 64, 2), mean, matrix, bits, tables) >= 0.995
 
 
+def test_few_vectors_go_through_tables_too(spark):
+    """Bits and tables at every size, and links over them as brute force has them for the stated queries."""
+    r = np.random.RandomState(8)
+    for n, dims in [(1, 5), (2, 1), (3, 8), (40, 16), (400, 64)]:
+        x = r.randn(n, dims)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        mean, matrix, bits, tables = itq.learned(x, n, 0.95)
+        assert bits >= 1 and tables >= 1 and matrix.shape == (dims, bits * tables)
+    same = [[float(k), 2.0 * k, -1.0 * k] for k in range(1, 30)]  # one direction: nothing is left after centring
+    df = spark.createDataFrame(list(enumerate(same)), "vec_id long, embedding array<double>")
+    assert {(x.n_links, x.component_id) for x in itq.near_duplicates(df).collect()} == {(28, 0)}
+    one = spark.createDataFrame([(7, [2.0]), (8, [3.0]), (9, [-1.0])], "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in itq.near_duplicates(one).collect()}
+    assert got == {7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_rounding_to_16_bits_loses_no_pair():
+    r = np.random.RandomState(2)
+    for dims in (2, 64, 768):
+        x = r.randn(200, dims)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        both = np.concatenate([x, np.concatenate([y for _, y in itq.partners(x, 0.95 + 1e-12)])[:200]])
+        short = pa.array([np.rint(v * itq.STEP).astype(np.int16).tobytes() for v in both])
+        maybe = itq.roughly(0.95)(pa.table({"short": short}))
+        cosines = both @ both.T
+        np.fill_diagonal(cosines, 0)
+        assert maybe[cosines >= 0.95].all() and not maybe[cosines < 0.948].any()
+
+
 def test_near_vectors_with_a_common_direction(spark, monkeypatch):
     monkeypatch.setattr(itq, "ROW_COST", 20, raising=False)  # else all pairs of so few vectors are compared
     both = np.concatenate(leaning_pairs(2500, 64, 3))

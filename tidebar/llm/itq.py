@@ -6,9 +6,10 @@ Several rotations give codes of tables x bits; each stretch of bits is the key o
 Hamming table, so vectors whose codes differ in fewer bits than there are tables share a
 bucket. Centring widens the angle of near pairs, the more the more of a direction all vectors
 share. So partners at the threshold are made for vectors of the sample, and tables grow until
-the share ``RECALL`` of these pairs meets in a bucket; bits are those of least cost (none for
-few vectors: all pairs). Within buckets original vectors are compared in double precision,
-and inside the components of what is found all pairs are, in blocks.
+the share ``RECALL`` of these pairs meets in a bucket; bits are those of least cost, one at least,
+so that any number of vectors goes through the tables. Buckets carry vectors rounded to 16 bits a component,
+and what may reach the threshold within the rounding is a candidate; inside the components of the
+candidates the original vectors are compared in double precision, in blocks, each once however many tables it is in.
 
 The rotations are learned on at most about ``SAMPLE`` vectors (and ``SAMPLE_BYTES``), chosen by
 a hash; every vector is indexed. Each dimension has rotations and tables of its own, as vectors
@@ -35,22 +36,29 @@ RECALL = 0.999
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
 STEPS = 30
+#: Weight of the rotation of the step before.
+KEEP = 1e-6
 #: Pairs made at the threshold.
 PAIRS = 4_000
 #: Cost of a key and of a vector dealt out, in comparisons; bits that need more tables aren't weighed.
 KEY_COST = 300
 ROW_COST = 500
 MOST_TABLES = 1 << 16
+#: A component of one in 16 bits.
+STEP = 32767
 #: Bits worked out at once.
 CELLS = 1 << 22
 
 
 def cleaned(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, key, dim, vec): unit vectors as bytes of doubles, null where a vector can't link."""
+    """(vec_id, key, dim, vec, short): unit vectors as bytes of doubles and of 16-bit integers.
+
+    All but the id are null (``dim`` 0) where a vector can't link.
+    """
 
     def run(batches):
         for batch in batches:
-            keys, dims, out = [], [], []
+            keys, dims, out, short = [], [], [], []
             for v in batch.column(1):
                 good = v.is_valid and len(v.values) and not v.values.null_count
                 if good:
@@ -58,18 +66,21 @@ def cleaned(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                     top = np.abs(x).max()
                     good = np.isfinite(x).all() and top > 0
                 if not good:
-                    keys.append(None), dims.append(0), out.append(None)
+                    keys.append(None), dims.append(0), out.append(None), short.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(x.tobytes()))
                 x = x / top
                 dims.append(len(x))
-                out.append((x / np.sqrt(x @ x)).tobytes())
+                x = x / np.sqrt(x @ x)
+                out.append(x.tobytes())
+                short.append(np.rint(x * STEP).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()),
-                 pa.array(out, pa.binary())], names=["vec_id", "key", "dim", "vec"])
+                 pa.array(out, pa.binary()), pa.array(short, pa.binary())],
+                names=["vec_id", "key", "dim", "vec", "short"])
 
     chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    return chosen.mapInArrow(run, "vec_id long, key binary, dim int, vec binary")
+    return chosen.mapInArrow(run, "vec_id long, key binary, dim int, vec binary, short binary")
 
 
 def directions(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +102,8 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray,
         for _ in range(STEPS):
             code = np.sign(v @ r)
             code[code == 0] = 1
-            a, _, b = np.linalg.svd(code.T @ v)
+            # Directions in which the sample does not spread stay as they were drawn.
+            a, _, b = np.linalg.svd(code.T @ v + KEEP * len(v) * r.T)
             r = (a @ b).T
         made.append(base @ r)
     return mean, np.concatenate([base[:, :0], *made], 1)[:, :bits]
@@ -143,7 +155,7 @@ def shape(sample: np.ndarray, n: int, threshold: float, recall: float = RECALL)
     one = rng.randint(len(v), size=PAIRS)
     far = alike(v[one], v[(one + 1 + rng.randint(max(1, len(v) - 1), size=PAIRS)) % len(v)])
     best = None
-    for bits in range(61):
+    for bits in range(1, 61):
         tables = least_tables([p**bits for p in near], recall)
         others = n * (far**bits).mean()
         dealt = -math.expm1(-others) * math.ceil(others / links.BLOCK)
@@ -160,7 +172,8 @@ def learned(sample: np.ndarray, n: int, threshold: float, recall: float = RECALL
     bits, tables = shape(sample, n, threshold, recall)
     while True:
         mean, matrix = rotations(sample, bits * tables)
-        if all(met(x, y, mean, matrix, bits, tables) >= recall for x, y in partners(sample, threshold, 6)):
+        found = (met(x, y, mean, matrix, bits, tables) for x, y in partners(sample, threshold, 6))
+        if tables >= MOST_TABLES or all(share >= recall for share in found):
             return mean, matrix, bits, tables
         tables += math.ceil(tables / 4)
 
@@ -189,17 +202,34 @@ def cosine(threshold: float):
     return near
 
 
+def roughly(threshold: float):
+    """Pairs of rounded vectors whose originals may have the cosine ``threshold``.
+
+    Rounding moves a vector by half a step in each component at most, single precision
+    a product by a few units of its last place per component.
+    """
+
+    def near(table: pa.Table) -> np.ndarray:
+        raw = b"".join(table.column("short").to_pylist())
+        x = np.frombuffer(raw, np.int16).reshape(table.num_rows, -1).astype(np.float32) / STEP
+        moved = math.sqrt(x.shape[1]) / (2 * STEP)
+        slack = moved * (2 + moved) + x.shape[1] * 2.0**-22
+        match = x @ x.T >= threshold - slack
+        np.fill_diagonal(match, False)
+        return match
+
+    return near
+
+
 def coded(rows: pa.RecordBatch, dim: int, mean, matrix, bits: int, tables: int):
     """Batches (id, dim, t, code) of vectors of one dimension."""
-    step = max(1, CELLS // (tables * max(bits, 1)))
+    step = max(1, CELLS // (tables * bits))
     weights = 1 << np.arange(bits, dtype=np.int64)
     for at in range(0, rows.num_rows, step):
         part = rows.slice(at, step)
         n = part.num_rows
-        codes = np.zeros((n, tables), np.int64)
-        if bits:
-            x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(n, dim)
-            codes = ((x - mean) @ matrix > 0).reshape(n, tables, bits) @ weights
+        x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(n, dim)
+        codes = ((x - mean) @ matrix > 0).reshape(n, tables, bits) @ weights
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(part.column(0).to_numpy(), tables)),
              pa.array(np.full(n * tables, dim, np.int32)),
@@ -208,7 +238,7 @@ def coded(rows: pa.RecordBatch, dim: int, mean, matrix, bits: int, tables: int):
 
 
 def bucketed(classes: DataFrame, indexes: dict[int, tuple]) -> DataFrame:
-    """(path, id) for each vector and table of its dimension; without an index one table holds all."""
+    """(path, id) for each vector and table of its dimension."""
     shared = classes.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches):
@@ -216,7 +246,7 @@ def bucketed(classes: DataFrame, indexes: dict[int, tuple]) -> DataFrame:
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
-                yield from coded(batch.filter(pa.array(dims == dim)), dim, *indexes.get(dim, (None, None, 0, 1)))
+                yield from coded(batch.filter(pa.array(dims == dim)), dim, *indexes[dim])
 
     rows = classes.select("id", "dim", "vec").mapInArrow(run, "id long, dim int, t int, code long")
     return rows.select(F.xxhash64("dim", "t", "code").alias("path"), "id")
@@ -241,18 +271,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     good = rows.filter("vec_id IS NOT NULL AND key IS NOT NULL")
     classes = durable(good.groupBy("key").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("dim").alias("dim"),
-        F.first("vec").alias("vec")).select(F.monotonically_increasing_id().alias("id"), "*"))
+        F.first("vec").alias("vec"), F.first("short").alias("short")).select(F.monotonically_increasing_id().alias("id"), "*"))
     plain = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
-    # All pairs of a few vectors are compared at once, without an index.
-    many = classes.groupBy("dim").count().filter(F.col("count") > links.BLOCK).collect()
-    indexes = {dim: index(classes, dim, n, threshold, sample) for dim, n in many}
+    sizes = classes.groupBy("dim").count().collect()
+    indexes = {dim: index(classes, dim, n, threshold, sample) for dim, n in sizes}
     buckets = links.shared(bucketed(classes, indexes))
-    dealt = links.blocks(buckets).join(classes.select("id", "vec"), "id").select("path", "id", "vec")
-    near = cosine(threshold)
-    groups = links.components(links.near_forests(dealt, near))
+    dealt = links.blocks(buckets).join(classes.select("id", "short"), "id").select("path", "id", "short")
+    groups = links.components(links.near_forests(dealt, roughly(threshold)))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes, "component").join(classes.select("id", "copies", "vec"), "id")
-    exact = durable(links.exact_links(links.blocks(members, path="component"), near))
+    exact = durable(links.exact_links(links.blocks(members, path="component"), cosine(threshold)))
     counts = exact.groupBy("id").agg(F.sum("links").alias("links"))
     edges = exact.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
     parts = links.named(links.components(edges), classes)
